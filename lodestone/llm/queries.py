@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import bin_packing, dac_ids
+from lodestone.llm import bin_packing, dac_ids, pii, url_filter
 from lodestone.session import prepare
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,7 +21,9 @@ QUERIES: dict[str, Query] = {
     for name, query in {
         "op2_min_bin_slack": bin_packing.query,
         "op7_dac_token_ids": dac_ids.query,
+        "op9_pii_spans": pii.query,
+        "op10_url_verdicts": url_filter.query,
     }.items()
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op10_url_verdicts": url_filter.ORACLE}

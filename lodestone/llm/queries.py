@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import bin_packing, dac_ids, pii, url_filter
+from lodestone.llm import bin_packing, dac_ids, divergence, pii, rff_classifier, url_filter
 from lodestone.session import prepare
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,7 +19,9 @@ def _prepared(query: Query) -> Query:
 QUERIES: dict[str, Query] = {
     name: _prepared(query)
     for name, query in {
+        "op1_divergence_rules": divergence.query,
         "op2_min_bin_slack": bin_packing.query,
+        "op4_quality_scores": rff_classifier.query,
         "op7_dac_token_ids": dac_ids.query,
         "op9_pii_spans": pii.query,
         "op10_url_verdicts": url_filter.query,

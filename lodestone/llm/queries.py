@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import bin_packing, dac_ids, divergence, pii, rff_classifier, url_filter
+from lodestone.llm import bin_packing, dac_ids, divergence, pii, qgram_decontam, rff_classifier, url_filter, viterbi_count
 from lodestone.session import prepare
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,7 +21,9 @@ QUERIES: dict[str, Query] = {
     for name, query in {
         "op1_divergence_rules": divergence.query,
         "op2_min_bin_slack": bin_packing.query,
+        "op3_qgram_decontamination": qgram_decontam.query,
         "op4_quality_scores": rff_classifier.query,
+        "op6_viterbi_counts": viterbi_count.query,
         "op7_dac_token_ids": dac_ids.query,
         "op9_pii_spans": pii.query,
         "op10_url_verdicts": url_filter.query,

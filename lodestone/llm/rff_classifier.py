@@ -173,7 +173,7 @@ def fit(taught: DataFrame) -> Model:
     centre = np.array([row[f"m{i}"] or 0.0 for i in range(d)])
     scale = np.array([row[f"s{i}"] or 1.0 for i in range(d)])
     model = Model(centre, scale, rng.normal(0, 1 / np.sqrt(2 * d), (d, COS)), rng.uniform(0, 2 * np.pi, COS), np.zeros(COS + d + 1), np.array([0.0]), np.array([share]))
-    if not 0 < share < 1:
+    if not row["n"] or not 0 < share < 1:
         return model
     size = COS + d + 1
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import bin_packing, dac_ids, divergence, pii, qgram_decontam, rff_classifier, url_filter, viterbi_count
+from lodestone.llm import bin_packing, dac_ids, divergence, fuzzy_lines, jaccard_join, pii, qgram_decontam, rff_classifier, url_filter, viterbi_count
 from lodestone.session import prepare
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,8 +23,10 @@ QUERIES: dict[str, Query] = {
         "op2_min_bin_slack": bin_packing.query,
         "op3_qgram_decontamination": qgram_decontam.query,
         "op4_quality_scores": rff_classifier.query,
+        "op5_fuzzy_lines": fuzzy_lines.query,
         "op6_viterbi_counts": viterbi_count.query,
         "op7_dac_token_ids": dac_ids.query,
+        "op8_jaccard_groups": jaccard_join.query,
         "op9_pii_spans": pii.query,
         "op10_url_verdicts": url_filter.query,
     }.items()

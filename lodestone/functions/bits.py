@@ -28,7 +28,7 @@ def ilog2(i: Column) -> Column:
 
 
 def next_power_of_two(n: Column) -> Column:
-    return F.when(n <= 1, F.lit(1).cast("long")).otherwise(F.shiftleft(F.lit(1).cast("long"), bit_length(n - 1)))
+    return F.when(n <= 1, F.lit(1).cast("long")).otherwise(F.call_function("shiftleft", F.lit(1).cast("long"), bit_length(n - 1)))
 
 
 def spread(v: Column) -> Column:

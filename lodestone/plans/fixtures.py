@@ -40,7 +40,7 @@ FIXTURES = {
        ((b.nvert*12 + p.nface*6 + 255) - (b.nvert*12 + p.nface*6 + 255) % 256) AS bytes
        FROM {dag_base} b JOIN (SELECT src, max(tri_end) AS nface, min(patch) AS first_patch FROM {dag_patches} GROUP BY src) p ON p.src = b.node""",
     "frames": """SELECT event_id AS frame, ts, CAST(user_id % 8 AS BIGINT) AS camera, user_id AS node, CAST(10 + event_id % 90 AS DOUBLE) AS elapsed_ms, value AS error, event_type AS kind FROM {events}""",
-    "rays": """SELECT CAST(n_nationkey AS BIGINT) AS ray, CAST(n_nationkey * 2 AS DOUBLE) AS ox, CAST(n_regionkey AS DOUBLE) AS oy, CAST(-30 AS DOUBLE) AS oz, CAST(0 AS DOUBLE) AS dx, CAST(0.6 AS DOUBLE) AS dy, CAST(0.8 AS DOUBLE) AS dz FROM {nation}""",
+    "rays": """SELECT CAST(n_nationkey AS BIGINT) AS ray, CAST(n_nationkey * 2 AS DOUBLE) AS ox, CAST(n_regionkey AS DOUBLE) AS oy, CAST(-5 AS DOUBLE) AS oz, CAST(0 AS DOUBLE) AS dx, CAST(0.6 AS DOUBLE) AS dy, CAST(0.8 AS DOUBLE) AS dz FROM {nation}""",
     "eyes": """SELECT CAST(r_regionkey AS BIGINT) AS view, CAST(r_regionkey * 5 AS DOUBLE) AS ex, CAST(3 AS DOUBLE) AS ey, CAST(10 + r_regionkey * 40 AS DOUBLE) AS ez, CAST(0.002 AS DOUBLE) AS resolution, CAST(0.1 AS DOUBLE) AS znear, CAST(20 AS DOUBLE) AS target FROM {region}""",
 }
 

@@ -142,11 +142,11 @@ class Tunstall:
         words = [(-p, (s,)) for p, s in self.probabilities]
         heapq.heapify(words)
         grow = len(self.probabilities) - 1
-        while grow and len(words) + grow <= 1 << word_bits:
+        while grow > 0 and len(words) + grow <= 1 << word_bits:
             p, word = heapq.heappop(words)
             for q, s in self.probabilities:
                 heapq.heappush(words, (p * q, (*word, s)))
-        self.words = sorted(w for _, w in words) if grow else [(self.probabilities[0][1],) * 1] if self.probabilities else []
+        self.words = sorted(w for _, w in words) if grow > 0 else [(self.probabilities[0][1],) * 1] if self.probabilities else []
         self.index = {w: i for i, w in enumerate(self.words)}
         self.prefixes = {w[:k] for w in self.words for k in range(len(w))}
 

@@ -57,8 +57,8 @@ def read_obj(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(path, vid, x, y, z) and (path, tri, i0, i1, i2, material): polygons as fans; negative indices are an error."""
     w = F.col("w")
     carried = carry_forward(rows, r"^\s*usemtl\s+(\S+)", "material").withColumn("w", _words(F.col("text")))
-    verts = ordinal(carried.filter(w[0] == "v"), "vid").select("path", "vid", *(F.get(w, F.lit(i + 1)).cast("double").alias(c) for i, c in enumerate("xyz")))
-    index = lambda s: F.split(s, "/")[0].cast("long")
+    verts = ordinal(carried.filter(w[0] == "v"), "vid").select("path", "vid", *(F.get(w, F.lit(i + 1)).try_cast("double").alias(c) for i, c in enumerate("xyz")))
+    index = lambda s: F.split(s, "/")[0].try_cast("long")
     checked = lambda s: F.when(index(s) < 1, F.raise_error(F.lit("relative indices are not supported")).cast("long")).otherwise(index(s) - 1)
     faces = carried.filter(w[0] == "f").select("path", "line", "material", F.transform(F.slice(w, F.lit(2), F.size(w)), checked).alias("ring"))
     triangles = fan(faces, "ring").filter("i0 != i1 and i1 != i2 and i0 != i2")
@@ -70,7 +70,7 @@ def read_mtl(rows: DataFrame) -> DataFrame:
     """(path, material, r, g, b, a, texture): Kd and d as bytes, map_Kd with forward slashes."""
     carried = carry_forward(rows, r"^\s*newmtl\s+(\S+)", "material").filter("material is not null").withColumn("w", _words(F.col("text")))
     w = F.col("w")
-    byte = lambda c: F.floor(c.cast("double") * 255).cast("int")
+    byte = lambda c: F.floor(c.try_cast("double") * 255).cast("int")
     pick = lambda key, value: F.max(F.when(w[0] == key, value))
     return carried.groupBy("path", "material").agg(
         *(F.coalesce(pick("Kd", byte(F.get(w, F.lit(i + 1)))), F.lit(255)).alias(c) for i, c in enumerate("rgb")),
@@ -83,7 +83,7 @@ def read_stl_text(rows: DataFrame) -> DataFrame:
     """(path, tri, x0..z2) of vertex lines, three a facet."""
     vertex = rf"^\s*vertex\s+({NUMBER})\s+({NUMBER})\s+({NUMBER})"
     found = ordinal(rows.filter(F.col("text").rlike(vertex)), "n")
-    each = found.select("path", F.floor(F.col("n") / 3).alias("tri"), (F.col("n") % 3).alias("corner"), *(F.regexp_extract("text", vertex, i + 1).cast("double").alias(c) for i, c in enumerate("xyz")))
+    each = found.select("path", F.floor(F.col("n") / 3).alias("tri"), (F.col("n") % 3).alias("corner"), *(F.regexp_extract("text", vertex, i + 1).try_cast("double").alias(c) for i, c in enumerate("xyz")))
     return each.groupBy("path", "tri").agg(*(F.max(F.when(F.col("corner") == k, F.col(c))).alias(f"{c}{k}") for k in range(3) for c in "xyz"))
 
 
@@ -91,10 +91,10 @@ def read_ts(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(path, id, x, y, z) of VRTX, PVRTX and ATOM lines (an ATOM copies another vertex), and (path, i0, i1, i2) of TRGL."""
     split = rows.withColumn("w", _words(F.col("text")))
     w = F.col("w")
-    own = split.filter(w[0].isin("VRTX", "PVRTX")).select("path", w[1].cast("long").alias("id"), *(F.get(w, F.lit(i + 2)).cast("double").alias(c) for i, c in enumerate("xyz")))
-    alias = split.filter(w[0].isin("ATOM", "PATOM")).select("path", w[1].cast("long").alias("id"), w[2].cast("long").alias("ref"))
+    own = split.filter(w[0].isin("VRTX", "PVRTX")).select("path", w[1].try_cast("long").alias("id"), *(F.get(w, F.lit(i + 2)).try_cast("double").alias(c) for i, c in enumerate("xyz")))
+    alias = split.filter(w[0].isin("ATOM", "PATOM")).select("path", w[1].try_cast("long").alias("id"), w[2].try_cast("long").alias("ref"))
     copied = alias.join(own.withColumnRenamed("id", "ref"), ["path", "ref"]).select("path", "id", "x", "y", "z")
-    faces = split.filter(w[0] == "TRGL").select("path", *(F.get(w, F.lit(i + 1)).cast("long").alias(f"i{i}") for i in range(3)))
+    faces = split.filter(w[0] == "TRGL").select("path", *(F.get(w, F.lit(i + 1)).try_cast("long").alias(f"i{i}") for i in range(3)))
     return own.union(copied), faces
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import bits, colours
 from lodestone.functions.vectors import corner, transform, vec
-from lodestone.operators import codec, mesh, partition
+from lodestone.operators import codec, mesh, partition, payload
 from lodestone.operators.scan import dense_number
 from lodestone.plans.registry import At, query, r, rounded
 from lodestone.sources import text_meshes
@@ -390,3 +390,9 @@ def texel_error(at: At) -> DataFrame:
     a, b, c = corner(0), corner(1), corner(2)
     edges = at["terrain_s"].select("node", F.explode(F.array((b - a).norm(), (c - b).norm(), (a - c).norm())).alias("edge"))
     return rounded(error(edges.withColumn("pixels", F.col("edge") * 3)))
+
+
+@query("cloud_payloads", CODES + " SELECT node, CAST(qx AS BIGINT) AS qx, CAST(qy AS BIGINT) AS qy, CAST(qz AS BIGINT) AS qz FROM (SELECT DISTINCT node, qx, qy, qz FROM w)")
+def cloud_payloads(at: At) -> DataFrame:
+    """Compressed and decompressed again: each distinct quantised point of a node."""
+    return payload.decompress_clouds(payload.compress_clouds(codec.quantise(at["cloud"], -6)))

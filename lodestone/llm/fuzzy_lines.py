@@ -53,8 +53,8 @@ def shingles(line: str) -> frozenset:
     return frozenset(line[i : i + K] for i in range(max(1, len(line) - K + 1)))
 
 
-def signatures(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(band keys: a row a line, numbers of shingles)."""
+def signatures(lines: list[str]) -> np.ndarray:
+    """Band keys: a row a line."""
     padded = [fold(x).ljust(K, "\0") for x in lines]
     sizes = np.fromiter(map(len, padded), np.int64, len(padded))
     data = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
@@ -75,11 +75,11 @@ def signatures(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
             least = np.minimum.reduceat(short * _A[row] + _B[row], starts)
             keys[:, band] = mix(keys[:, band] + least + np.uint64(1))
         keys[:, band] = mix(keys[:, band] + np.uint64(band))
-    return keys, counts
+    return keys
 
 
 def postings(lines: DataFrame) -> DataFrame:
-    """(key, node, size) of each distinct line that a partition sees."""
+    """(key, node) of each distinct line that a partition sees."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -87,9 +87,9 @@ def postings(lines: DataFrame) -> DataFrame:
         size = 0
 
         def made() -> pa.RecordBatch:
-            keys, counts = signatures(held[1])
+            keys = signatures(held[1])
             nodes = np.repeat(np.array(held[0], np.int64), BANDS)
-            return pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(nodes), pa.array(np.repeat(counts, BANDS))], names=["key", "node", "size"])
+            return pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(nodes)], names=["key", "node"])
 
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
@@ -109,7 +109,7 @@ def postings(lines: DataFrame) -> DataFrame:
         if held[0]:
             yield made()
 
-    return lines.select("node", "line").mapInArrow(run, "key long, node long, size long")
+    return lines.select("node", "line").mapInArrow(run, "key long, node long")
 
 
 def coordinates() -> Column:

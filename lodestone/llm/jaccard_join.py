@@ -198,7 +198,7 @@ def join(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
     """Documents as (doc_id, n_shingles, node, component_id), and the links (a, b) between nodes."""
     chosen = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
     found = materialize(sets(chosen, plan(chosen)), "sets")
-    postings = found.filter("keys is not null").select(F.explode("keys").alias("key"), "node", F.col("n_shingles").alias("size"))
+    postings = found.filter("keys is not null").select(F.explode("keys").alias("key"), "node")
     firsts = found.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("first"))
 
     def texts(nodes: DataFrame) -> DataFrame:

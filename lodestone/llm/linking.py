@@ -1,12 +1,16 @@
 """From postings to connected classes of similar texts, exactly and without all pairs of a group.
 
-Postings (key, node, size) name the keys of each distinct text (node); similar nodes share a key.
-1. Postings are dealt by key and sorted; a streaming pass drops keys with one node and gives the
-   others a leader. It holds one row, however long a list is.
-2. Every member is verified against its leader; verified links make components.
-3. Only lists that still span several components go on. They get other leaders for a few rounds;
-   what is left after that is compared pair by pair, but never within a component.
-A link that steps 2 and 3 skip lies inside a component already, so the components are those of
+Postings (key, node) name the keys of each distinct text (node); similar nodes share a key.
+1. Postings are dealt by key and sorted; a streaming pass drops keys with one node. It holds one
+   row, however long a list is.
+2. Every node left gets its set's size and a parity bitmap of its shingles. The bits in which two
+   bitmaps differ are at most as many as the elements in which the sets do, so most candidates
+   that are not similar fall without a look at their texts.
+3. Each list takes as leader the node that shares most lists (the likely original of a family of
+   copies); members are verified against it, and verified links make components.
+4. Only lists that still span several components go on: their pairs across components pass the
+   size and bitmap bounds and are verified. Pairs within a component never meet.
+A link that steps 3 and 4 skip lies inside a component already, so the components are those of
 all links between nodes that share a key.
 """
 
@@ -14,10 +18,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.components import connected_components
@@ -27,52 +32,67 @@ from lodestone.session import materialize
 SIMILAR = 80
 #: Nodes up to this number are broadcast to find their texts; more are joined by a shuffle.
 BROADCAST_NODES = 400_000
-#: Rounds with other leaders before the pairs that are left are enumerated.
-LEADER_ROUNDS = 2
-
-
 def shared_lists(postings: DataFrame) -> DataFrame:
-    """(key, node, size, leader, leader_size) of keys with at least two nodes."""
-    names = ["key", "node", "size", "leader", "leader_size"]
+    """(key, node) of keys with at least two nodes, each pair once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last_key = last_node = leader = leader_size = None
+        last_key = last_node = first = None
         members = 0
         for batch in batches:
-            key, node, size = (batch.column(i).to_numpy() for i in range(3))
+            key, node = (batch.column(i).to_numpy() for i in range(2))
             if not len(key):
                 continue
             same_key = np.append(key[0] == last_key, key[1:] == key[:-1])
             keep = ~(same_key & np.append(node[0] == last_node, node[1:] == node[:-1]))
             last_key, last_node = key[-1], node[-1]
-            key, node, size, same_key = key[keep], node[keep], size[keep], same_key[keep]
+            key, node, same_key = key[keep], node[keep], same_key[keep]
             if not len(key):
                 continue
-            at = np.where(same_key, -1, np.arange(len(key)))
-            at = np.maximum.accumulate(at)  # where the list began; -1: in an earlier batch
-            first = np.where(at < 0, leader if leader is not None else 0, node[at])
-            first_size = np.where(at < 0, leader_size if leader_size is not None else 0, size[at])
-            nth = np.arange(len(key)) - at  # 0 for a leader
+            at = np.maximum.accumulate(np.where(same_key, -1, np.arange(len(key))))  # where the list began; -1: in an earlier batch
+            begun = np.where(at < 0, 0 if first is None else first, node[at])
+            nth = np.arange(len(key)) - at  # 0 for the first
             nth[at < 0] += members - 1
-            member = same_key.copy()
-            second = member & (nth == 1)
-            leader, leader_size, members = first[-1], first_size[-1], int(nth[-1]) + 1
-            join = lambda a, b: np.concatenate([a[second], b[member]])
-            columns = (join(key, key), join(first, node), join(first_size, size), join(first, first), join(first_size, first_size))
-            if member.any():
-                yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], names=names)
+            second = same_key & (nth == 1)
+            first, members = begun[-1], int(nth[-1]) + 1
+            if same_key.any():
+                columns = (np.concatenate([key[second], key[same_key]]), np.concatenate([begun[second], node[same_key]]))
+                yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], names=["key", "node"])
 
-    dealt = postings.select("key", "node", F.col("size").cast("long").alias("size")).repartition(F.col("key")).sortWithinPartitions("key", "node")
-    return dealt.mapInArrow(run, ", ".join(f"{n} long" for n in names))
+    dealt = postings.select("key", "node").repartition(F.col("key")).sortWithinPartitions("key", "node")
+    return dealt.mapInArrow(run, "key long, node long")
 
 
-def near_in_size(a: str, b: str) -> F.Column:
-    return F.least(a, b) * 100 >= F.greatest(a, b) * SIMILAR
+SKETCH = [f"s{i}" for i in range(4)]
+
+
+def sketched(contents: DataFrame, shingles: Callable[[str], frozenset]) -> DataFrame:
+    """contents (node, content) plus n, the size of its set, and s0 to s3, the parity of its elements in each of 256 classes."""
+    kinds = [("node", pa.int64()), ("content", pa.string()), ("n", pa.int64()), *((s, pa.int64()) for s in SKETCH)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                out = []
+                for node, content in zip(part.column("node").to_pylist(), part.column("content").to_pylist()):
+                    own = shingles(content)
+                    odd = np.bincount(np.fromiter((crc32(repr(x).encode("utf-8", "surrogatepass")) & 255 for x in own), np.int64, len(own)), minlength=256) & 1
+                    out.append((node, content, len(own), *np.packbits(odd.astype(bool)).view("<i8").tolist()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(zip(*out), kinds)], names=[k for k, _ in kinds])
+
+    return contents.select("node", "content").mapInArrow(run, "node long, content string, n long, " + ", ".join(f"{s} long" for s in SKETCH))
+
+
+def may_link(other: str = "o_") -> Column:
+    """The bounds on sizes and differing elements of a pair in columns n, s0.. and the same behind a prefix."""
+    n, m = F.col("n"), F.col(f"{other}n")
+    differing = sum((F.bit_count(F.col(s).bitwiseXOR(F.col(f"{other}{s}"))) for s in SKETCH), F.lit(0))
+    return (F.least(n, m) * 100 >= F.greatest(n, m) * SIMILAR) & (differing * (100 + SIMILAR) <= (n + m) * (100 - SIMILAR))
 
 
 def verify(pairs: DataFrame, contents: DataFrame, shingles: Callable[[str], frozenset]) -> DataFrame:
     """The (a, b) of pairs whose texts in contents (node, content) are similar."""
-    texts = contents.select(F.col("node"), F.col("content"))
+    texts = contents.select("node", "content")
     joined = pairs.join(texts.withColumnsRenamed({"node": "b", "content": "right"}), "b").join(texts.withColumnsRenamed({"node": "a", "content": "left"}), "a").select("a", "b", "left", "right")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,33 +122,26 @@ def link(postings: DataFrame, texts: Callable[[DataFrame], DataFrame], shingles:
 
     texts(nodes) gives (node, content) for a table of nodes, one row each."""
     lists = materialize(shared_lists(postings), "lists")
-    nodes = materialize(lists.select("node").distinct(), "nodes")
-    contents = materialize(texts(nodes), "contents")
-    star = lists.filter((F.col("node") != F.col("leader")) & near_in_size("size", "leader_size")).select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct()
-    tried = materialize(star, "tried")
+    contents = materialize(sketched(texts(materialize(lists.select("node").distinct(), "nodes")), shingles), "contents")
+    sizes = lists.groupBy("key").agg(F.count("*").alias("length"))
+    scores = lists.join(sizes, "key").groupBy("node").agg(F.sum("length").alias("score"))
+    members = materialize(lists.join(contents.select("node", "n", *SKETCH), "node").join(scores, "node"), "members")
+    own = ["node", "n", *SKETCH]
+    lead = members.groupBy("key").agg(F.max(F.struct("score", *own)).alias("lead"))
+    led = members.join(lead.select("key", *(F.col(f"lead.{c}").alias(f"o_{c}") for c in own)), "key").filter((F.col("node") != F.col("o_node")) & may_link())
+    pair = [F.least("node", "o_node").alias("a"), F.greatest("node", "o_node").alias("b")]
+    tried = materialize(led.select(*pair).distinct(), "tried")
     links = materialize(verify(tried, contents, shingles), "links")
     parts = materialize(connected_components(links), "parts")
-    lists = lists.select("key", "node", "size")
-    for turn in range(LEADER_ROUNDS + 1):
-        placed = lists.join(parts.withColumnsRenamed({"id": "node", "component": "part"}), "node", "left").withColumn("part", F.coalesce("part", "node"))
-        spans = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node", "size", "part")).alias("lead")).filter("low != high")
-        open_lists = placed.join(spans.select("key", "lead"), "key")
-        if turn < LEADER_ROUNDS:
-            pairs = open_lists.select("node", "size", "part", F.col("lead.node").alias("other"), F.col("lead.size").alias("other_size"), F.col("lead.part").alias("other_part"))
-        else:
-            # only different components meet, the smaller size first, so that sizes can prune
-            rest = materialize(open_lists.select("key", "node", "size", "part"), "rest")
-            other = rest.select("key", F.col("node").alias("other"), F.col("size").alias("other_size"), F.col("part").alias("other_part"))
-            pairs = rest.join(other, "key").filter("node < other")
-        lists = open_lists.select("key", "node", "size")
-        pairs = pairs.filter((F.col("part") != F.col("other_part")) & near_in_size("size", "other_size")).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
-        fresh = materialize(pairs.join(tried, ["a", "b"], "left_anti"), "tried")
-        if fresh.isEmpty():
-            if turn < LEADER_ROUNDS:
-                continue
-            break
-        more = materialize(verify(fresh, contents, shingles), "links")
-        tried = tried.union(fresh)
-        links = links.union(more)
-        parts = materialize(connected_components(links), "parts")
-    return links, parts
+    placed = members.join(parts.withColumnsRenamed({"id": "node", "component": "part"}), "node", "left").withColumn("part", F.coalesce("part", "node"))
+    spans = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low != high").select("key")
+    rest = materialize(placed.join(spans, "key").select("key", "part", *own), "rest")
+    other = rest.select("key", F.col("part").alias("o_part"), *(F.col(c).alias(f"o_{c}") for c in own))
+    across = rest.join(other, "key").filter((F.col("node") < F.col("o_node")) & (F.col("part") != F.col("o_part")) & may_link())
+    fresh = materialize(across.select(*pair).distinct().join(tried, ["a", "b"], "left_anti"), "across")
+    more = materialize(verify(fresh, contents, shingles), "links")
+    if more.isEmpty():
+        return links, parts
+    # what is joined already enters as stars, so few rounds are left
+    joined = parts.filter("id != component").select(F.col("id").alias("a"), F.col("component").alias("b")).union(more)
+    return links.union(more), materialize(connected_components(joined), "parts")

@@ -118,17 +118,17 @@ def test_odd_tables(spark):
 
 def test_lists_across_batches(spark):
     rng = np.random.default_rng(6)
-    rows = [(int(k), int(n), 1) for k, n in zip(rng.integers(0, 400, 5000), rng.integers(0, 300, 5000))]
+    rows = [(int(k), int(n)) for k, n in zip(rng.integers(0, 2500, 5000), rng.integers(0, 300, 5000))]
     want = {}
-    for k, n, _ in rows:
+    for k, n in rows:
         want.setdefault(k, set()).add(n)
-    want = {(k, n, min(v)) for k, v in want.items() if len(v) > 1 for n in v}
+    want = {(k, n) for k, v in want.items() if len(v) > 1 for n in v}
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
     try:
-        got = linking.shared_lists(spark.createDataFrame(rows, "key long, node long, size int")).collect()
+        got = linking.shared_lists(spark.createDataFrame(rows, "key long, node long")).collect()
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
-    assert len(got) == len(want) and {(r.key, r.node, r.leader) for r in got} == want
+    assert len(got) == len(want) and {(r.key, r.node) for r in got} == want
 
 
 def line_groups(docs):
@@ -154,6 +154,17 @@ def test_lines_on_table(spark, sf):
     assert {d: n for d, n in got.items() if n} == want and len(got) == len(docs)
 
 
+def test_repetitive_lines_and_bounds(spark):
+    """Sets, not lengths, are compared; the bitmap bound drops no link."""
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(40)]
+    texts = ["abcabcabc" * n for n in (4, 9, 30)] + [" ".join(edited(rng, words, rng.randint(0, 3))) for _ in range(60)]
+    docs = [(i, t) for i, t in enumerate(texts)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: r.removed for r in fuzzy_lines.duplicates(frame).collect()}
+    assert got == line_groups(docs)
+
+
 LINES = [
     (1, "The first line of the first document\nshort\n\nAnother line that is here only once, it seems"),
     (2, "the FIRST line of the first document \nshort\nNothing like any other line of these documents"),
@@ -182,7 +193,7 @@ def test_recall_of_bands():
         a, b = "".join(base), "".join(other)
         x, y = fuzzy_lines.shingles(a), fuzzy_lines.shingles(b)
         if len(x & y) / len(x | y) >= 0.8:
-            keys, _ = fuzzy_lines.signatures([a, b])
+            keys = fuzzy_lines.signatures([a, b])
             total += 1
             missed += not (keys[0] == keys[1]).any()
     assert total > 200 and missed <= 2

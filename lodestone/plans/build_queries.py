@@ -14,7 +14,7 @@ from lodestone.streaming import frames
 @query("build_model")
 def build_model(at: At) -> DataFrame:
     """Nodes of a model of the whole terrain; tests hold its invariants."""
-    nodes, _ = build(at["terrain_s"], BuildOptions(node_faces=2000, top_faces=500))
+    nodes, _, _ = build(at["terrain_s"], BuildOptions(node_faces=2000, top_faces=500))
     return rounded(nodes.select("node", "lvl", "error", "nvert", "nface", "radius"))
 
 

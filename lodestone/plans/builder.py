@@ -7,15 +7,18 @@ are tables in the shared folder. Blocks are bounded by the node capacity, so no
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.functions.bits import pad
 from lodestone.operators import dag
 from lodestone.operators.partition import kd_partition
+from lodestone.operators.scan import dense_number
 from lodestone.operators.simplify import simplify
 from lodestone.session import materialize
 from lodestone.sources.binary_meshes import CORNERS
@@ -68,10 +71,12 @@ def _processor(level: int, scaling: float, last: bool):
     return run
 
 
-def build(soup: DataFrame, options: BuildOptions = BuildOptions()) -> tuple[DataFrame, DataFrame]:
-    """soup (x0..z2) to (nodes, patches), coarse to fine, with saturated errors; the sink is the last id."""
+def build(soup: DataFrame, options: BuildOptions = BuildOptions()) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """soup (x0..z2) to (nodes, patches, triangles), coarse to fine, with saturated errors; the sink is the last id.
+
+    triangles (node, dst, x0..z2) are each node's own, dst the patch that they belong to."""
     now = materialize(soup.select(F.lit(SINK).cast("long").alias("src"), *CORNERS).withColumn("tri", F.monotonically_increasing_id()), "level")
-    size, base, parts = now.count(), 0, []
+    size, base, parts, owned = now.count(), 0, [], []
     for level in range(options.max_levels):
         last = size <= options.top_faces or level == options.max_levels - 1
         middle = [((F.col(f"{c}0") + F.col(f"{c}1") + F.col(f"{c}2")) / 3).alias(c) for c in "xyz"]
@@ -80,7 +85,9 @@ def build(soup: DataFrame, options: BuildOptions = BuildOptions()) -> tuple[Data
         order = {r["cell"]: base + i for i, r in enumerate(names.orderBy("cell").collect())}  # a row a node, as the index holds anyway
         numbers = now.sparkSession.createDataFrame(list(order.items()), "cell long, block long")
 
-        made = materialize(cells.join(numbers, "cell").select("block", "src", *CORNERS).groupBy("block").applyInPandas(_processor(level, options.scaling, last), OUT), "blocks")
+        blocks = materialize(cells.join(numbers, "cell").select("block", "src", *CORNERS), "triangles")
+        owned.append(blocks)
+        made = materialize(blocks.groupBy("block").applyInPandas(_processor(level, options.scaling, last), OUT), "blocks")
         parts.append(made.filter("kind != 'tri'"))
         base += len(order)
         now = made.filter("kind = 'tri'").select(F.col("node").alias("src"), *CORNERS)
@@ -89,28 +96,24 @@ def build(soup: DataFrame, options: BuildOptions = BuildOptions()) -> tuple[Data
             break
         if size > 0.9 * before:
             options = options._replace(top_faces=size)  # it does not shrink: the next level is the top
-    every = parts[0]
-    for part in parts[1:]:
-        every = every.unionByName(part)
+    every, triangles = reduce(DataFrame.unionByName, parts), reduce(DataFrame.unionByName, owned)
     sink = base
     flip = lambda c: F.when(F.col(c) == SINK, F.lit(sink)).otherwise(F.lit(base - 1) - F.col(c))
     nodes = every.filter("kind = 'node'").select(flip("node").cast("long").alias("node"), (-F.col("lvl")).alias("lvl"), "error", "cx", "cy", "cz", "radius", "nvert", "nface")
     edges = every.filter("kind = 'patch'").select(flip("node").cast("long").alias("src"), flip("src").cast("long").alias("dst"), "ntri")
-    from pyspark.sql import Window
-
-    from lodestone.operators.scan import dense_number
-
     w = Window.partitionBy("src").orderBy("dst").rowsBetween(Window.unboundedPreceding, 0)
     numbered = dense_number(edges, F.col("src"), F.col("dst"), name="patch")
     patches = materialize(numbered.withColumn("tri_end", F.sum("ntri").over(w)).withColumn("tri_begin", F.col("tri_end") - F.col("ntri")).drop("ntri"), "patches")
-    return dag.saturate(materialize(nodes, "nodes"), patches), patches
+    bytes_ = pad(F.col("nvert") * 12 + F.col("nface") * 6).alias("bytes")
+    own = triangles.select(flip("block").cast("long").alias("node"), flip("src").cast("long").alias("dst"), *CORNERS)
+    return dag.saturate(materialize(nodes.select("*", bytes_), "nodes"), patches), patches, own
 
 
 class LodModel:
     """Nodes and patches with the selections, cuts and reports on them."""
 
-    def __init__(self, nodes: DataFrame, patches: DataFrame) -> None:
-        self.nodes, self.patches = nodes, patches
+    def __init__(self, nodes: DataFrame, patches: DataFrame, triangles: DataFrame | None = None) -> None:
+        self.nodes, self.patches, self.triangles = nodes, patches, triangles
 
     @classmethod
     def build(cls, soup: DataFrame, options: BuildOptions = BuildOptions()) -> LodModel:
@@ -118,9 +121,10 @@ class LodModel:
 
     @classmethod
     def open(cls, spark, path: str) -> LodModel:
-        from lodestone.sources.model_file import tables
+        from lodestone.sources.model_file import read_patch_triangles, tables
 
-        return cls(*tables(spark, path))
+        nodes, patches = tables(spark, path)
+        return cls(nodes, patches, read_patch_triangles(spark, path, nodes, patches))
 
     def select(self, size: int | None = None, error: float | None = None, triangles: int | None = None, level: int | None = None, drop_last: bool = False) -> DataFrame:
         """Limits compose: a node must pass all of them."""
@@ -152,3 +156,53 @@ class LodModel:
 
     def info(self) -> DataFrame:
         return dag.header(self.nodes, self.patches)
+
+    def cut_triangles(self, selected: DataFrame) -> DataFrame:
+        """(node, dst, x0..z2) to draw; only the nodes of the cut are read."""
+        drawn = self.cut(selected).select(F.col("src").alias("node"), "dst")
+        return self.triangles.join(drawn, ["node", "dst"], "left_semi")
+
+    def save_stl(self, selected: DataFrame, path: str) -> int:
+        from lodestone.sinks.mesh_files import write_stl
+
+        return write_stl(self.cut_triangles(selected), path)
+
+    def save_ply(self, selected: DataFrame, path: str) -> None:
+        """One mesh with shared vertices, numbered by first use."""
+        from lodestone.operators.mesh import weld
+        from lodestone.sinks.mesh_files import unified, write_ply
+
+        soup = materialize(self.cut_triangles(selected).withColumns({"tri": F.monotonically_increasing_id(), "node": F.lit(0)}), "soup")
+        verts, faces = weld(soup)
+        write_ply(*unified(faces, verts), path)
+
+    def save(self, path: str, selected: DataFrame | None = None) -> None:
+        """A model file of the whole, or of a selection: ids become dense, destinations outside it the new sink.
+
+        Payloads are packed a node a group on the executors and streamed into the file in order."""
+        from lodestone.sinks.mesh_files import node_payloads
+        from lodestone.sources import model_file as mf
+
+        chosen = materialize((selected if selected is not None else self.nodes).select("node", "error", "cx", "cy", "cz", "radius"), "chosen")
+        ids = materialize(dense_number(chosen.select("node"), F.col("node"), name="id"), "ids")
+        sink = ids.count()
+        dst = ids.withColumnsRenamed({"node": "dst", "id": "to"})
+        mapped = self.triangles.join(ids, "node").join(dst, "dst", "left").select("id", F.coalesce("to", F.lit(sink)).alias("to"), *CORNERS)
+        packed = materialize(node_payloads(mapped), "payloads")
+        index = packed.drop("payload").join(chosen.join(ids, "node"), "id").orderBy("id").toPandas()  # the index: a row a node, as every reader of the file holds
+        nodes = np.zeros(sink, mf.NODE)
+        nodes["nvert"], nodes["nface"], nodes["error"] = index["nvert"], index["nface"], index["error"]
+        nodes["sphere"] = index[["cx", "cy", "cz", "radius"]]
+        nodes["tight_radius"] = index["radius"]
+        counts = index["dsts"].map(len).to_numpy(np.int64)
+        nodes["first_patch"] = np.cumsum(counts) - counts
+        patches = np.zeros(int(counts.sum()), mf.PATCH)
+        patches["node"] = np.concatenate([np.asarray(x) for x in index["dsts"]])
+        patches["triangle_offset"] = np.concatenate([np.asarray(x) for x in index["ends"]])
+        patches["texture"] = mf.NO_TEXTURE
+        centre = index[["cx", "cy", "cz"]].to_numpy()
+        middle = centre.mean(0)
+        reach = float((np.linalg.norm(centre - middle, axis=1) + index["radius"]).max())
+        head = mf.Header(2, int(index["nvert"].sum()), int(index["nface"].sum()), mf.signature(), sink + 1, len(patches), 0, (*middle.tolist(), reach))
+        rows = packed.select("id", "payload").repartitionByRange("id").sortWithinPartitions("id").toLocalIterator()
+        mf.write(path, head, nodes, patches, (bytes(r["payload"]) for r in rows))

@@ -83,3 +83,38 @@ def unified(faces: DataFrame, verts: DataFrame) -> tuple[DataFrame, DataFrame]:
     for k in range(3):
         out = out.join(ids.withColumnsRenamed({"vid": f"i{k}", "id": f"n{k}"}), f"i{k}")
     return verts.join(ids, "vid"), out.select("tri", *(F.col(f"n{k}").alias(f"i{k}") for k in range(3)))
+
+
+def node_payloads(triangles: DataFrame) -> DataFrame:
+    """triangles (id, to, x0..z2) to (id, nvert, nface, dsts, ends, payload): welded, faces in patch order, ends of the patches."""
+    from lodestone.sources.model_file import pack_payload
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        to = rows.column("to").to_numpy()
+        order = np.argsort(to, kind="stable")
+        v = np.column_stack([rows.column(c).to_numpy() for c in CORNERS])[order].reshape(-1, 3)
+        points, index = np.unique(v.astype("<f4"), axis=0, return_inverse=True)
+        if len(points) > 65_535:
+            raise ValueError("a node of the file holds at most 65535 vertices")
+        dsts, counts = np.unique(to, return_counts=True)
+        columns = [pa.array([key[0].as_py()], pa.int64()), pa.array([len(points)], pa.int64()), pa.array([len(to)], pa.int64()), pa.array([dsts.tolist()], pa.list_(pa.int64())), pa.array([np.cumsum(counts).tolist()], pa.list_(pa.int64())), pa.array([pack_payload(points, index.reshape(-1, 3))], pa.binary())]
+        return pa.Table.from_arrays(columns, names=["id", "nvert", "nface", "dsts", "ends", "payload"])
+
+    return triangles.groupBy("id").applyInArrow(run, "id long, nvert long, nface long, dsts array<long>, ends array<long>, payload binary")
+
+
+def write_node_files(packed: DataFrame, folder: str) -> DataFrame:
+    """One file a node, <folder>/<id>.node, written on the executors; (id, path). A retried task writes the same bytes again."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, where = fs.FileSystem.from_uri(folder)
+        store.create_dir(where, recursive=True)
+        for batch in batches:
+            paths = []
+            for node, raw in zip(batch.column("id").to_pylist(), batch.column("payload").to_pylist()):
+                paths.append(f"{where}/{node}.node")
+                with store.open_output_stream(paths[-1]) as out:
+                    out.write(raw)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(paths, pa.string())], names=["id", "path"])
+
+    return packed.select("id", "payload").mapInArrow(run, "id long, path string")

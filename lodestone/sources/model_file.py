@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Fixed values of the format.
 MAGIC = 0x4E787320
@@ -156,3 +157,17 @@ def read_triangles(spark: SparkSession, path: str, nodes: DataFrame) -> DataFram
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(c), node)), pa.array(np.arange(len(c))), *(pa.array(c[:, k].copy()) for k in range(9))], names=["node", "tri", *CORNERS])
 
     return nodes.select("node").mapInArrow(run, "node long, tri long, " + ", ".join(f"{c} double" for c in CORNERS))
+
+
+def read_patch_triangles(spark: SparkSession, path: str, nodes: DataFrame, patches: DataFrame) -> DataFrame:
+    """(node, dst, x0..z2): triangles with the destination of their patch, by the patch's range."""
+    from lodestone.sources.binary_meshes import CORNERS
+
+    each = read_triangles(spark, path, nodes)
+    ranges = patches.select(F.col("src").alias("node"), "dst", F.explode(F.sequence("tri_begin", F.col("tri_end") - 1)).alias("tri"))
+    return each.join(ranges, ["node", "tri"]).select("node", "dst", *CORNERS)
+
+
+def read_node_files(spark: SparkSession, folder: str) -> DataFrame:
+    """(id, payload) of one file a node."""
+    return spark.read.format("binaryFile").load(f"{folder}/*.node").select(F.regexp_extract("path", r"(\d+)\.node$", 1).cast("long").alias("id"), F.col("content").alias("payload"))

@@ -14,7 +14,7 @@ from lodestone.operators.graph import components
 from lodestone.operators.scan import dense_number, prefix_sum
 from lodestone.operators.simplify import cluster, simplify
 from lodestone.operators.textures import pack_rectangles, pyramid
-from lodestone.plans.builder import BuildOptions, LodModel, build
+from lodestone.plans.builder import BuildOptions, LodModel
 from lodestone.plans.fixtures import frame
 from lodestone.sinks.mesh_files import unified, write_ply, write_stl
 from lodestone.sources import binary_meshes, model_file, text_meshes
@@ -131,6 +131,24 @@ def test_build(spark, sf):
     assert model.cut(model.nodes).filter(F.col("dst") != sink).count() == 0
 
 
+def test_model_round_trip(spark, sf, tmp_path):
+    soup = frame(spark, sf, "terrain_s").filter("node < 3")
+    model = LodModel.build(soup, BuildOptions(node_faces=500, top_faces=300))
+    path = f"file://{tmp_path}/t.lod"
+    model.save(path)
+    back = LodModel.open(spark, path)
+    key = lambda df: sorted(tuple(r) for r in df.select("src", "dst", (F.col("tri_end") - F.col("tri_begin")).alias("n")).collect())
+    assert key(back.patches) == key(model.patches)
+    some = back.select(error=back.nodes.agg(F.percentile_approx("error", 0.5)).first()[0])
+    cut = back.cut(some).agg(F.sum(F.col("tri_end") - F.col("tri_begin"))).first()[0]
+    assert back.save_stl(some, f"file://{tmp_path}/c.stl") == cut == back.cut_triangles(some).count()
+    back.save_ply(some, f"file://{tmp_path}/c.ply")
+    assert binary_meshes.load_soup(spark, f"file://{tmp_path}/c.ply").count() <= cut
+    back.save(f"file://{tmp_path}/part.lod", some)
+    part = model_file.ModelFile(f"file://{tmp_path}/part.lod")
+    assert part.header.n_nodes == some.count() + 1 and part.patches["node"].max() == some.count()
+
+
 def test_coders():
     rng = random.Random(3)
     for n in (0, 1, 7, 400):

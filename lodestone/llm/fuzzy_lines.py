@@ -53,8 +53,8 @@ def shingles(line: str) -> frozenset:
     return frozenset(line[i : i + K] for i in range(max(1, len(line) - K + 1)))
 
 
-def signatures(lines: list[str]) -> np.ndarray:
-    """Band keys: a row a line."""
+def shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hashes of all shingles of all lines, in order; how many each line has)."""
     padded = [fold(x).ljust(K, "\0") for x in lines]
     sizes = np.fromiter(map(len, padded), np.int64, len(padded))
     data = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
@@ -66,8 +66,20 @@ def signatures(lines: list[str]) -> np.ndarray:
     inside = np.ones(len(data), bool)
     for k in range(1, K):
         inside[ends - k] = False
-    short = (mix(hashes) >> np.uint64(32)).astype(np.uint32)[inside[:n]]
-    counts = sizes - K + 1
+    return mix(hashes)[inside[:n]], sizes - K + 1
+
+
+def elements(column: pa.Array) -> Iterator[np.ndarray]:
+    """The distinct shingle hashes of each line."""
+    hashes, counts = shingle_hashes(column.to_pylist())
+    for part in np.split(hashes, np.cumsum(counts)[:-1]):
+        yield np.unique(part)
+
+
+def signatures(lines: list[str]) -> np.ndarray:
+    """Band keys: a row a line."""
+    hashes, counts = shingle_hashes(lines)
+    short = (hashes >> np.uint64(32)).astype(np.uint32)
     starts = np.cumsum(counts) - counts
     keys = np.zeros((len(lines), BANDS), np.uint64)
     for band in range(BANDS):
@@ -124,7 +136,10 @@ def duplicates(docs: DataFrame) -> DataFrame:
     def texts(nodes: DataFrame) -> DataFrame:
         return linking.only(lines.select("node", "line"), nodes).groupBy("node").agg(F.min("line").alias("content"))
 
-    _, parts = linking.link(postings(lines), texts, shingles)
+    def sketches(nodes: DataFrame) -> DataFrame:
+        return linking.sketched(texts(nodes), elements)
+
+    _, parts = linking.link(postings(lines), sketches, texts, shingles)
     placed = lines.drop("line").join(parts.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     placed = materialize(placed.drop("node"), "placed")
     keep = placed.groupBy("component").agg(F.min(coordinates()).alias("keep"), F.max(coordinates()).alias("last")).filter("keep != last").drop("last")

@@ -162,18 +162,19 @@ def keys_of(found: np.ndarray, known: Plan) -> np.ndarray:
 
 
 def sets(docs: DataFrame, known: Plan) -> DataFrame:
-    """(doc_id, n_shingles, node, keys); keys only where this partition has not listed the node yet."""
+    """(doc_id, n_shingles, node, keys, n, s0..s3); keys and sketch only where this partition has not listed the node yet."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         listed: set[int] = set()
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+        names = ["doc_id", "n_shingles", "node", "keys", "n", *linking.SKETCH]
+        kinds = [pa.int64()] * 3 + [pa.list_(pa.int64())] + [pa.int64()] * 5
 
         def made() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["doc_id", "n_shingles", "node", "keys"])
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=names)
 
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            out: tuple[list, ...] = ([], [], [], [])
+            out: list[list] = [[] for _ in names]
             for row, found in shingle_sets(batch.column(1)):
                 n = len(found)
                 node = int(mix(mix(found ^ _FIRST).sum(dtype=np.uint64, keepdims=True) + np.array([n], np.uint64) * _SECOND).view(np.int64)[0]) if n else None
@@ -182,16 +183,16 @@ def sets(docs: DataFrame, known: Plan) -> DataFrame:
                     listed.add(node)
                     if len(listed) > 500_000:
                         listed.clear()  # then some are listed twice, to no harm
-                for column, value in zip(out, (ids[row], n, node, keys_of(found, known).view(np.int64) if fresh else None)):
+                for column, value in zip(out, (ids[row], n, node, keys_of(found, known).view(np.int64) if fresh else None, *(linking.parity(found) if fresh else [None] * 5))):
                     column.append(value)
                 if len(out[0]) >= 1024:
                     yield made()
-                    out = ([], [], [], [])
+                    out = [[] for _ in names]
             if out[0]:
                 yield made()
 
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    return chosen.mapInArrow(run, "doc_id long, n_shingles long, node long, keys array<long>")
+    return chosen.mapInArrow(run, "doc_id long, n_shingles long, node long, keys array<long>, n long, " + ", ".join(f"{s} long" for s in linking.SKETCH))
 
 
 def join(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -206,7 +207,10 @@ def join(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
         small = linking.only(chosen, some.select(F.col("first").alias("node")), "doc_id")
         return small.join(some, F.col("doc_id") == F.col("first")).groupBy("node").agg(F.first("text").alias("content"))
 
-    links, parts = linking.link(postings, texts, shingles)
+    def sketches(nodes: DataFrame) -> DataFrame:
+        return found.filter("n is not null").join(nodes, "node", "left_semi").groupBy("node").agg(*(F.first(c).alias(c) for c in ("n", *linking.SKETCH)))
+
+    links, parts = linking.link(postings, sketches, texts, shingles)
     classes = firsts.join(parts.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = classes.groupBy("component").agg(F.min("first").alias("component_id"))
     classes = materialize(classes.join(least, "component").select("node", "component_id"), "classes")

@@ -18,7 +18,6 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from functools import lru_cache
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -65,22 +64,24 @@ def shared_lists(postings: DataFrame) -> DataFrame:
 SKETCH = [f"s{i}" for i in range(4)]
 
 
-def sketched(contents: DataFrame, shingles: Callable[[str], frozenset]) -> DataFrame:
-    """contents (node, content) plus n, the size of its set, and s0 to s3, the parity of its elements in each of 256 classes."""
-    kinds = [("node", pa.int64()), ("content", pa.string()), ("n", pa.int64()), *((s, pa.int64()) for s in SKETCH)]
+def parity(hashes: np.ndarray) -> list[int]:
+    """Of distinct elements' hashes: how many there are, and four words with the parity of 256 classes."""
+    odd = np.bincount((hashes & np.uint64(255)).astype(np.int64), minlength=256) & 1
+    return [len(hashes), *np.packbits(odd.astype(bool)).view("<i8").tolist()]
+
+
+def sketched(contents: DataFrame, elements: Callable[[pa.Array], Iterator[np.ndarray]]) -> DataFrame:
+    """contents (node, content) to (node, n, s0..s3): the size of its set and its parity; elements(column) gives each text's distinct hashes."""
+    kinds = [("n", pa.int64()), *((s, pa.int64()) for s in SKETCH)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                out = []
-                for node, content in zip(part.column("node").to_pylist(), part.column("content").to_pylist()):
-                    own = shingles(content)
-                    odd = np.bincount(np.fromiter((crc32(repr(x).encode("utf-8", "surrogatepass")) & 255 for x in own), np.int64, len(own)), minlength=256) & 1
-                    out.append((node, content, len(own), *np.packbits(odd.astype(bool)).view("<i8").tolist()))
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(zip(*out), kinds)], names=[k for k, _ in kinds])
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                columns = zip(*map(parity, elements(part.column("content"))))
+                yield pa.RecordBatch.from_arrays([part.column("node"), *(pa.array(c, k) for c, (_, k) in zip(columns, kinds))], names=["node", *(k for k, _ in kinds)])
 
-    return contents.select("node", "content").mapInArrow(run, "node long, content string, n long, " + ", ".join(f"{s} long" for s in SKETCH))
+    return contents.select("node", "content").mapInArrow(run, "node long, n long, " + ", ".join(f"{s} long" for s in SKETCH))
 
 
 def may_link(other: str = "o_") -> Column:
@@ -90,10 +91,11 @@ def may_link(other: str = "o_") -> Column:
     return (F.least(n, m) * 100 >= F.greatest(n, m) * SIMILAR) & (differing * (100 + SIMILAR) <= (n + m) * (100 - SIMILAR))
 
 
-def verify(pairs: DataFrame, contents: DataFrame, shingles: Callable[[str], frozenset]) -> DataFrame:
-    """The (a, b) of pairs whose texts in contents (node, content) are similar."""
-    texts = contents.select("node", "content")
-    joined = pairs.join(texts.withColumnsRenamed({"node": "b", "content": "right"}), "b").join(texts.withColumnsRenamed({"node": "a", "content": "left"}), "a").select("a", "b", "left", "right")
+def verify(pairs: DataFrame, texts: Callable[[DataFrame], DataFrame], shingles: Callable[[str], frozenset]) -> DataFrame:
+    """The (a, b) of pairs (a written table) whose texts are similar; only their texts are fetched."""
+    named = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    contents = materialize(texts(materialize(named, "named")), "contents").select("node", "content")
+    joined = pairs.join(contents.withColumnsRenamed({"node": "b", "content": "right"}), "b").join(contents.withColumnsRenamed({"node": "a", "content": "left"}), "a").select("a", "b", "left", "right")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = lru_cache(64)(shingles)  # a leader comes with many members
@@ -117,21 +119,22 @@ def only(df: DataFrame, nodes: DataFrame, column: str = "node") -> DataFrame:
     return df.join(nodes.withColumnRenamed("node", column), column, "left_semi")
 
 
-def link(postings: DataFrame, texts: Callable[[DataFrame], DataFrame], shingles: Callable[[str], frozenset]) -> tuple[DataFrame, DataFrame]:
+def link(postings: DataFrame, sketches: Callable[[DataFrame], DataFrame], texts: Callable[[DataFrame], DataFrame], shingles: Callable[[str], frozenset]) -> tuple[DataFrame, DataFrame]:
     """Links (a, b) found and components (id, component) of the nodes they tie.
 
-    texts(nodes) gives (node, content) for a table of nodes, one row each."""
+    For a table of nodes sketches gives (node, n, s0..s3) and texts (node, content), one row each;
+    shingles(text) is the exact set. Texts are fetched only for pairs that pass the bounds."""
     lists = materialize(shared_lists(postings), "lists")
-    contents = materialize(sketched(texts(materialize(lists.select("node").distinct(), "nodes")), shingles), "contents")
     sizes = lists.groupBy("key").agg(F.count("*").alias("length"))
     scores = lists.join(sizes, "key").groupBy("node").agg(F.sum("length").alias("score"))
-    members = materialize(lists.join(contents.select("node", "n", *SKETCH), "node").join(scores, "node"), "members")
+    info = scores.join(sketches(materialize(lists.select("node").distinct(), "nodes")).select("node", "n", *SKETCH), "node")
+    members = materialize(lists.join(info, "node"), "members")
     own = ["node", "n", *SKETCH]
     lead = members.groupBy("key").agg(F.max(F.struct("score", *own)).alias("lead"))
     led = members.join(lead.select("key", *(F.col(f"lead.{c}").alias(f"o_{c}") for c in own)), "key").filter((F.col("node") != F.col("o_node")) & may_link())
     pair = [F.least("node", "o_node").alias("a"), F.greatest("node", "o_node").alias("b")]
     tried = materialize(led.select(*pair).distinct(), "tried")
-    links = materialize(verify(tried, contents, shingles), "links")
+    links = materialize(verify(tried, texts, shingles), "links")
     parts = materialize(connected_components(links), "parts")
     placed = members.join(parts.withColumnsRenamed({"id": "node", "component": "part"}), "node", "left").withColumn("part", F.coalesce("part", "node"))
     spans = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low != high").select("key")
@@ -139,7 +142,7 @@ def link(postings: DataFrame, texts: Callable[[DataFrame], DataFrame], shingles:
     other = rest.select("key", F.col("part").alias("o_part"), *(F.col(c).alias(f"o_{c}") for c in own))
     across = rest.join(other, "key").filter((F.col("node") < F.col("o_node")) & (F.col("part") != F.col("o_part")) & may_link())
     fresh = materialize(across.select(*pair).distinct().join(tried, ["a", "b"], "left_anti"), "across")
-    more = materialize(verify(fresh, contents, shingles), "links")
+    more = materialize(verify(fresh, texts, shingles), "links")
     if more.isEmpty():
         return links, parts
     # what is joined already enters as stars, so few rounds are left

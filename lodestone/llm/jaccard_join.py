@@ -162,12 +162,12 @@ def keys_of(found: np.ndarray, known: Plan) -> np.ndarray:
 
 
 def sets(docs: DataFrame, known: Plan) -> DataFrame:
-    """(doc_id, n_shingles, node, keys, n, s0..s3); keys and sketch only where this partition has not listed the node yet."""
+    """(doc_id, n_shingles, node, keys, n, s0..); keys and sketch only where this partition has not listed the node yet."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         listed: set[int] = set()
         names = ["doc_id", "n_shingles", "node", "keys", "n", *linking.SKETCH]
-        kinds = [pa.int64()] * 3 + [pa.list_(pa.int64())] + [pa.int64()] * 5
+        kinds = [pa.int64()] * 3 + [pa.list_(pa.int64())] + [pa.int64()] * (1 + len(linking.SKETCH))
 
         def made() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=names)
@@ -183,7 +183,7 @@ def sets(docs: DataFrame, known: Plan) -> DataFrame:
                     listed.add(node)
                     if len(listed) > 500_000:
                         listed.clear()  # then some are listed twice, to no harm
-                for column, value in zip(out, (ids[row], n, node, keys_of(found, known).view(np.int64) if fresh else None, *(linking.parity(found) if fresh else [None] * 5))):
+                for column, value in zip(out, (ids[row], n, node, keys_of(found, known).view(np.int64) if fresh else None, *(linking.parity(found) if fresh else [None] * (1 + len(linking.SKETCH))))):
                     column.append(value)
                 if len(out[0]) >= 1024:
                     yield made()

@@ -61,17 +61,19 @@ def shared_lists(postings: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "key long, node long")
 
 
-SKETCH = [f"s{i}" for i in range(4)]
+#: Words of the parity bitmap. With 1024 classes it tells sets of up to about 2000 elements apart; larger ones pass it and are verified.
+WORDS = 16
+SKETCH = [f"s{i}" for i in range(WORDS)]
 
 
 def parity(hashes: np.ndarray) -> list[int]:
-    """Of distinct elements' hashes: how many there are, and four words with the parity of 256 classes."""
-    odd = np.bincount((hashes & np.uint64(255)).astype(np.int64), minlength=256) & 1
+    """Of distinct elements' hashes: how many there are, and the words of their parity."""
+    odd = np.bincount((hashes & np.uint64(64 * WORDS - 1)).astype(np.int64), minlength=64 * WORDS) & 1
     return [len(hashes), *np.packbits(odd.astype(bool)).view("<i8").tolist()]
 
 
 def sketched(contents: DataFrame, elements: Callable[[pa.Array], Iterator[np.ndarray]]) -> DataFrame:
-    """contents (node, content) to (node, n, s0..s3): the size of its set and its parity; elements(column) gives each text's distinct hashes."""
+    """contents (node, content) to (node, n, s0..): the size of its set and its parity; elements(column) gives each text's distinct hashes."""
     kinds = [("n", pa.int64()), *((s, pa.int64()) for s in SKETCH)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,7 +124,7 @@ def only(df: DataFrame, nodes: DataFrame, column: str = "node") -> DataFrame:
 def link(postings: DataFrame, sketches: Callable[[DataFrame], DataFrame], texts: Callable[[DataFrame], DataFrame], shingles: Callable[[str], frozenset]) -> tuple[DataFrame, DataFrame]:
     """Links (a, b) found and components (id, component) of the nodes they tie.
 
-    For a table of nodes sketches gives (node, n, s0..s3) and texts (node, content), one row each;
+    For a table of nodes sketches gives (node, n, s0..) and texts (node, content), one row each;
     shingles(text) is the exact set. Texts are fetched only for pairs that pass the bounds."""
     lists = materialize(shared_lists(postings), "lists")
     sizes = lists.groupBy("key").agg(F.count("*").alias("length"))

@@ -10,8 +10,8 @@ Base rules on words [^\\x20\\x09-\\x0D]+ come first: fewer than 10 words, or ove
 words inside 5-word windows that occur twice or more, fails.
 
 Words that hold less than WORD_SHARE of a partition's words of a language are left out of its
-counts; a word common in the language passes that in every partition of some size. At most
-LANGUAGES labels, the largest, give references. Both are parameters of the method.
+counts. Every label gives a reference. References are compared in
+blocks of BLOCK labels, so that any number of labels is judged and a worker holds one block.
 
 Defined cases: a null text has no words (all counts 0, failed); a null language counts as "";
 repeated rows are judged one by one and all count for the references; if there are no references
@@ -22,6 +22,8 @@ from __future__ import annotations
 
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
+from functools import reduce
+from itertools import chain, groupby
 from typing import NamedTuple
 
 import numpy as np
@@ -33,7 +35,8 @@ from lodestone.llm.arrow import map_rows
 from lodestone.session import materialize, table
 
 COMMON = 64
-LANGUAGES = 64
+#: Labels whose references are shipped to the workers at a time.
+BLOCK = 2048
 WORD_SHARE = 0.0005
 MIN_CHARS, MIN_WORDS = 120, 40
 #: The greatest distance allowed: a constant, and a share that falls with the root of the text's size as chance does.
@@ -108,23 +111,58 @@ class References(NamedTuple):
     words: dict[str, dict[bytes, int]]  # the common words' numbers
     counts: dict[str, np.ndarray]  # of the common words, and of all others last
 
-    def character_distance(self, classes: np.ndarray) -> float:
-        return min((distance(classes, q) for q in self.characters.values()), default=0.0)
 
-    def word_distance(self, words: list[bytes]) -> float:
-        seen = Counter(words)
-        best = 1.0 if self.words else 0.0
-        for language, numbers in self.words.items():
-            p = np.zeros(len(numbers) + 1)
-            for word in numbers.keys() & seen.keys():
-                p[numbers[word]] = seen[word]
-            p[-1] = len(words) - p.sum()
-            best = min(best, distance(p, self.counts[language]))
-        return best
+def divergences(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """The addends of twice the Jensen-Shannon divergence, base 2."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(p > 0, p * np.log2(2 * p / (p + q)), 0) + np.where(q > 0, q * np.log2(2 * q / (p + q)), 0)
 
 
-def references(docs: DataFrame) -> References:
-    """Of docs(text, lang)."""
+class Nearest:
+    """The least distances of a text to references, all of them at once."""
+
+    def __init__(self, known: References) -> None:
+        self.characters = np.array([q / q.sum() for q in known.characters.values() if q.sum()]).reshape(-1, len(CLASSES))
+        self.none = not known.characters
+        counts = [(known.words[x], q) for x, q in known.counts.items() if q.sum()]
+        self.totals = np.array([q.sum() for _, q in counts])
+        self.others = np.array([q[-1] for _, q in counts])
+        lists: dict[bytes, list[tuple[int, float]]] = defaultdict(list)
+        for i, (numbers, q) in enumerate(counts):
+            for word, k in numbers.items():
+                lists[word].append((i, q[k]))
+        self.lists = {w: (np.array([i for i, _ in x]), np.array([k for _, k in x])) for w, x in lists.items()}
+
+    def character_distance(self, classes: np.ndarray) -> float:
+        if self.none:
+            return 0.0
+        if not len(self.characters) or not classes.sum():
+            return 1.0
+        total = divergences(classes / classes.sum(), self.characters).sum(axis=1).min()
+        return float(np.sqrt(max(0.0, total / 2)))
+
+    def word_distance(self, words: list[bytes]) -> float:
+        if self.none:
+            return 0.0
+        if not len(self.totals) or not words:
+            return 1.0
+        seen, n, size = Counter(words), len(words), len(self.totals)
+        absent, own, shared = self.totals - self.others, np.zeros(size), np.zeros(size)
+        met = self.lists.keys() & seen.keys()
+        if met:
+            found = [self.lists[w] for w in met]
+            at, k = np.concatenate([i for i, _ in found]), np.concatenate([x for _, x in found])
+            times = np.repeat([seen[w] for w in met], [len(i) for i, _ in found])
+            absent = absent - np.bincount(at, k, size)
+            own = np.bincount(at, times, size)
+            shared = np.bincount(at, divergences(times / n, k / self.totals[at]), size)
+        # a bin that only the reference has adds its whole share
+        total = (shared + absent / self.totals + divergences((n - own) / n, self.others / self.totals)).min()
+        return float(np.sqrt(max(0.0, total / 2)))
+
+
+def reference_blocks(docs: DataFrame) -> Iterator[References]:
+    """Of docs(text, lang), BLOCK labels at a time."""
     fields = pa.schema([("lang", pa.string()), ("kind", pa.string()), ("name", pa.binary()), ("n", pa.int64())])
 
     def count(rows: Iterator[tuple]) -> Iterable[tuple]:
@@ -155,48 +193,81 @@ def references(docs: DataFrame) -> References:
         yield from ((lang, "total", b"", n) for lang, n in totals.items())
 
     counted = map_rows(docs.select("text", "lang"), count, "lang string, kind string, name binary, n long", fields)
-    summed = materialize(counted.groupBy("lang", "kind", "name").agg(F.sum("n").alias("n")), "reference")
-    largest = [r["lang"] for r in summed.filter("kind = 'total'").orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()]
+    summed = counted.groupBy("lang", "kind", "name").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "name")
-    chosen = summed.filter(F.col("lang").isin(largest)).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= COMMON).collect()  # at most LANGUAGES * (COMMON + classes + 1) rows
+    chosen = materialize(summed.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= COMMON), "reference")
+    # at most COMMON + classes + 1 rows a label, fetched a partition at a time
     found = References({}, {}, {})
-    for lang in largest:
-        own = [r for r in chosen if r["lang"] == lang]
-        chars = np.zeros(len(CLASSES))
+    for lang, own in groupby(chosen.orderBy("lang", "kind", "rank").toLocalIterator(), lambda r: r["lang"]):
+        if len(found.words) == BLOCK:
+            yield found
+            found = References({}, {}, {})
+        chars, common, total = np.zeros(len(CLASSES)), [], 0
         for r in own:
             if r["kind"] == "char":
                 chars[r["name"][0]] = r["n"]
-        common = sorted((r for r in own if r["kind"] == "word"), key=lambda r: r["rank"])
-        total = next(r["n"] for r in own if r["kind"] == "total")
+            elif r["kind"] == "word":
+                common.append(r)
+            else:
+                total = r["n"]
         counts = np.array([r["n"] for r in common], np.float64)
         found.characters[lang] = chars
         found.words[lang] = {bytes(r["name"]): i for i, r in enumerate(common)}
         found.counts[lang] = np.append(counts, max(0, total - counts.sum()))
+    yield found
+
+
+def references(docs: DataFrame) -> References:
+    """Of docs(text, lang), of all labels together."""
+    found = References({}, {}, {})
+    for block in reference_blocks(docs):
+        for whole, part in zip(found, block):
+            whole.update(part)
     return found
 
 
-def judge(docs: DataFrame, known: References, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, char_distance, word_distance)."""
-    counts = [(n, pa.int64()) for n in ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
-    fields = pa.schema([*counts, ("base_failed", pa.bool_()), ("kept", pa.bool_()), ("char_distance", pa.float64()), ("word_distance", pa.float64())])
+RESULT = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "char_distance", "word_distance")
+
 
-    def run(rows: Iterator[tuple]) -> Iterator[tuple]:
-        for doc, text in rows:
+def measured(rows: DataFrame, known: References) -> DataFrame:
+    """Of rows(row, doc_id, text): RESULT without kept, with row, char_near and word_near."""
+    counts = [(n, pa.int64()) for n in ("row", *RESULT[:6])]
+    fields = pa.schema([*counts, *((n, pa.bool_()) for n in ("base_failed", "char_near", "word_near")), ("char_distance", pa.float64()), ("word_distance", pa.float64())])
+
+    def run(records: Iterator[tuple]) -> Iterator[tuple]:
+        nearest = Nearest(known)
+        for row, doc, text in records:
             text = text or ""
             words = text.encode("utf-8", "surrogatepass").split()
             n = len(words)
             chars = len(text) - sum(map(text.count, " \t\n\r\v\f"))
             repeats = repeated_words(words)
             failed = n < 10 or 100 * repeats > 20 * n
-            a = known.character_distance(character_classes(text)) if len(text) >= MIN_CHARS else None
-            b = known.word_distance(words) if n >= MIN_WORDS else None
-            near = (a is None or a <= limit(CHAR_LIMIT, len(text))) and (b is None or b <= limit(WORD_LIMIT, n))
-            yield doc, n, chars, sum(map(text.count, SYMBOLS)), duplicate_lines(text), repeats, failed, near and not failed, a, b
+            a = nearest.character_distance(character_classes(text)) if len(text) >= MIN_CHARS else None
+            b = nearest.word_distance(words) if n >= MIN_WORDS else None
+            near = (a is None or a <= limit(CHAR_LIMIT, len(text))), (b is None or b <= limit(WORD_LIMIT, n))
+            yield row, doc, n, chars, sum(map(text.count, SYMBOLS)), duplicate_lines(text), repeats, failed, *near, a, b
+
+    return map_rows(rows, run, "row long, doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, char_near boolean, word_near boolean, char_distance double, word_distance double", fields)
 
-    chosen = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-    return map_rows(chosen, run, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, char_distance double, word_distance double", fields)
+
+def judge(docs: DataFrame, known: References | Iterator[References], id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, char_distance, word_distance)."""
+    blocks = iter([known] if isinstance(known, References) else known)
+    first, second = next(blocks), next(blocks, None)
+    row = F.lit(0).cast("long") if second is None else F.monotonically_increasing_id()
+    rows = docs.select(row.alias("row"), F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
+    if second is None:
+        found = measured(rows, first)
+    else:
+        rows = materialize(rows, "rows")  # fixes the row numbers for all passes
+        passes = [materialize(measured(rows, block), "measured") for block in chain([first, second], blocks)]
+        same = [F.first(c).alias(c) for c in RESULT[:7]]
+        near = [F.bool_or(c).alias(c) for c in ("char_near", "word_near")]
+        found = reduce(DataFrame.union, passes).groupBy("row").agg(*same, *near, *(F.min(c).alias(c) for c in RESULT[8:]))
+    return found.withColumn("kept", F.col("char_near") & F.col("word_near") & ~F.col("base_failed")).select(*RESULT)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return judge(docs, references(docs))
+    return judge(docs, reference_blocks(docs))

@@ -1,3 +1,4 @@
+import random
 import re
 
 import numpy as np
@@ -54,6 +55,48 @@ def test_divergence_keeps_clean_and_drops_junk(spark, sf):
     assert divergence.judge(docs.limit(0), divergence.references(docs.limit(0))).count() == 0
 
 
+def clean_labels(n):
+    """A text of 60 of its own 20 words and characters for each of n labels; the last label is the smallest."""
+    rng = random.Random(3)
+    rows = []
+    for k in range(n):
+        letters = rng.sample("abcdefghijklmnopqrstuvwxyz", 6)
+        own = ["".join(rng.choice(letters) for _ in range(6)) + str(k) for _ in range(20)]
+        rows += [(len(rows) + i, " ".join(rng.choice(own) for _ in range(60)), f"l{k:03}") for i in range(3 if k < n - 1 else 1)]
+    return rows
+
+
+def test_every_label_has_a_reference(spark, monkeypatch):
+    rows = clean_labels(70)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert len(divergence.references(docs).words) == 70
+    whole = {r.doc_id: r for r in divergence.judge(docs, divergence.reference_blocks(docs)).collect()}
+    assert len(whole) == len(rows) and all(r.kept for r in whole.values())
+    monkeypatch.setattr(divergence, "BLOCK", 16)
+    assert len(list(divergence.reference_blocks(docs))) == 5
+    assert {r.doc_id: r for r in divergence.judge(docs, divergence.reference_blocks(docs)).collect()} == whole
+
+
+def test_nearest_equals_plain_distances():
+    rng = random.Random(5)
+    known = divergence.References({}, {}, {})
+    for k in range(9):
+        counts = np.array([rng.randint(1, 50) for _ in range(k)] + [rng.randint(0, 90)], float)
+        known.words[str(k)] = {b"%d" % w: i for i, w in enumerate(rng.sample(range(30), k))}
+        known.counts[str(k)] = counts
+        known.characters[str(k)] = np.array([rng.randint(0, 40) for _ in divergence.CLASSES], float) * (k > 0)
+    nearest = divergence.Nearest(known)
+    for _ in range(50):
+        words = [b"%d" % rng.randrange(40) for _ in range(rng.randint(1, 80))]
+        want = []
+        for k, numbers in known.words.items():
+            p = np.array([words.count(w) for w in numbers] + [sum(w not in numbers for w in words)], float)
+            want.append(divergence.distance(p, known.counts[k]))
+        assert nearest.word_distance(words) == pytest.approx(min(want), abs=1e-7)
+        classes = np.array([rng.randint(0, 9) for _ in divergence.CLASSES])
+        assert nearest.character_distance(classes) == pytest.approx(min(divergence.distance(classes, q) for q in known.characters.values()), abs=1e-7)
+
+
 def test_distance():
     assert divergence.distance(np.array([1, 0]), np.array([0, 5])) == 1.0
     assert divergence.distance(np.array([1, 3]), np.array([2, 6])) == 0.0

@@ -9,8 +9,7 @@ MIN_CHARS characters or MIN_WORDS words that histogram is not judged.
 Base rules on words [^\\x20\\x09-\\x0D]+ come first: fewer than 10 words, or over a fifth of the
 words inside 5-word windows that occur twice or more, fails.
 
-Words that hold less than WORD_SHARE of a partition's words of a language are left out of its
-counts. Every label gives a reference. References are compared in
+Every label gives a reference, from exact counts of all its words. References are compared in
 blocks of BLOCK labels, so that any number of labels is judged and a worker holds one block.
 
 Defined cases: a null text has no words (all counts 0, failed); a null language counts as "";
@@ -37,7 +36,6 @@ from lodestone.session import materialize, table
 COMMON = 64
 #: Labels whose references are shipped to the workers at a time.
 BLOCK = 2048
-WORD_SHARE = 0.0005
 MIN_CHARS, MIN_WORDS = 120, 40
 #: The greatest distance allowed: a constant, and a share that falls with the root of the text's size as chance does.
 CHAR_LIMIT, WORD_LIMIT = (0.12, 2.0), (0.26, 1.05)
@@ -175,7 +173,7 @@ def reference_blocks(docs: DataFrame) -> Iterator[References]:
             for lang, counter in words.items():
                 n = counter.total()
                 totals[lang] += n
-                yield from ((lang, "word", w, k) for w, k in counter.items() if k >= WORD_SHARE * n)
+                yield from ((lang, "word", w, k) for w, k in counter.items())
             words.clear()
 
         for text, lang in rows:
@@ -213,7 +211,7 @@ def reference_blocks(docs: DataFrame) -> Iterator[References]:
         counts = np.array([r["n"] for r in common], np.float64)
         found.characters[lang] = chars
         found.words[lang] = {bytes(r["name"]): i for i, r in enumerate(common)}
-        found.counts[lang] = np.append(counts, max(0, total - counts.sum()))
+        found.counts[lang] = np.append(counts, total - counts.sum())
     yield found
 
 

@@ -77,6 +77,16 @@ def test_every_label_has_a_reference(spark, monkeypatch):
     assert {r.doc_id: r for r in divergence.judge(docs, divergence.reference_blocks(docs)).collect()} == whole
 
 
+def test_counts_are_summed_over_partitions(spark):
+    """Words that are rare in each chunk count, and those rare in one chunk only keep what they have there."""
+    rich = " ".join(f"w{i}" for i in range(3000))
+    rows = [(rich, "a"), ("w7 w7", "a"), ("common " + " ".join(f"v{i}" for i in range(3000)), "a"), ("common " * 5, "a")]
+    docs = spark.createDataFrame(rows, "text string, lang string").repartition(4)
+    known = divergence.references(docs)
+    assert list(known.words["a"])[:2] == [b"common", b"w7"] and len(known.words["a"]) == divergence.COMMON
+    assert known.counts["a"][:3].tolist() == [6, 3, 1] and known.counts["a"].sum() == 3000 + 2 + 3001 + 5
+
+
 def test_nearest_equals_plain_distances():
     rng = random.Random(5)
     known = divergence.References({}, {}, {})

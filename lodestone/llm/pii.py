@@ -7,7 +7,8 @@ mod-97), and words near a span adjust its score. Four base kinds are kept whatev
   card   digits with single spaces or hyphens, 13 to 19 digits passing Luhn
   phone  a plus sign, 9 to 15 digits with spaces, brackets, dots, hyphens
 Further kinds are proposed with less certainty and kept if their score reaches THRESHOLD:
-  iban      country letters, check digits and 11 to 30 more characters; mod-97 confirms
+  iban      country letters, check digits and as many more characters as the country's numbers
+            have (11 to 30 for letters without a known length); mod-97 confirms
   localtel  a national telephone number; needs a word of its context
   idnum     ddd-dd-dddd; needs a word of its context
 Matches are leftmost and do not overlap within a kind; one that fails its validator is dropped
@@ -37,6 +38,23 @@ THRESHOLD = 0.5
 NEAR = 40
 
 
+#: Characters of an account number by country: the registry's, and those in use outside it.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "AO CV GW LY MZ PT ST",
+    26: "IR IS TR", 27: "BI CF CG CM DJ FR GA GQ GR IT KM MC MG MR SM TD", 28: "AL AZ BF BJ BY CI CY DO GT HN HU LB MA ML NE NI PL SN SV TG",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def iban_pattern() -> str:
+    """A country's length ends its number, so a word after a space stays out of it; a number of unknown length ends where one of a known country begins."""
+    known = "|".join(c for codes in IBAN_LENGTHS.values() for c in codes.split())
+    by_length = "|".join(rf"(?:{codes.replace(' ', '|')})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}+" for n, codes in IBAN_LENGTHS.items())
+    other = rf"(?!{known})[A-Z]{{2}}[0-9]{{2}}(?:(?!\x20(?:{known})[0-9]{{2}})\x20?[A-Z0-9]){{11,30}}+"
+    return rf"(?<![A-Za-z0-9])(?:{by_length}|{other})(?![A-Za-z0-9])"
+
+
 class Kind(NamedTuple):
     name: str
     pattern: str
@@ -52,7 +70,7 @@ KINDS = (
     Kind("ip", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", ".", True, 0.6, r"(?i)\b(?:ip|address|host|server|login)\b", 0.3),
     Kind("card", r"[0-9](?:[\x20-]?[0-9])++", "", True, 0.8, r"(?i)\b(?:card|visa|credit|debit|cc)\b", 0.2),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "+", True, 0.7, r"(?i)\b(?:tel|phone|call|fax|mobile)\b", 0.3),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])", "", False, 0.8, r"(?i)\b(?:iban|bank|account|konto)\b", 0.2),
+    Kind("iban", iban_pattern(), "", False, 0.8, r"(?i)\b(?:iban|bank|account|konto)\b", 0.2),
     Kind("localtel", r"(?<![0-9+().-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?![0-9-])", "", False, 0.3, r"(?i)\b(?:tel|phone|call|fax|mobile)\b", 0.4),
     Kind("idnum", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "-", False, 0.3, r"(?i)\b(?:ssn|social|security|insurance)\b", 0.4),
 )

@@ -68,6 +68,24 @@ def test_further_kinds(cases):
     assert len(found[9].idnum) == 1 and len(found[10].idnum) == 0
 
 
+IBANS = [
+    ("IBAN DE89370400440532013000 Please pay", [(5, 27)]),
+    ("DE89 3704 0044 0532 0130 00 Bitte", [(0, 27)]),
+    ("IBAN GB82WEST12345698765432 BIC ABCD", [(5, 27)]),
+    ("DE89370400440532013000 20 euro", [(0, 22)]),
+    ("NO93 8601 1117 947 OSLO 12, MT84MALT011000012345MTLCAST001S X", [(0, 18), (28, 59)]),
+    ("ZZ12 DE89370400440532013000 GB82WEST12345698765432", [(5, 27), (28, 50)]),
+    ("DE89370400440532013000X DE88370400440532013000 A XDE89370400440532013000", []),
+    ("QX52" + "A" * 14, [(0, 18)]),
+]
+
+
+def test_numbers_end_with_their_countrys_length(spark):
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(IBANS)], "doc_id long, text string")
+    got = {r.doc_id: [(s.start, s.end) for s in r.iban] for r in pii.find(docs).collect()}
+    assert got == {i: want for i, (_, want) in enumerate(IBANS)}
+
+
 def test_masked(spark):
     docs = spark.createDataFrame([(1, "to me@x.org, +1 (314) 555-6532!"), (2, None)], "doc_id long, text string")
     assert {r.doc_id: r.text for r in pii.masked(docs).collect()} == {1: "to <EMAIL>, <PHONE>!", 2: ""}

@@ -13,11 +13,12 @@ decides only how many candidates there are, never which links are found. Candida
 on their whole shingle sets, and links join documents into components (see linking).
 
 Nodes are 64-bit hashes of sets: of n different sets some two share one with probability
-n squared / 2^65.
+n squared / 2^65. Texts are found again by 64-bit hashes of themselves, never by doc_id.
 
 Defined cases: null texts and texts without words have an empty set and link with nothing;
-repeated rows are copies; a null doc_id keeps its row and is no one's smallest id unless all are
-null; an empty table gives an empty result.
+repeated rows are copies; a doc_id may come with several texts, each judged by itself; a null
+doc_id keeps its row and is no one's smallest id unless all are null; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -162,18 +163,18 @@ def keys_of(found: np.ndarray, known: Plan) -> np.ndarray:
 
 
 def sets(docs: DataFrame, known: Plan) -> DataFrame:
-    """(doc_id, n_shingles, node, keys, n, s0..); keys and sketch only where this partition has not listed the node yet."""
+    """Of docs(doc_id, text, text_hash): (doc_id, text_hash, n_shingles, node, keys, n, s0..); keys and sketch only where this partition has not listed the node yet."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         listed: set[int] = set()
-        names = ["doc_id", "n_shingles", "node", "keys", "n", *linking.SKETCH]
-        kinds = [pa.int64()] * 3 + [pa.list_(pa.int64())] + [pa.int64()] * (1 + len(linking.SKETCH))
+        names = ["doc_id", "text_hash", "n_shingles", "node", "keys", "n", *linking.SKETCH]
+        kinds = [pa.int64()] * 4 + [pa.list_(pa.int64())] + [pa.int64()] * (1 + len(linking.SKETCH))
 
         def made() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=names)
 
         for batch in batches:
-            ids = batch.column(0).to_pylist()
+            ids, hashes = batch.column(0).to_pylist(), batch.column(2).to_pylist()
             out: list[list] = [[] for _ in names]
             for row, found in shingle_sets(batch.column(1)):
                 n = len(found)
@@ -183,7 +184,7 @@ def sets(docs: DataFrame, known: Plan) -> DataFrame:
                     listed.add(node)
                     if len(listed) > 500_000:
                         listed.clear()  # then some are listed twice, to no harm
-                for column, value in zip(out, (ids[row], n, node, keys_of(found, known).view(np.int64) if fresh else None, *(linking.parity(found) if fresh else [None] * (1 + len(linking.SKETCH))))):
+                for column, value in zip(out, (ids[row], hashes[row], n, node, keys_of(found, known).view(np.int64) if fresh else None, *(linking.parity(found) if fresh else [None] * (1 + len(linking.SKETCH))))):
                     column.append(value)
                 if len(out[0]) >= 1024:
                     yield made()
@@ -191,21 +192,22 @@ def sets(docs: DataFrame, known: Plan) -> DataFrame:
             if out[0]:
                 yield made()
 
-    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    return chosen.mapInArrow(run, "doc_id long, n_shingles long, node long, keys array<long>, n long, " + ", ".join(f"{s} long" for s in linking.SKETCH))
+    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "text_hash")
+    return chosen.mapInArrow(run, "doc_id long, text_hash long, n_shingles long, node long, keys array<long>, n long, " + ", ".join(f"{s} long" for s in linking.SKETCH))
 
 
 def join(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Documents as (doc_id, n_shingles, node, component_id), and the links (a, b) between nodes."""
-    chosen = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
+    """Documents as (doc_id, text_hash, n_shingles, node, component_id), and the links (a, b) between nodes."""
+    chosen = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text")).withColumn("text_hash", F.xxhash64("text"))
     found = materialize(sets(chosen, plan(chosen)), "sets")
     postings = found.filter("keys is not null").select(F.explode("keys").alias("key"), "node")
-    firsts = found.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("first"))
+    firsts = found.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("first"), F.min("text_hash").alias("text_hash"))
 
     def texts(nodes: DataFrame) -> DataFrame:
-        some = materialize(firsts.join(nodes, "node", "left_semi"), "firsts")
-        small = linking.only(chosen, some.select(F.col("first").alias("node")), "doc_id")
-        return small.join(some, F.col("doc_id") == F.col("first")).groupBy("node").agg(F.first("text").alias("content"))
+        some = materialize(firsts.join(nodes, "node", "left_semi").select("node", "text_hash"), "firsts")
+        small = linking.only(chosen, some.select(F.col("text_hash").alias("node")), "text_hash")
+        once = small.groupBy("text_hash").agg(F.min("text").alias("content"))  # copies meet before the shuffle
+        return once.join(some, "text_hash").select("node", "content")
 
     def sketches(nodes: DataFrame) -> DataFrame:
         return found.filter("n is not null").join(nodes, "node", "left_semi").groupBy("node").agg(*(F.first(c).alias(c) for c in ("n", *linking.SKETCH)))
@@ -214,16 +216,16 @@ def join(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
     classes = firsts.join(parts.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = classes.groupBy("component").agg(F.min("first").alias("component_id"))
     classes = materialize(classes.join(least, "component").select("node", "component_id"), "classes")
-    named = found.join(classes, "node", "left").select("doc_id", "n_shingles", "node", F.coalesce("component_id", "doc_id").alias("component_id"))
+    named = found.join(classes, "node", "left").select("doc_id", "text_hash", "n_shingles", "node", F.coalesce("component_id", "doc_id").alias("component_id"))
     return named, links
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return join(table(spark, sf_dir, "documents"))[0].drop("node")
+    return join(table(spark, sf_dir, "documents"))[0].drop("node", "text_hash")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: that with the smallest doc_id. Documents without words are kept."""
     found = join(docs)[0]
-    gone = found.filter((F.col("doc_id") != F.col("component_id")) & (F.col("n_shingles") > 0)).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = found.filter((F.col("doc_id") != F.col("component_id")) & (F.col("n_shingles") > 0)).select(F.col("doc_id").alias("_gone_id"), F.col("text_hash").alias("_gone_text")).distinct()
+    return docs.join(gone, (F.col("doc_id").cast("long") == F.col("_gone_id")) & (F.xxhash64("text") == F.col("_gone_text")), "left_anti")

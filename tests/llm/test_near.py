@@ -116,6 +116,30 @@ def test_odd_tables(spark):
     assert kept.columns == docs.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 3, 7]
 
 
+def test_null_and_repeated_ids_lose_no_text(spark):
+    """The middle of a chain has no doc_id; one doc_id has many texts, each with a near copy of its own."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    chain = [[word() for _ in range(100)]]
+    for k in (20, 60):
+        chain.append([*chain[-1][:k], word(), *chain[-1][k + 1 :]])
+    chain[1], chain[0] = chain[0], [*chain[0][:5], *(word() for _ in range(2)), *chain[0][7:]]
+    rows = [(1, " ".join(chain[0])), (None, " ".join(chain[1])), (2, " ".join(chain[2]))]
+    for k in range(20):
+        own = [word() for _ in range(100)]
+        rows += [(50, " ".join(own)), (100 + k, " ".join([*own[:50], word(), *own[51:]]))]
+    sets = {i: shingles(t) for i, (_, t) in enumerate(rows)}
+    parts, want = components(sets), {}
+    for i, c in parts.items():
+        want.setdefault(c, []).append(rows[i][0])
+    assert sorted(map(len, want.values())) == [2] * 20 + [3]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r.doc_id or 0, r.component_id) for r in jaccard_join.join(docs)[0].collect()]
+    assert sorted(got) == sorted([(0, 1), (1, 1), (2, 1)] + [(50, 50)] * 20 + [(100 + k, 50) for k in range(20)])
+    docs = spark.createDataFrame([(1, rows[3][1]), (9, rows[4][1]), (9, rows[5][1])], "doc_id long, text string")
+    assert sorted((r.doc_id, r.text) for r in jaccard_join.stage(spark, docs, "").collect()) == sorted([(1, rows[3][1]), (9, rows[5][1])])
+
+
 def test_lists_across_batches(spark):
     rng = np.random.default_rng(6)
     rows = [(int(k), int(n)) for k, n in zip(rng.integers(0, 2500, 5000), rng.integers(0, 300, 5000))]

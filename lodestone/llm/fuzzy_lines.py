@@ -31,7 +31,9 @@ from lodestone.llm.textblocks import mix
 from lodestone.session import materialize, table
 
 MIN_CHARS = 10
-K = 8
+#: One changed character costs K shingles: a line of 49 characters still links. Below 5, long lines of one language
+#: would share most of their shingles without being copies.
+K = 5
 BANDS, ROWS = 12, 4
 CHUNK = 1 << 19
 _RNG = np.random.Generator(np.random.PCG64(99))

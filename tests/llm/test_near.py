@@ -207,6 +207,21 @@ def test_line_stage(spark):
     assert fuzzy_lines.stage(spark, docs.limit(0), "").count() == 0
 
 
+def test_one_edit_in_short_lines(spark):
+    """Planted in lines of 53 to 77 characters, one changed character links; so does one changed word in 89 to 107."""
+    rng = random.Random(31)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(5))
+    lines = []
+    for k in range(40):
+        own = [word() for _ in range(rng.randint(9, 13) if k % 2 else rng.randint(15, 18))]
+        at = len(own) // 2
+        changed = own[at][:2] + "7" + own[at][3:] if k % 2 else word()
+        lines += [" ".join(own), " ".join([*own[:at], changed, *own[at + 1 :]])]
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    lost = {r.doc_id for r in fuzzy_lines.duplicates(docs).collect()}
+    assert lost == set(range(1, 80, 2))
+
+
 def test_recall_of_bands():
     rng = random.Random(8)
     missed = total = 0

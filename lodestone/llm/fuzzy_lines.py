@@ -1,7 +1,7 @@
 """Removal of near-duplicate lines by MinHash.
 
-A line is what stands between newlines, without outer white space; lines of fewer than MIN_CHARS
-characters stay as they are. Its set holds the shingles of K characters (letters folded to lower
+A line is what stands between newlines, without outer white space; every line with a character
+takes part, in the pipeline's stage only lines of STAGE_MIN_CHARS characters or more. Its set holds the shingles of K characters (letters folded to lower
 case); a shorter line is one shingle. BANDS bands of ROWS minima find candidates: a pair of
 similarity 0.8 is missed with probability (1 - 0.8^ROWS)^BANDS, under 0.2 %, and the exact
 similarity of every candidate is verified. Verified links make components, in which the line of
@@ -30,7 +30,9 @@ from lodestone.llm.qgram_decontam import fold
 from lodestone.llm.textblocks import mix
 from lodestone.session import materialize, table
 
-MIN_CHARS = 10
+MIN_CHARS = 1
+#: The stage leaves shorter lines where they are.
+STAGE_MIN_CHARS = 10
 #: One changed character costs K shingles: a line of 49 characters still links. Below 5, long lines of one language
 #: would share most of their shingles without being copies.
 K = 5
@@ -42,12 +44,12 @@ _B = _RNG.integers(0, 2**32, BANDS * ROWS, dtype=np.uint32)
 _CHARS = mix(np.arange(1, K + 1, dtype=np.uint64)) | np.uint64(1)
 
 
-def lines_of(docs: DataFrame) -> DataFrame:
+def lines_of(docs: DataFrame, min_chars: int) -> DataFrame:
     """(doc_id, text_hash, line_no, line, node) of the lines that take part."""
     text = F.col("text")
     each = docs.select(F.col("doc_id"), F.xxhash64(text).alias("text_hash"), F.posexplode(F.split(text, "\n", -1)).alias("line_no", "line"))
     line = F.btrim("line", F.lit(" \t\r\v\f"))
-    return each.withColumn("line", line).filter(F.char_length("line") >= MIN_CHARS).withColumn("node", F.xxhash64("line"))
+    return each.withColumn("line", line).filter(F.char_length("line") >= min_chars).withColumn("node", F.xxhash64("line"))
 
 
 def shingles(line: str) -> frozenset:
@@ -130,10 +132,10 @@ def coordinates() -> Column:
     return F.struct("doc_id", "text_hash", "line_no")
 
 
-def duplicates(docs: DataFrame) -> DataFrame:
+def duplicates(docs: DataFrame, min_chars: int | None = None) -> DataFrame:
     """(doc_id, text_hash, removed array<int>): the line numbers that each document loses."""
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    lines = lines_of(chosen)
+    lines = lines_of(chosen, MIN_CHARS if min_chars is None else min_chars)
 
     def texts(nodes: DataFrame) -> DataFrame:
         return linking.only(lines.select("node", "line"), nodes).groupBy("node").agg(F.min("line").alias("content"))
@@ -174,6 +176,6 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without duplicate lines; one that has nothing left but white space goes."""
-    done = without(docs, duplicates(docs)).filter(F.col("_removed").isNull() | (F.btrim("text", F.lit(" \t\r\n\v\f")) != ""))
+    done = without(docs, duplicates(docs, STAGE_MIN_CHARS)).filter(F.col("_removed").isNull() | (F.btrim("text", F.lit(" \t\r\n\v\f")) != ""))
     columns = [F.char_length("text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
     return done.select(*(F.when(F.col("_removed").isNull(), F.col(c)).otherwise(x).alias(c) if c == "n_chars" else x for c, x in zip(docs.columns, columns)))

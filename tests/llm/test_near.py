@@ -207,6 +207,12 @@ def test_line_stage(spark):
     assert fuzzy_lines.stage(spark, docs.limit(0), "").count() == 0
 
 
+def test_short_lines_take_part(spark):
+    texts = ["Menu\n\nx\n \nOne line that is here only once", "menu\nx\nMenus\ny", "Les.\nx", " Les. \n\n"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.removed for r in fuzzy_lines.duplicates(docs).collect()} == {1: [0, 1], 2: [1], 3: [0]}
+
+
 def test_one_edit_in_short_lines(spark):
     """Planted in lines of 53 to 77 characters, one changed character links; so does one changed word in 89 to 107."""
     rng = random.Random(31)

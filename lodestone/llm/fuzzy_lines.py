@@ -4,7 +4,8 @@ A line is what stands between newlines, without outer white space; every line wi
 takes part, in the pipeline's stage only lines of STAGE_MIN_CHARS characters or more. Its set holds the shingles of K characters (letters folded to lower
 case); a shorter line is one shingle. BANDS bands of ROWS minima find candidates: a pair of
 similarity 0.8 is missed with probability (1 - 0.8^ROWS)^BANDS, under 0.2 %, and the exact
-similarity of every candidate is verified. Verified links make components, in which the line of
+similarity of every candidate is verified, but for those whose marks (four bits of 16 minima)
+agree in fewer than MARK_AGREE places. Verified links make components, in which the line of
 the least (doc_id, line number) is kept and all others go.
 
 Lines are named by 64-bit hashes: of n different lines some two share one with probability
@@ -22,10 +23,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import linking
+from lodestone.llm.arrow import rows as row_tuples
 from lodestone.llm.qgram_decontam import fold
 from lodestone.llm.textblocks import mix
 from lodestone.session import materialize, table
@@ -37,7 +40,12 @@ STAGE_MIN_CHARS = 10
 #: would share most of their shingles without being copies.
 K = 5
 BANDS, ROWS = 12, 4
-CHUNK = 1 << 19
+#: Besides the band in common, a pair of similarity 0.8 agrees in fewer of a mark's 16 parts with probability 0.00007, one of similarity 0.1 in as many with 0.02.
+MARK_AGREE = 7
+#: Characters whose shingles are hashed at a time.
+CHUNK = 1 << 16
+WHITE = " \t\r\v\f"
+_LOWER = bytes(ord(fold(chr(i))) for i in range(256))
 _RNG = np.random.Generator(np.random.PCG64(99))
 _A = (_RNG.integers(0, 2**31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2)) | np.uint32(1)
 _B = _RNG.integers(0, 2**32, BANDS * ROWS, dtype=np.uint32)
@@ -48,7 +56,7 @@ def lines_of(docs: DataFrame, min_chars: int) -> DataFrame:
     """(doc_id, text_hash, line_no, line, node) of the lines that take part."""
     text = F.col("text")
     each = docs.select(F.col("doc_id"), F.xxhash64(text).alias("text_hash"), F.posexplode(F.split(text, "\n", -1)).alias("line_no", "line"))
-    line = F.btrim("line", F.lit(" \t\r\v\f"))
+    line = F.btrim("line", F.lit(WHITE))
     return each.withColumn("line", line).filter(F.char_length("line") >= min_chars).withColumn("node", F.xxhash64("line"))
 
 
@@ -57,75 +65,112 @@ def shingles(line: str) -> frozenset:
     return frozenset(line[i : i + K] for i in range(max(1, len(line) - K + 1)))
 
 
+def code_points(text: str) -> np.ndarray:
+    """Code points with Latin-1 letters in lower case."""
+    try:
+        return np.frombuffer(text.encode("latin-1").translate(_LOWER), np.uint8)
+    except UnicodeEncodeError:
+        data = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").copy()
+        small = data < 256
+        data[small] = np.frombuffer(_LOWER, np.uint8)[data[small]]
+        return data
+
+
 def shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(64-bit hashes of all shingles of all lines, in order; how many each line has)."""
-    padded = [fold(x).ljust(K, "\0") for x in lines]
+    """(64-bit hashes of all shingles of all lines, in order; how many each has)."""
+    padded = [x.ljust(K, "\0") for x in lines]
     sizes = np.fromiter(map(len, padded), np.int64, len(padded))
-    data = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    data = code_points("".join(padded)).astype(np.uint64)
     n = len(data) - K + 1
-    hashes = np.zeros(n, np.uint64)
-    for k in range(K):
-        hashes += data[k : k + n] * _CHARS[k]
+    hashes = data[:n] * _CHARS[0]
+    one = np.empty_like(hashes)
+    for k in range(1, K):
+        hashes += np.multiply(data[k : k + n], _CHARS[k], out=one)
     ends = np.cumsum(sizes)
     inside = np.ones(len(data), bool)
     for k in range(1, K):
         inside[ends - k] = False
-    return mix(hashes)[inside[:n]], sizes - K + 1
+    return mix(hashes[inside[:n]]), sizes - K + 1
 
 
-def elements(column: pa.Array) -> Iterator[np.ndarray]:
-    """The distinct shingle hashes of each line."""
-    hashes, counts = shingle_hashes(column.to_pylist())
-    for part in np.split(hashes, np.cumsum(counts)[:-1]):
-        yield np.unique(part)
+def decode(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The shingle hashes of a column of lines."""
+    return shingle_hashes(column.to_pylist())
 
 
-def signatures(lines: list[str]) -> np.ndarray:
-    """Band keys: a row a line."""
+def minima(lines: list[str]) -> np.ndarray:
+    """BANDS * ROWS minima: a row a line."""
     hashes, counts = shingle_hashes(lines)
     short = (hashes >> np.uint64(32)).astype(np.uint32)
     starts = np.cumsum(counts) - counts
+    least, one = np.empty((BANDS * ROWS, len(lines)), np.uint32), np.empty_like(short)
+    for k in range(BANDS * ROWS):
+        np.multiply(short, _A[k], out=one)
+        np.add(one, _B[k], out=one)
+        np.minimum.reduceat(one, starts, out=least[k])
+    return least.T
+
+
+def signatures(lines: list[str], least: np.ndarray | None = None) -> np.ndarray:
+    """Band keys: a row a line."""
+    least = minima(lines) if least is None else least
     keys = np.zeros((len(lines), BANDS), np.uint64)
     for band in range(BANDS):
         for row in range(band * ROWS, band * ROWS + ROWS):
-            least = np.minimum.reduceat(short * _A[row] + _B[row], starts)
-            keys[:, band] = mix(keys[:, band] + least + np.uint64(1))
+            keys[:, band] = mix(keys[:, band] + least[:, row] + np.uint64(1))
         keys[:, band] = mix(keys[:, band] + np.uint64(band))
     return keys
 
 
-def postings(lines: DataFrame) -> DataFrame:
-    """(key, node) of each distinct line that a partition sees."""
+def marks(least: np.ndarray) -> np.ndarray:
+    """Four bits of 16 of the minima (all bands have a share in them), a 64-bit number a line."""
+    chosen = (np.arange(16) * ROWS + np.arange(16) // BANDS) % (BANDS * ROWS)
+    four = least[:, chosen].astype(np.uint64) & np.uint64(15)
+    return (four << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(1, dtype=np.uint64).view(np.int64)
+
+
+def fits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether at least MARK_AGREE of the 16 minima agree in four bits."""
+    differing = (a ^ b).view(np.uint64)
+    differing |= differing >> np.uint64(1)
+    differing |= differing >> np.uint64(2)
+    return np.bitwise_count(differing & np.uint64(0x1111111111111111)) <= 16 - MARK_AGREE
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def line_postings(docs: DataFrame, min_chars: int) -> DataFrame:
+    """The packed postings of docs(text): band keys of each distinct line that a worker sees."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[linking.Postings]:
         seen: set[int] = set()
-        held: tuple[list, list] = ([], [])
+        nodes: list[int] = []
+        lines: list[str] = []
         size = 0
 
-        def made() -> pa.RecordBatch:
-            keys = signatures(held[1])
-            nodes = np.repeat(np.array(held[0], np.int64), BANDS)
-            return pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(nodes)], names=["key", "node"])
-
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                for node, line in zip(part.column("node").to_pylist(), part.column("line").to_pylist()):
-                    if node in seen:
-                        continue
-                    seen.add(node)
-                    held[0].append(node)
-                    held[1].append(line)
-                    size += len(line)
-                    if size > CHUNK:
-                        yield made()
-                        held, size = ([], []), 0
+        def made() -> linking.Postings:
+            least = minima(lines)
+            return signatures(lines, least).ravel(), np.repeat(np.array(nodes, np.uint64).view(np.int64), BANDS), np.repeat(marks(least), BANDS)
+
+        for (text,) in row_tuples(batches):
+            for line in (text or "").split("\n"):
+                line = line.strip(WHITE)
+                if len(line) < min_chars:
+                    continue
+                node = xxhash.xxh64_intdigest(line.encode("utf-8", "surrogatepass"), 42)
+                if node in seen:
+                    continue
+                seen.add(node)
+                nodes.append(node)
+                lines.append(line)
+                size += len(line)
+                if size > CHUNK:
+                    yield made()
+                    nodes, lines, size = [], [], 0
             if len(seen) > 500_000:
                 seen.clear()  # then some are listed twice, to no harm
-        if held[0]:
+        if lines:
             yield made()
 
-    return lines.select("node", "line").mapInArrow(run, "key long, node long")
+    return linking.packed(docs.select("text"), run)
 
 
 def coordinates() -> Column:
@@ -137,17 +182,17 @@ def duplicates(docs: DataFrame, min_chars: int | None = None) -> DataFrame:
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     lines = lines_of(chosen, MIN_CHARS if min_chars is None else min_chars)
 
-    def texts(nodes: DataFrame) -> DataFrame:
+    def contents(nodes: DataFrame) -> DataFrame:
         return linking.only(lines.select("node", "line"), nodes).groupBy("node").agg(F.min("line").alias("content"))
 
-    def sketches(nodes: DataFrame) -> DataFrame:
-        return linking.sketched(texts(nodes), elements)
-
-    _, parts = linking.link(postings(lines), sketches, texts, shingles)
-    placed = lines.drop("line").join(parts.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    lists = materialize(linking.listed(line_postings(chosen, MIN_CHARS if min_chars is None else min_chars), fits), "lists")
+    _, parts = linking.link(lists, fits, contents, decode)
+    placed = lines.drop("line").join(linking.fewer(parts).withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     placed = materialize(placed.drop("node"), "placed")
-    keep = placed.groupBy("component").agg(F.min(coordinates()).alias("keep"), F.max(coordinates()).alias("last")).filter("keep != last").drop("last")
-    lost = placed.join(keep, "component").filter(~coordinates().eqNullSafe(F.col("keep")))
+    several = materialize(placed.groupBy("component").agg(F.count("*").alias("lines")).filter("lines > 1"), "several")
+    some = materialize(linking.join_sized(placed, several, "component", "lines"), "some")
+    keep = materialize(some.groupBy("component").agg(F.min(coordinates()).alias("keep"), F.first("lines").alias("lines")), "keep")
+    lost = linking.join_sized(some.drop("lines"), keep, "component", "lines").filter(~coordinates().eqNullSafe(F.col("keep")))
     return lost.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set("line_no")).alias("removed"))
 
 

@@ -196,23 +196,49 @@ def sets(docs: DataFrame, known: Plan) -> DataFrame:
     return chosen.mapInArrow(run, "doc_id long, text_hash long, n_shingles long, node long, keys array<long>, n long, " + ", ".join(f"{s} long" for s in linking.SKETCH))
 
 
+def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[linking.Postings]:
+    """Of (node, keys, n): every key of a node; marks are the sizes of sets."""
+    for batch in batches:
+        node, keys, n = batch.column(0).to_numpy(), batch.column(1), batch.column(2).to_numpy()
+        times = np.diff(np.frombuffer(keys.buffers()[1], np.int32)[keys.offset : keys.offset + len(keys) + 1])
+        yield keys.flatten().to_numpy().view(np.uint64), np.repeat(node, times), np.repeat(n, times)
+
+
+def _packed_sets(contents: DataFrame) -> DataFrame:
+    """(node, content) with texts to (node, content) with their sets, as ascending 64-bit hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                found = [own.tobytes() for _, own in shingle_sets(part.column("content"))]
+                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(found, pa.binary())], names=["node", "content"])
+
+    return contents.select("node", "content").mapInArrow(run, "node long, content binary")
+
+
+def decode(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of packed sets in order, and how many each has."""
+    at = linking._offsets(column)
+    data = column.buffers()[2]
+    return np.frombuffer(data, np.uint8)[at[0] : at[-1]].copy().view(np.uint64) if data is not None else np.zeros(0, np.uint64), np.diff(at) // 8
+
+
 def join(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> tuple[DataFrame, DataFrame]:
     """Documents as (doc_id, text_hash, n_shingles, node, component_id), and the links (a, b) between nodes."""
     chosen = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text")).withColumn("text_hash", F.xxhash64("text"))
     found = materialize(sets(chosen, plan(chosen)), "sets")
-    postings = found.filter("keys is not null").select(F.explode("keys").alias("key"), "node")
+    postings = linking.packed(found.filter("keys is not null").select("node", "keys", "n"), _postings)
+    lists = materialize(linking.listed(postings, linking.fitting_sizes), "lists")
     firsts = found.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("first"), F.min("text_hash").alias("text_hash"))
 
-    def texts(nodes: DataFrame) -> DataFrame:
+    def contents(nodes: DataFrame) -> DataFrame:
         some = materialize(firsts.join(nodes, "node", "left_semi").select("node", "text_hash"), "firsts")
         small = linking.only(chosen, some.select(F.col("text_hash").alias("node")), "text_hash")
         once = small.groupBy("text_hash").agg(F.min("text").alias("content"))  # copies meet before the shuffle
-        return once.join(some, "text_hash").select("node", "content")
-
-    def sketches(nodes: DataFrame) -> DataFrame:
-        return found.filter("n is not null").join(nodes, "node", "left_semi").groupBy("node").agg(*(F.first(c).alias(c) for c in ("n", *linking.SKETCH)))
+        return _packed_sets(once.join(some, "text_hash"))
 
-    links, parts = linking.link(postings, sketches, texts, shingles)
+    links, parts = linking.link(lists, linking.fitting_sizes, contents, decode, found.filter("n is not null").select("node", "n", *linking.SKETCH))
     classes = firsts.join(parts.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = classes.groupBy("component").agg(F.min("first").alias("component_id"))
     classes = materialize(classes.join(least, "component").select("node", "component_id"), "classes")

@@ -1,23 +1,26 @@
-"""From postings to connected classes of similar texts, exactly and without all pairs of a group.
-
-Postings (key, node) name the keys of each distinct text (node); similar nodes share a key.
-1. Postings are dealt by key and sorted; a streaming pass drops keys with one node. It holds one
-   row, however long a list is.
-2. Every node left gets its set's size and a parity bitmap of its shingles. The bits in which two
-   bitmaps differ are at most as many as the elements in which the sets do, so most candidates
-   that are not similar fall without a look at their texts.
-3. Each list takes as leader the node that shares most lists (the likely original of a family of
-   copies); members are verified against it, and verified links make components.
-4. Only lists that still span several components go on: their pairs across components pass the
-   size and bitmap bounds and are verified. Pairs within a component never meet.
-A link that steps 3 and 4 skip lies inside a component already, so the components are those of
-all links between nodes that share a key.
+"""From postings to connected classes of similar texts, without all pairs of a group.
+
+Postings (key, node, mark) name the keys of each distinct text (node); similar nodes share a key
+and have fitting marks (what a mark is, the caller says: a size, or some bits of a signature).
+1. Workers pack postings into one block a shuffle partition, so that Spark moves few rows and
+   sorts none. A partition's blocks are sorted as arrays; keys with one node fall away, and so do
+   nodes whose mark fits no other mark of their list. Beyond HELD postings a worker keeps only
+   the first node of each key and hands all later ones on unfiltered: memory stays bounded.
+2. Each list has its first node as leader. Distinct pairs (leader, node) whose sketches admit
+   the similarity are verified on whole sets; verified links make components.
+3. Lists that still span components go on, cut into blocks by a hash of the node, so that a long
+   list becomes many small groups (one for each two of its blocks). A worker compares sketches of
+   nodes of different components. A group with at most DENSE pairs a node hands all of them on,
+   to be verified once whatever lists they share; a denser one hands on at most two pairs a node.
+4. Of the denser groups, those that still span components then have their sets fetched and are
+   joined by union-find, which verifies a pair only if its ends are not tied yet.
+A link that is skipped lies inside a component already, so the components are those of all links
+between nodes that share a key.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,34 +34,175 @@ from lodestone.session import materialize
 SIMILAR = 80
 #: Nodes up to this number are broadcast to find their texts; more are joined by a shuffle.
 BROADCAST_NODES = 400_000
-def shared_lists(postings: DataFrame) -> DataFrame:
-    """(key, node) of keys with at least two nodes, each pair once."""
+#: Postings that a worker packs at a time, and those that one holds before it keeps first nodes only.
+PACKED, HELD = 1 << 20, 1 << 23
+#: Lists beyond this length are not filtered by marks.
+FILTERED = 2048
+#: Nodes of a list's block, and pairs a node that a group of blocks hands on.
+BLOCK, DENSE = 1024, 4
+#: A key with more than this share of all rows is hot: at most 1 / HOT keys are.
+HOT = 1e-3
+
+Postings = tuple[np.ndarray, np.ndarray, np.ndarray]  # keys, nodes, marks
+Fits = Callable[[np.ndarray, np.ndarray], np.ndarray]  # marks, marks -> whether the nodes may link
+Decode = Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]  # contents -> hashes of all sets in order, and how many each has
+
+
+def any_marks(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.ones(len(a), bool)
+
+
+def fitting_sizes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Marks are sizes of sets: the smaller is at least SIMILAR hundredths of the larger."""
+    return np.minimum(a, b) * 100 >= np.maximum(a, b) * SIMILAR
+
+
+def packed(df: DataFrame, postings: Callable[[Iterator[pa.RecordBatch]], Iterator[Postings]]) -> DataFrame:
+    """df's postings as (part, keys, nodes, marks): blocks of little-endian 64-bit numbers, dealt by part."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    names = ["part", "keys", "nodes", "marks"]
+
+    def blocks(held: list[Postings]) -> pa.RecordBatch:
+        keys, nodes, marks = (np.concatenate(x) for x in zip(*held))
+        part = ((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.uint16 if parts <= 65536 else np.uint32)
+        order = np.argsort(part, kind="stable")
+        which, starts = np.unique(part[order], return_index=True)
+        stops = np.append(starts[1:], len(order))
+        columns = [[x[order[a:b]].tobytes() for a, b in zip(starts, stops)] for x in (keys, nodes, marks)]
+        return pa.RecordBatch.from_arrays([pa.array(which.astype(np.int32)), *(pa.array(c, pa.binary()) for c in columns)], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[Postings] = []
+        size = 0
+        for some in postings(batches):
+            held.append(some)
+            size += len(some[0])
+            if size >= PACKED:
+                yield blocks(held)
+                held, size = [], 0
+        if size:
+            yield blocks(held)
+
+    return df.mapInArrow(run, "part int, keys binary, nodes binary, marks binary").repartitionById(parts, F.col("part"))
+
+
+def listed(blocks: DataFrame, fits: Fits) -> DataFrame:
+    """(key, node, lead, mark) of packed postings: keys with at least two fitting nodes, each pair once (if HELD suffices). lead: the list's first node, null for itself and where the marks do not fit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last_key = last_node = first = None
-        members = 0
+        first: Postings = (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+        held: list[Postings] = [first]
+        size, whole = 0, True
         for batch in batches:
-            key, node = (batch.column(i).to_numpy() for i in range(2))
-            if not len(key):
-                continue
-            same_key = np.append(key[0] == last_key, key[1:] == key[:-1])
-            keep = ~(same_key & np.append(node[0] == last_node, node[1:] == node[:-1]))
-            last_key, last_node = key[-1], node[-1]
-            key, node, same_key = key[keep], node[keep], same_key[keep]
-            if not len(key):
+            for keys, nodes, marks in zip(*(batch.column(i) for i in (1, 2, 3))):
+                held.append((np.frombuffer(keys.as_buffer(), np.uint64), np.frombuffer(nodes.as_buffer(), np.int64), np.frombuffer(marks.as_buffer(), np.int64)))
+                size += len(held[-1][0])
+                if size >= HELD:
+                    first, out = _collapsed(held, any_marks)
+                    yield from out
+                    held, size, whole = [first], 0, False
+        yield from _collapsed(held, fits if whole else any_marks)[1]
+
+    return blocks.mapInArrow(run, "key long, node long, lead long, mark long")
+
+
+def _collapsed(held: list[Postings], fits: Fits) -> tuple[Postings, Iterator[pa.RecordBatch]]:
+    """The first node of each key, and the lists; held starts with the first nodes so far."""
+    keys, nodes, marks = (np.concatenate(x) for x in zip(*held))
+    held.clear()
+    order = np.argsort(keys, kind="stable")
+    keys, nodes, marks = keys[order], nodes[order], marks[order]
+    starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+    first = keys[starts], nodes[starts], marks[starts]
+    sizes = np.diff(np.append(starts, len(keys)))
+    shared = np.logical_or.reduceat(nodes != np.repeat(first[1], sizes), starts) if len(keys) else np.zeros(0, bool)
+    keep = np.repeat(shared, sizes)
+    return first, _lists(keys[keep], nodes[keep], marks[keep], fits)
+
+
+def _lists(keys: np.ndarray, nodes: np.ndarray, marks: np.ndarray, fits: Fits) -> Iterator[pa.RecordBatch]:
+    order = np.lexsort((nodes, keys))
+    keys, nodes, marks = keys[order], nodes[order], marks[order]
+    fresh = np.append(True, (keys[1:] != keys[:-1]) | (nodes[1:] != nodes[:-1]))[: len(keys)]
+    keys, nodes, marks = keys[fresh], nodes[fresh], marks[fresh]
+    if fits is not any_marks and len(keys):
+        live = fitting(keys, lambda i, j: fits(marks[i], marks[j]))
+        keys, nodes, marks = keys[live], nodes[live], marks[live]
+    if not len(keys):
+        return
+    starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    at = np.repeat(starts, np.diff(np.append(starts, len(keys))))
+    led = (nodes != nodes[at]) & fits(marks, marks[at])
+    for a in range(0, len(keys), 1 << 18):
+        part = slice(a, a + (1 << 18))
+        yield pa.RecordBatch.from_arrays([pa.array(keys[part].view(np.int64)), pa.array(nodes[part]), pa.array(nodes[at][part], mask=~led[part]), pa.array(marks[part])], names=["key", "node", "lead", "mark"])
+
+
+def fitting(groups: np.ndarray, pairs: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+    """Which rows fit another row of their group, by pairs(i, j). Rows of a group stand together; groups beyond FILTERED fit whole."""
+    sizes, after = _extents(groups)
+    live = sizes > FILTERED
+    rows = np.flatnonzero((after > 0) & ~live)
+    by = 1
+    while len(rows):
+        for i in np.split(rows, range(1 << 17, len(rows), 1 << 17)):
+            i = i[~(live[i] & live[i + by])]
+            hit = pairs(i, i + by)
+            live[i[hit]] = live[i[hit] + by] = True
+        by += 1
+        rows = rows[after[rows] >= by]
+    return live
+
+
+def _extents(groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row: the size of its group, and the rows of it that follow."""
+    n = len(groups)
+    starts = np.flatnonzero(np.append(True, groups[1:] != groups[:-1])) if n else np.zeros(0, np.int64)
+    sizes = np.diff(np.append(starts, n))
+    return np.repeat(sizes, sizes), np.repeat(starts + sizes, sizes) - np.arange(n) - 1
+
+
+def candidates(groups: np.ndarray, pairs: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows (i, j) of a group that fit, and which rows are in a group with more than DENSE fitting pairs a row; of such groups only the next and the last fitting row of each row."""
+    sizes, after = _extents(groups)
+    n = len(groups)
+    counts = np.zeros(int(groups[-1]) + 1 if n else 0, np.int64)
+    dense = np.zeros(len(counts), bool)
+    upper, lower = np.full(n, -1), np.full(n, -1)
+    held: list[np.ndarray] = []
+    rows = np.flatnonzero(after > 0)
+    by = 1
+    while len(rows):
+        for i in np.split(rows, range(1 << 17, len(rows), 1 << 17)):
+            i = i[~dense[groups[i]] | (upper[i] < 0) | (lower[i + by] < 0)]
+            i = i[pairs(i, i + by)]
+            if not len(i):
                 continue
-            at = np.maximum.accumulate(np.where(same_key, -1, np.arange(len(key))))  # where the list began; -1: in an earlier batch
-            begun = np.where(at < 0, 0 if first is None else first, node[at])
-            nth = np.arange(len(key)) - at  # 0 for the first
-            nth[at < 0] += members - 1
-            second = same_key & (nth == 1)
-            first, members = begun[-1], int(nth[-1]) + 1
-            if same_key.any():
-                columns = (np.concatenate([key[second], key[same_key]]), np.concatenate([begun[second], node[same_key]]))
-                yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], names=["key", "node"])
+            upper[i] = np.where(upper[i] < 0, i + by, upper[i])
+            lower[i + by] = np.where(lower[i + by] < 0, i, lower[i + by])
+            held.append(np.stack([i, i + by]))
+            counts += np.bincount(groups[i], minlength=len(counts))
+            dense[groups[i]] |= counts[groups[i]] > DENSE * sizes[i]
+        by += 1
+        rows = rows[after[rows] >= by]
+        if len(held) > 64:
+            held = [x[:, ~dense[groups[x[0]]]] for x in [np.concatenate(held, axis=1)]]
+    found = np.concatenate([np.zeros((2, 0), np.int64), *held], axis=1)
+    found = found[:, ~dense[groups[found[0]]]]
+    thick = dense[groups] if n else np.zeros(0, bool)
+    up, low = np.flatnonzero(thick & (upper >= 0)), np.flatnonzero(thick & (lower >= 0))
+    return np.concatenate([found[0], up, lower[low]]), np.concatenate([found[1], upper[up], low]), thick & ((upper >= 0) | (lower >= 0))
 
-    dealt = postings.select("key", "node").repartition(F.col("key")).sortWithinPartitions("key", "node")
-    return dealt.mapInArrow(run, "key long, node long")
+
+def shared_lists(postings: DataFrame) -> DataFrame:
+    """(key, node, lead, mark) of postings(key, node): keys with at least two nodes, each pair once."""
+
+    def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[Postings]:
+        for batch in batches:
+            key, node = (batch.column(i).to_numpy() for i in range(2))
+            yield key.view(np.uint64), node, np.zeros(len(key), np.int64)
+
+    return listed(packed(postings.select("key", "node"), unpacked), any_marks)
 
 
 #: Words of the parity bitmap. With 1024 classes it tells sets of up to about 2000 elements apart; larger ones pass it and are verified.
@@ -72,20 +216,6 @@ def parity(hashes: np.ndarray) -> list[int]:
     return [len(hashes), *np.packbits(odd.astype(bool)).view("<i8").tolist()]
 
 
-def sketched(contents: DataFrame, elements: Callable[[pa.Array], Iterator[np.ndarray]]) -> DataFrame:
-    """contents (node, content) to (node, n, s0..): the size of its set and its parity; elements(column) gives each text's distinct hashes."""
-    kinds = [("n", pa.int64()), *((s, pa.int64()) for s in SKETCH)]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                columns = zip(*map(parity, elements(part.column("content"))))
-                yield pa.RecordBatch.from_arrays([part.column("node"), *(pa.array(c, k) for c, (_, k) in zip(columns, kinds))], names=["node", *(k for k, _ in kinds)])
-
-    return contents.select("node", "content").mapInArrow(run, "node long, n long, " + ", ".join(f"{s} long" for s in SKETCH))
-
-
 def may_link(other: str = "o_") -> Column:
     """The bounds on sizes and differing elements of a pair in columns n, s0.. and the same behind a prefix."""
     n, m = F.col("n"), F.col(f"{other}n")
@@ -93,60 +223,245 @@ def may_link(other: str = "o_") -> Column:
     return (F.least(n, m) * 100 >= F.greatest(n, m) * SIMILAR) & (differing * (100 + SIMILAR) <= (n + m) * (100 - SIMILAR))
 
 
-def verify(pairs: DataFrame, texts: Callable[[DataFrame], DataFrame], shingles: Callable[[str], frozenset]) -> DataFrame:
-    """The (a, b) of pairs (a written table) whose texts are similar; only their texts are fetched."""
+def similar(left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Of pairs of sets as (hashes of all, how many each has), at most 256: which are similar. Elements count as equal if 56 bits of their hashes are."""
+
+    def sets(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        mine = np.sort(np.repeat(np.arange(len(counts), dtype=np.uint64) << np.uint64(56), counts) | hashes >> np.uint64(8))
+        return mine[np.append(True, mine[1:] != mine[:-1])[: len(mine)]]
+
+    a, b = sets(*left), sets(*right)
+    n = len(left[1])
+    number = lambda x: np.bincount((x >> np.uint64(56)).astype(np.int64), minlength=n)
+    every = np.sort(np.concatenate([a, b]))
+    both = number(every[1:][every[1:] == every[:-1]])
+    return (both > 0) & (100 * both >= SIMILAR * (number(a) + number(b) - both))
+
+
+def verify(pairs: DataFrame, contents: Callable[[DataFrame], DataFrame], decode: Decode) -> DataFrame:
+    """The (a, b) of pairs (a written table) whose sets are similar; only their contents are fetched."""
     named = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    contents = materialize(texts(materialize(named, "named")), "contents").select("node", "content")
-    joined = pairs.join(contents.withColumnsRenamed({"node": "b", "content": "right"}), "b").join(contents.withColumnsRenamed({"node": "a", "content": "left"}), "a").select("a", "b", "left", "right")
+    known = materialize(contents(materialize(named, "named")), "contents").select("node", "content")
+    joined = pairs.join(known.withColumnsRenamed({"node": "b", "content": "right"}), "b").join(known.withColumnsRenamed({"node": "a", "content": "left"}), "a").select("a", "b", "left", "right")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = lru_cache(64)(shingles)  # a leader comes with many members
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                keep = []
-                for left, right in zip(part.column("left").to_pylist(), part.column("right").to_pylist()):
-                    x, y = known(left), known(right)
-                    both = len(x & y)
-                    keep.append(both > 0 and 100 * both >= SIMILAR * (len(x) + len(y) - both))
+            for part in _slices(batch, ("left", "right")):
+                keep = similar(decode(part.column("left")), decode(part.column("right")))
                 yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return joined.mapInArrow(run, "a long, b long")
 
 
+def _slices(batch: pa.RecordBatch, columns: tuple[str, ...], limit: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """Of at most 256 rows and about that many bytes in the columns, one row at least."""
+    sizes = sum(np.diff(_offsets(batch.column(c))) for c in columns)
+    at = 0
+    while at < batch.num_rows:
+        n = max(1, int(np.searchsorted(np.cumsum(sizes[at : at + 256]), limit, "right")))
+        yield batch.slice(at, n)
+        at += n
+
+
+def _offsets(column: pa.Array) -> np.ndarray:
+    wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
+    return np.frombuffer(column.buffers()[1], np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+
+
+def fewer(nodes: DataFrame) -> DataFrame:
+    """nodes, marked for broadcast if they are few."""
+    return F.broadcast(nodes) if nodes.limit(BROADCAST_NODES + 1).count() <= BROADCAST_NODES else nodes
+
+
 def only(df: DataFrame, nodes: DataFrame, column: str = "node") -> DataFrame:
     """The rows of df whose column is among nodes(node): broadcast if there are few, else a shuffled join."""
-    if nodes.limit(BROADCAST_NODES + 1).count() <= BROADCAST_NODES:
-        nodes = F.broadcast(nodes)
-    return df.join(nodes.withColumnRenamed("node", column), column, "left_semi")
+    return df.join(fewer(nodes).withColumnRenamed("node", column), column, "left_semi")
+
+
+def join_sized(rows: DataFrame, keyed: DataFrame, key: str, size: str) -> DataFrame:
+    """rows joined with keyed (written, one row a key, with its number of rows in size). Keys with over HOT of all rows are broadcast (there are at most 1 / HOT), so none meets in one task."""
+    total = keyed.agg(F.sum(size)).first()[0] or 0
+    hot = F.broadcast(keyed.filter(F.col(size) > HOT * total))
+    cold = rows.join(hot.select(key), key, "left_anti").join(keyed.filter(F.col(size) <= HOT * total), key)
+    return rows.join(hot, key).unionByName(cold)
+
+
+class _Groups:
+    """Collects the rows of whole groups (key, low, high) from sorted batches."""
 
+    NAMES = ("key", "low", "high")
+
+    def __init__(self, batches: Iterator[pa.RecordBatch], rows: int) -> None:
+        self.batches, self.rows = batches, rows
+
+    def __iter__(self) -> Iterator[tuple[pa.Table, np.ndarray]]:
+        """Tables of whole groups, about so many rows, and the number of each row's group."""
+        held: list[pa.RecordBatch] = []
+        size = 0
+        for batch in self.batches:
+            held.append(batch)
+            size += batch.num_rows
+            if size >= self.rows:
+                table = pa.Table.from_batches(held)
+                group = self.groups(table)
+                cut = int(np.searchsorted(group, group[-1]))  # the last may go on
+                if cut:
+                    yield table.slice(0, cut), group[:cut]
+                held = table.slice(cut).to_batches()
+                size = len(table) - cut
+        if size:
+            table = pa.Table.from_batches(held)
+            yield table, self.groups(table)
+
+    def groups(self, table: pa.Table) -> np.ndarray:
+        new = np.zeros(len(table), bool)
+        for name in self.NAMES:
+            x = table.column(name).to_numpy()
+            new[1:] |= x[1:] != x[:-1]
+        return np.cumsum(new)
+
+
+def grouped(rest: DataFrame) -> DataFrame:
+    """rest (key, node, part, length, ...): each row once for every block of its list, with low and high, the two blocks, and own, its own."""
+    blocks = F.ceil(F.col("length") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
+    spread = rest.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    return spread.withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")}).drop("other", "length")
+
+
+def _may_meet(table: pa.Table) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """Whether rows i and j are of different components and, in a group of two blocks, of different blocks."""
+    part, own, low, high = (table.column(c).to_numpy() for c in ("part", "own", "low", "high"))
+    return lambda i, j: (part[i] != part[j]) & ((low[i] == high[i]) | (own[i] != own[j]))
+
+
+def across(groups: DataFrame, fits: Fits) -> DataFrame:
+    """Rows (key, low, high, own, node, mark, other) of nodes that may link a node of another component of their group: pairs with other, and all such nodes of dense groups without."""
+    names = ["key", "low", "high", "own", "node", "mark"]
+    sketched = [c for c in SKETCH if c in groups.columns]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, group in _Groups(batches, 1 << 15):
+            meet, mark, node = _may_meet(table), table.column("mark").to_numpy(), table.column("node").to_numpy()
+            words = np.column_stack([table.column(c).to_numpy().view(np.uint64) for c in sketched]) if sketched else None
 
-def link(postings: DataFrame, sketches: Callable[[DataFrame], DataFrame], texts: Callable[[DataFrame], DataFrame], shingles: Callable[[str], frozenset]) -> tuple[DataFrame, DataFrame]:
+            def pairs(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+                hit = meet(i, j) & fits(mark[i], mark[j])
+                if words is not None and hit.any():
+                    at = np.flatnonzero(hit)
+                    i, j = i[at], j[at]
+                    differing = np.bitwise_count(words[i] ^ words[j]).sum(1, dtype=np.int64)
+                    hit[at] = differing * (100 + SIMILAR) <= (mark[i] + mark[j]) * (100 - SIMILAR)
+                return hit
+
+            i, j, dense = candidates(group, pairs)
+            rows = table.select(names)
+            if len(i):
+                a, b = np.unique(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])]), axis=1)
+                none = {c: pa.nulls(len(a), rows.schema.field(c).type) for c in names}
+                yield from pa.table(none | {"node": pa.array(a), "other": pa.array(b)}).to_batches()
+            if dense.any():
+                kept = rows.filter(pa.array(dense))
+                yield from pa.table({c: kept.column(c) for c in names} | {"other": pa.nulls(len(kept), pa.int64())}).combine_chunks().to_batches()
+
+    dealt = groups.select(*names, "part", *sketched).repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "node")
+    return dealt.mapInArrow(run, "key long, low int, high int, own int, node long, mark long, other long")
+
+
+def tied(rows: DataFrame, fits: Fits, decode: Decode) -> DataFrame:
+    """Links (a, b) that tie the components of each group's rows (key, low, high, own, node, part, mark, content)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, group in _Groups(batches, BLOCK):
+            meet, mark = _may_meet(table), table.column("mark").to_numpy()
+            part, node = (table.column(c).to_numpy() for c in ("part", "node"))
+            content = table.column("content").combine_chunks()
+            starts = np.append(np.flatnonzero(np.append(True, group[1:] != group[:-1])), len(group)).tolist()
+            found: list[tuple[int, int]] = []
+            for begin, end in zip(starts, starts[1:]):
+                found += _spanned(begin, end, meet, lambda i, j: fits(mark[i], mark[j]), part, content, decode)
+            if found:
+                a, b = np.array(found).T
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[a], node[b])), pa.array(np.maximum(node[a], node[b]))], names=["a", "b"])
+
+    dealt = rows.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "node")
+    return dealt.mapInArrow(run, "a long, b long")
+
+
+def _spanned(begin: int, end: int, meet: Callable, fits: Callable, part: np.ndarray, content: pa.Array, decode: Decode) -> Iterator[tuple[int, int]]:
+    """The links of a spanning forest over the components of one group's rows."""
+    above: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while x in above:
+            x = above[x]
+        return x
+
+    sets: dict[int, np.ndarray] = {}
+
+    def elements(i: int) -> np.ndarray:
+        if i not in sets:
+            sets[i] = np.unique(decode(content.slice(i, 1))[0])
+        return sets[i]
+
+    rows = np.arange(begin, end)
+    for i in range(begin, end):
+        after = rows[i + 1 - begin :]
+        at = np.full(len(after), i)
+        for j in after[meet(at, after) & fits(at, after)].tolist():
+            a, b = root(int(part[i])), root(int(part[j]))
+            if a == b:
+                continue
+            x, y = elements(i), elements(j)
+            if 100 * min(len(x), len(y)) < SIMILAR * max(len(x), len(y)):
+                continue
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            if both and 100 * both >= SIMILAR * (len(x) + len(y) - both):
+                above[max(a, b)] = min(a, b)
+                yield i, j
+        sets.pop(i, None)
+
+
+def link(lists: DataFrame, fits: Fits, contents: Callable[[DataFrame], DataFrame], decode: Decode, sketches: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Links (a, b) found and components (id, component) of the nodes they tie.
 
-    For a table of nodes sketches gives (node, n, s0..) and texts (node, content), one row each;
-    shingles(text) is the exact set. Texts are fetched only for pairs that pass the bounds."""
-    lists = materialize(shared_lists(postings), "lists")
-    sizes = lists.groupBy("key").agg(F.count("*").alias("length"))
-    scores = lists.join(sizes, "key").groupBy("node").agg(F.sum("length").alias("score"))
-    info = scores.join(sketches(materialize(lists.select("node").distinct(), "nodes")).select("node", "n", *SKETCH), "node")
-    members = materialize(lists.join(info, "node"), "members")
-    own = ["node", "n", *SKETCH]
-    lead = members.groupBy("key").agg(F.max(F.struct("score", *own)).alias("lead"))
-    led = members.join(lead.select("key", *(F.col(f"lead.{c}").alias(f"o_{c}") for c in own)), "key").filter((F.col("node") != F.col("o_node")) & may_link())
-    pair = [F.least("node", "o_node").alias("a"), F.greatest("node", "o_node").alias("b")]
-    tried = materialize(led.select(*pair).distinct(), "tried")
-    links = materialize(verify(tried, texts, shingles), "links")
+    lists: of listed(), a written table. contents(nodes) gives (node, content), one row each, and
+    decode the sets of a column of them. sketches: (node, n, s0..), n being the mark as well."""
+    pairs = lists.filter("lead is not null").select(F.least("lead", "node").alias("a"), F.greatest("lead", "node").alias("b")).distinct()
+    if sketches is not None:
+        named = materialize(lists.select("node").distinct(), "nodes")
+        sketches = materialize(only(sketches, named).dropDuplicates(["node"]), "sketches")
+        right = sketches.select(F.col("node").alias("b"), *(F.col(c).alias(f"o_{c}") for c in ("n", *SKETCH)))
+        pairs = pairs.join(sketches.withColumnRenamed("node", "a"), "a").join(right, "b").filter(may_link()).select("a", "b")
+    tried = materialize(pairs, "tried")
+    links = materialize(verify(tried, contents, decode), "links")
     parts = materialize(connected_components(links), "parts")
-    placed = members.join(parts.withColumnsRenamed({"id": "node", "component": "part"}), "node", "left").withColumn("part", F.coalesce("part", "node"))
-    spans = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low != high").select("key")
-    rest = materialize(placed.join(spans, "key").select("key", "part", *own), "rest")
-    other = rest.select("key", F.col("part").alias("o_part"), *(F.col(c).alias(f"o_{c}") for c in own))
-    across = rest.join(other, "key").filter((F.col("node") < F.col("o_node")) & (F.col("part") != F.col("o_part")) & may_link())
-    fresh = materialize(across.select(*pair).distinct().join(tried, ["a", "b"], "left_anti"), "across")
-    more = materialize(verify(fresh, texts, shingles), "links")
+    placed = materialize(placed_in(lists.select("key", "node", "mark"), parts), "placed")
+    spans = materialize(placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("length")).filter("low != high").select("key", "length"), "spans")
+    rest = grouped(join_sized(placed, spans, "key", "length"))
+    if sketches is not None:
+        rest = rest.join(sketches.select("node", *SKETCH), "node")
+    found = materialize(across(rest, fits), "across")
+    pairs = materialize(found.filter("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+    if not pairs.isEmpty():
+        links, parts = _joined(links, parts, materialize(verify(pairs, contents, decode), "links"))
+    dense = placed_in(found.filter("other is null").drop("other"), parts)
+    spans = dense.groupBy("key", "low", "high").agg(F.min("part").alias("least"), F.max("part").alias("most")).filter("least != most").select("key", "low", "high")
+    dense = materialize(dense.join(spans, ["key", "low", "high"]), "dense")
+    if not dense.isEmpty():
+        known = materialize(contents(materialize(dense.select("node").distinct(), "named")), "contents").select("node", "content")
+        links, parts = _joined(links, parts, materialize(tied(dense.join(known, "node"), fits, decode), "links"))
+    return links, parts
+
+
+def placed_in(rows: DataFrame, parts: DataFrame) -> DataFrame:
+    """rows (node, ...) with part, the component of the node."""
+    return rows.join(fewer(parts).withColumnsRenamed({"id": "node", "component": "part"}), "node", "left").withColumn("part", F.coalesce("part", "node"))
+
+
+def _joined(links: DataFrame, parts: DataFrame, more: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links and components after more links: what is joined already enters as stars, so few rounds are left."""
     if more.isEmpty():
         return links, parts
-    # what is joined already enters as stars, so few rounds are left
-    joined = parts.filter("id != component").select(F.col("id").alias("a"), F.col("component").alias("b")).union(more)
-    return links.union(more), materialize(connected_components(joined), "parts")
+    stars = parts.filter("id != component").select(F.col("id").alias("a"), F.col("component").alias("b"))
+    return links.union(more), materialize(connected_components(stars.union(more)), "parts")

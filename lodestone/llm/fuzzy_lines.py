@@ -4,7 +4,7 @@ A line is what stands between newlines, without outer white space; every line wi
 takes part, in the pipeline's stage only lines of STAGE_MIN_CHARS characters or more. Its set holds the shingles of K characters (letters folded to lower
 case); a shorter line is one shingle. BANDS bands of ROWS minima find candidates: a pair of
 similarity 0.8 is missed with probability (1 - 0.8^ROWS)^BANDS, under 0.2 %, and the exact
-similarity of every candidate is verified, but for those whose marks (four bits of 16 minima)
+similarity of every candidate is verified, but for those whose marks (two bits of 32 minima)
 agree in fewer than MARK_AGREE places. Verified links make components, in which the line of
 the least (doc_id, line number) is kept and all others go.
 
@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm import linking
 from lodestone.llm.arrow import rows as row_tuples
+from lodestone.llm.arrow import unused
 from lodestone.llm.qgram_decontam import fold
 from lodestone.llm.textblocks import mix
 from lodestone.session import materialize, table
@@ -40,8 +41,8 @@ STAGE_MIN_CHARS = 10
 #: would share most of their shingles without being copies.
 K = 5
 BANDS, ROWS = 12, 4
-#: Besides the band in common, a pair of similarity 0.8 agrees in fewer of a mark's 16 parts with probability 0.00007, one of similarity 0.1 in as many with 0.02.
-MARK_AGREE = 7
+#: Besides the band in common, a pair of similarity 0.8 agrees in fewer of a mark's 32 parts with probability 0.00004, one of similarity 0.2 in as many with 0.05, of 0.1 with 0.005.
+MARK_AGREE = 19
 #: Characters whose shingles are hashed at a time.
 CHUNK = 1 << 16
 WHITE = " \t\r\v\f"
@@ -123,18 +124,17 @@ def signatures(lines: list[str], least: np.ndarray | None = None) -> np.ndarray:
 
 
 def marks(least: np.ndarray) -> np.ndarray:
-    """Four bits of 16 of the minima (all bands have a share in them), a 64-bit number a line."""
-    chosen = (np.arange(16) * ROWS + np.arange(16) // BANDS) % (BANDS * ROWS)
-    four = least[:, chosen].astype(np.uint64) & np.uint64(15)
-    return (four << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(1, dtype=np.uint64).view(np.int64)
+    """Two bits of 32 of the minima (all bands have a share in them), a 64-bit number a line."""
+    chosen = np.arange(32) % BANDS * ROWS + np.arange(32) // BANDS
+    two = least[:, chosen].astype(np.uint64) & np.uint64(3)
+    return (two << (np.arange(32, dtype=np.uint64) * np.uint64(2))).sum(1, dtype=np.uint64).view(np.int64)
 
 
 def fits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Whether at least MARK_AGREE of the 16 minima agree in four bits."""
+    """Whether at least MARK_AGREE of the 32 minima agree in two bits."""
     differing = (a ^ b).view(np.uint64)
     differing |= differing >> np.uint64(1)
-    differing |= differing >> np.uint64(2)
-    return np.bitwise_count(differing & np.uint64(0x1111111111111111)) <= 16 - MARK_AGREE
+    return np.bitwise_count(differing & np.uint64(0x5555555555555555)) <= 32 - MARK_AGREE
 
 
 def line_postings(docs: DataFrame, min_chars: int) -> DataFrame:
@@ -196,17 +196,19 @@ def duplicates(docs: DataFrame, min_chars: int | None = None) -> DataFrame:
     return lost.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set("line_no")).alias("removed"))
 
 
-def without(docs: DataFrame, lost: DataFrame) -> DataFrame:
-    """docs with a column removed, and text without those lines."""
-    lost = lost.select(F.col("doc_id").alias("_lost_id"), F.col("text_hash").alias("_lost_text"), F.col("removed").alias("_removed"))
-    joined = docs.withColumn("_hash", F.xxhash64("text")).join(lost, F.col("doc_id").cast("long").eqNullSafe(F.col("_lost_id")) & (F.col("_hash") == F.col("_lost_text")), "left")
+def without(docs: DataFrame, lost: DataFrame, changed: str) -> DataFrame:
+    """docs with text without those lines, and a column changed that tells which texts have lost any."""
+    own, doc, text, gone = unused(docs.withColumn(changed, F.lit(0)), "_hash", "_lost_id", "_lost_text", "_removed")
+    lost = lost.select(F.col("doc_id").alias(doc), F.col("text_hash").alias(text), F.col("removed").alias(gone))
+    joined = docs.withColumn(own, F.xxhash64("text")).join(lost, F.col("doc_id").cast("long").eqNullSafe(F.col(doc)) & (F.col(own) == F.col(text)), "left")
 
     def kept(lines: Column) -> Column:  # by a hash of the numbers: linear, however many lines go
-        numbers = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_removed"))
+        numbers = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone))
         return F.array_join(F.transform(numbers, lambda i: F.get(lines, i)), "\n")
 
     rest = F.element_at(F.transform(F.array(F.split("text", "\n", -1)), kept), 1)
-    return joined.withColumn("text", F.when(F.col("_removed").isNull(), F.col("text")).otherwise(rest)).drop("_hash", "_lost_id", "_lost_text")
+    done = joined.withColumns({"text": F.when(F.col(gone).isNull(), F.col("text")).otherwise(rest), changed: F.col(gone).isNotNull()})
+    return done.drop(own, doc, text, gone)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -221,6 +223,9 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without duplicate lines; one that has nothing left but white space goes."""
-    done = without(docs, duplicates(docs, STAGE_MIN_CHARS)).filter(F.col("_removed").isNull() | (F.btrim("text", F.lit(" \t\r\n\v\f")) != ""))
-    columns = [F.char_length("text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
-    return done.select(*(F.when(F.col("_removed").isNull(), F.col(c)).otherwise(x).alias(c) if c == "n_chars" else x for c, x in zip(docs.columns, columns)))
+    (changed,) = unused(docs, "_changed")
+    done = without(docs, duplicates(docs, STAGE_MIN_CHARS), changed).filter(~F.col(changed) | (F.btrim("text", F.lit(WHITE + "\n")) != ""))
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        done = done.withColumn("n_chars", F.when(F.col(changed), F.char_length("text").cast(kind)).otherwise(F.col("n_chars")))
+    return done.select(*(F.col(f"`{c}`") for c in docs.columns))

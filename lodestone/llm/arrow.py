@@ -43,3 +43,15 @@ def map_rows(df: DataFrame, function: Callable[[Iterator[tuple]], Iterable[tuple
         yield from emit(function(rows(batches)), arrow, limit)
 
     return df.mapInArrow(run, schema)
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names for working columns that no column of df has, in any case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out

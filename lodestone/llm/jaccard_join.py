@@ -16,7 +16,7 @@ Nodes are 64-bit hashes of sets: of n different sets some two share one with pro
 n squared / 2^65. Texts are found again by 64-bit hashes of themselves, never by doc_id.
 
 Defined cases: null texts and texts without words have an empty set and link with nothing;
-repeated rows are copies; a doc_id may come with several texts, each judged by itself; a null
+repeated rows are copies, of which the stage keeps one; a doc_id may come with several texts, each judged by itself; a null
 doc_id keeps its row and is no one's smallest id unless all are null; an empty table gives an
 empty result.
 """
@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import linking
+from lodestone.llm.arrow import unused
 from lodestone.llm.textblocks import blocks, mix, words
 from lodestone.session import materialize, table
 
@@ -251,7 +252,45 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: that with the smallest doc_id. Documents without words are kept."""
-    found = join(docs)[0]
-    gone = found.filter((F.col("doc_id") != F.col("component_id")) & (F.col("n_shingles") > 0)).select(F.col("doc_id").alias("_gone_id"), F.col("text_hash").alias("_gone_text")).distinct()
-    return docs.join(gone, (F.col("doc_id").cast("long") == F.col("_gone_id")) & (F.xxhash64("text") == F.col("_gone_text")), "left_anti")
+    """One document of each group of near copies: that with the smallest doc_id, of several texts of that id the one with the least hash, of repeated rows any one.
+
+    Documents without words, and rows with a null doc_id, are kept."""
+    found = join(docs)[0].filter((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
+    rows = found.groupBy("doc_id", "text_hash").agg(F.count("*").alias("rows"), F.first("component_id").alias("component_id"))
+    least = rows.filter("doc_id = component_id").groupBy("component_id").agg(F.min("text_hash").alias("kept_hash"), F.count("*").alias("texts"))
+    doc, text, own = unused(docs, "_id", "_text", "_own")
+    named = rows.join(least.filter("texts > 1").drop("texts"), "component_id", "left")
+    named = materialize(named.select(F.col("doc_id").alias(doc), F.col("text_hash").alias(text), "rows", ((F.col("doc_id") != F.col("component_id")) | (F.col("text_hash") != F.coalesce("kept_hash", "text_hash"))).alias("gone")), "named")
+    keyed = docs.withColumns({own: F.xxhash64("text")})
+    match = lambda other: (F.col("doc_id").cast("long") == other[doc]) & (F.col(own) == other[text])
+    gone, twice = named.filter("gone").drop("rows", "gone"), named.filter("not gone and rows > 1").drop("rows", "gone")
+    kept = keyed.join(gone, match(gone), "left_anti")
+    if not twice.isEmpty():
+        once = kept.join(twice, match(twice), "left_semi").withColumn(doc, F.col("doc_id").cast("long")).dropDuplicates([doc, own]).drop(doc)
+        kept = kept.join(twice, match(twice), "left_anti").unionByName(once)
+    return kept.select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
+#: The same classes by a join on rare shingles: two sets of similarity 0.8 share one of the n - ceil(0.8 n) + 1 rarest of either.
+ORACLE = r"""
+WITH RECURSIVE named AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), elements AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM named
+), sizes AS (SELECT doc_id, count(*) AS n FROM elements GROUP BY doc_id
+), shares AS (SELECT s, count(*) AS c FROM elements GROUP BY s
+), ranked AS (
+  SELECT doc_id, n, s, row_number() OVER (PARTITION BY doc_id ORDER BY c, s) AS place FROM elements JOIN shares USING (s) JOIN sizes USING (doc_id)
+), heads AS (SELECT doc_id, n, s FROM ranked WHERE place <= n - (80 * n + 99) // 100 + 1
+), pairs AS (
+  SELECT DISTINCT x.doc_id AS a, y.doc_id AS b, x.n AS n, y.n AS m FROM heads x JOIN heads y ON x.s = y.s AND x.doc_id < y.doc_id WHERE least(x.n, y.n) * 100 >= greatest(x.n, y.n) * 80
+), links AS (
+  SELECT a, b FROM pairs JOIN elements x ON x.doc_id = a JOIN elements y ON y.doc_id = b AND y.s = x.s GROUP BY a, b, n, m HAVING 100 * count(*) >= 80 * (n + m - count(*))
+), ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links
+), reached AS (
+  SELECT doc_id, doc_id AS other FROM documents UNION SELECT doc_id, b FROM reached JOIN ways ON a = other
+)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id
+FROM documents d LEFT JOIN sizes USING (doc_id) JOIN (SELECT doc_id, min(other) AS component_id FROM reached GROUP BY doc_id) USING (doc_id)
+"""

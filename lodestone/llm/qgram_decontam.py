@@ -1,18 +1,25 @@
 """Benchmark decontamination by the q-gram lemma and banded alignment.
 
-Every benchmark item is covered by windows of WIDTH characters. A document region that holds a
-window with at most e edits shares at least w + 1 - q(e + 1) of its q-grams, all on diagonals no
-more than e apart. So the q-grams that document and benchmark share are counted in overlapping
-bands of diagonals, regions that meet the bound are retained, and each is verified by a banded
-alignment of the window. Text is compared with A-Z and their Latin-1 kin in lower case.
+Every benchmark item is covered by windows of WIDTH characters; equal windows are one. A document
+region that holds a window with at most e edits shares at least w + 1 - q(e + 1) of its q-grams,
+all on diagonals no more than e apart. So the q-grams that document and benchmark share are
+counted in overlapping bands of diagonals, regions that meet the bound are retained, and each is
+verified by a bit-parallel alignment of the window. A q-gram that a window holds more than once
+counts once for a place of the text in each band that its places span, which can only add
+regions to verify. Text is compared with A-Z and their Latin-1 kin in lower case.
+
+Memory is bounded whatever repeats: places of the text are taken in pieces with at most PAIRS
+(place, window) pairs that overlap by more than a region's length (one stretch of twice that
+length is the least piece).
 
 The benchmark goes to every task, in blocks of at most BLOCK_CHARS characters: a larger one takes
-several passes over the documents, never a larger broadcast.
+several passes over the documents, each written before the next, never a larger broadcast.
 
-Defined cases: null or empty texts have no regions; items that are null or shorter than MIN_ITEM
-characters are not searched (they are no evidence); repeated items are all reported; repeated
-documents are judged one by one; an empty benchmark finds nothing; an empty table gives an empty
-result.
+Defined cases: null or empty texts have no regions; items shorter than MIN_ITEM characters must
+stand in the text exactly and between word borders; if shorter than Q they are too weak to make a
+document contaminated and are reported apart (weak); null and blank items are not searched;
+repeated items are all reported; repeated documents are judged one by one; an empty benchmark
+finds nothing; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,12 +27,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 from typing import NamedTuple
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.session import table
+from lodestone.session import materialize, table
 
 Q = 12
 WIDTH, EDITS = 72, 4
@@ -34,7 +42,9 @@ MIN_ITEM = 32
 BLOCK_CHARS = 2_000_000
 GROUP = 1 << 20
 TABLE_BITS = 22
-GAP = 1 << 8  # between items on the benchmark's line, so that no diagonal band serves two
+PAIRS = 1 << 21
+#: Pieces of a text's places overlap by this much, more than a region is long.
+OVERLAP = 2 * WIDTH
 
 _LOWER = {c: ord(chr(c).lower()) for c in range(256) if len(chr(c).lower()) == 1 and ord(chr(c).lower()) < 256}
 _K1, _K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -63,11 +73,16 @@ def gram_hashes(raw: bytes) -> np.ndarray:
 
 
 class Window(NamedTuple):
-    item: int  # its number in the block
-    start: int  # in the item
     text: str
     edits: int
     bound: int  # shared q-grams that a region must have
+    uses: list[int]  # the items' numbers in the block
+    whole: bool  # a short item, which must stand between word borders
+
+    @property
+    def item(self) -> int:
+        """The first that uses it."""
+        return self.uses[0]
 
 
 class Block(NamedTuple):
@@ -75,12 +90,12 @@ class Block(NamedTuple):
 
     ids: list
     windows: list[Window]
-    origins: np.ndarray  # of the windows on the benchmark's line
     present: np.ndarray  # bitmap over hash prefixes
     hashes: np.ndarray  # distinct, ascending
     firsts: np.ndarray  # where a hash's entries begin, and one more
-    places: np.ndarray  # entries: position on the line
+    places: np.ndarray  # entries: position in the window
     owners: np.ndarray  # entries: window
+    weak: ahocorasick.Automaton | None  # the items under Q characters
 
 
 def window_rule(width: int) -> tuple[int, int]:
@@ -91,53 +106,79 @@ def window_rule(width: int) -> tuple[int, int]:
     return edits, max(1, width + 1 - Q * (edits + 1))
 
 
+def cover(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, places) of a window's q-grams: a place each, and EDITS + 1 further for the band that overlaps; of repeated ones, places BAND apart from the first to the last, which meet the same bands."""
+    order = np.argsort(found, kind="stable")
+    starts = np.flatnonzero(np.append(True, found[order][1:] != found[order][:-1])) if len(found) else order
+    last = np.append(starts[1:], len(found)) - 1
+    hashes, places = [], []
+    for h, low, high in zip(found[order][starts].tolist(), order[starts].tolist(), (order[last] + EDITS + 1).tolist() if len(found) else []):
+        at = [*range(low, high, BAND), high]
+        hashes += [h] * len(at)
+        places += at
+    return np.array(hashes, np.uint64), np.array(places, np.int64)
+
+
 def build(items: list[tuple[int, str]]) -> Block:
-    windows, origins, hashes, places, owners = [], [], [], [], []
-    line = 0
+    known: dict[tuple[str, bool], Window] = {}
+    weak: dict[str, list[int]] = {}
     for k, (_, text) in enumerate(items):
         text = fold(text)
+        if len(text) < MIN_ITEM:
+            text = text.strip()
+            if len(text) >= Q:
+                known.setdefault((text, True), Window(text, 0, len(text) + 1 - Q, [], True)).uses.append(k)
+            elif text:
+                weak.setdefault(text, []).append(k)
+            continue
         width = min(WIDTH, len(text))
-        starts = sorted({*range(0, len(text) - width + 1, WIDTH // 2), len(text) - width})
-        for start in starts:
+        for start in sorted({*range(0, len(text) - width + 1, WIDTH // 2), len(text) - width}):
             part = text[start : start + width]
-            edits, bound = window_rule(width)
-            found = gram_hashes(as_bytes(part))
-            hashes.append(found)
-            places.append(line + start + np.arange(len(found)))
-            owners.append(np.full(len(found), len(windows)))
-            windows.append(Window(k, start, part, edits, bound))
-            origins.append(line + start)
-        line += len(text) + GAP
+            uses = known.setdefault((part, False), Window(part, *window_rule(width), [], False)).uses
+            if not uses or uses[-1] != k:
+                uses.append(k)
+    windows = list(known.values())
+    hashes, places = zip(*(cover(gram_hashes(as_bytes(w.text))) for w in windows)) if windows else ((), ())
+    owners = np.repeat(np.arange(len(windows)), [len(x) for x in hashes])
     every = np.concatenate([np.zeros(0, np.uint64), *hashes])
     order = np.argsort(every, kind="stable")
     distinct, firsts = np.unique(every[order], return_index=True)
     present = np.zeros(1 << TABLE_BITS, bool)
     present[distinct >> np.uint64(64 - TABLE_BITS)] = True
-    join = lambda parts: np.concatenate([np.zeros(0, np.int64), *parts])[order]
-    return Block([i for i, _ in items], windows, np.array(origins, np.int64), present, distinct, np.append(firsts, len(every)), join(places), join(owners))
+    automaton = None
+    if weak:
+        automaton = ahocorasick.Automaton()
+        for text, uses in weak.items():
+            automaton.add_word(text, (len(text), uses))
+        automaton.make_automaton()
+    return Block([i for i, _ in items], windows, present, distinct, np.append(firsts, len(every)), np.concatenate([np.zeros(0, np.int64), *places])[order], owners[order], automaton)
 
 
 def align(pattern: str, region: str, edits: int) -> tuple[int, int, int] | None:
-    """The best place of pattern in region with at most that many edits: (edits, start, end); start is exact up to the edits."""
+    """The best place of pattern in region with at most that many edits: (edits, start, end), the first of the best; start is exact up to the edits. A column of the alignment is a pair of bit vectors."""
     at = region.find(pattern)
     if at >= 0:
         return 0, at, at + len(pattern)
-    slack = len(region) - len(pattern)  # the band: a place starts at 0..slack, give or take the edits
-    far = edits + 1
-    now = {j: 0 for j in range(0, min(len(region), slack + edits) + 1)}
-    for i, c in enumerate(pattern, 1):
-        then = {}
-        for j in range(max(0, i - edits), min(len(region), i + slack + edits) + 1):
-            best = min(now.get(j, far) + 1, then.get(j - 1, far) + 1)
-            if j and j - 1 in now:
-                best = min(best, now[j - 1] + (region[j - 1] != c))
-            if best < far:
-                then[j] = best
-        if not then:
-            return None
-        now = then
-    cost, end = min((v, j) for j, v in now.items())
-    return cost, max(0, end - len(pattern)), end
+    if not edits:
+        return None
+    size = len(pattern)
+    top, full = 1 << (size - 1), (1 << size) - 1
+    masks: dict[str, int] = {}
+    for i, c in enumerate(pattern):
+        masks[c] = masks.get(c, 0) | 1 << i
+    up, down, cost = full, 0, size  # where the column rises and falls
+    best = edits + 1, 0
+    for end, c in enumerate(region, 1):
+        same = masks.get(c, 0)
+        across = (((same & up) + up) ^ up) | same | down
+        rise, fall = down | (full & ~(across | up)), up & across
+        cost += bool(rise & top) - bool(fall & top)
+        if cost < best[0]:
+            best = cost, end
+        rise, fall = (rise << 1) & full, (fall << 1) & full  # a place may begin anywhere: no cost from above
+        keep = same | down
+        up, down = fall | (full & ~(keep | rise)), rise & keep
+    return None if best[0] > edits else (best[0], max(0, best[1] - size), best[1])
 
 
 def search(texts: list[str | None], block: Block) -> Iterator[list[tuple[int, int, int, int]]]:
@@ -153,43 +194,85 @@ def search(texts: list[str | None], block: Block) -> Iterator[list[tuple[int, in
     yield from _search(held, block)
 
 
+def weak_items(text: str | None, block: Block) -> list:
+    """The ids of items under Q characters that stand in the text between word borders, each once."""
+    if block.weak is None or not text:
+        return []
+    text = fold(text)
+    found = {k for end, (size, uses) in block.weak.iter(text) if bordered(text, end + 1 - size, end + 1) for k in uses}
+    return [block.ids[k] for k in sorted(found)]
+
+
+def bordered(text: str, start: int, end: int) -> bool:
+    return not (start and text[start - 1].isalnum() and text[start].isalnum()) and not (end < len(text) and text[end].isalnum() and text[end - 1].isalnum())
+
+
+def _bordered_place(pattern: str, text: str, first: int, last: int) -> tuple[int, int, int] | None:
+    at = text.find(pattern, first, last)
+    while at >= 0:
+        if bordered(text, at, at + len(pattern)):
+            return 0, at - first, at - first + len(pattern)
+        at = text.find(pattern, at + 1, last)
+    return None
+
+
+def _bands(at: np.ndarray, slot: np.ndarray, doc: np.ndarray, bound: np.ndarray, block: Block) -> set[tuple[int, int, int]]:
+    """(text, window, band) of the bands in which places at share enough q-grams (slot) with a window."""
+    times = block.firsts[slot + 1] - block.firsts[slot]
+    stops = np.append(0, np.cumsum(times))
+    kept: set[tuple[int, int, int]] = set()
+    begin = 0
+    while begin < len(at):
+        end = max(int(np.searchsorted(stops, stops[begin] + PAIRS, "right")) - 1, int(np.searchsorted(at, at[begin] + 2 * OVERLAP)))
+        n = times[begin:end]
+        which = np.repeat(np.arange(begin, end), n)
+        entry = block.firsts[slot[which]] + np.arange(stops[end] - stops[begin]) - (stops[which] - stops[begin])
+        owner, band = block.owners[entry], (at[which] - block.places[entry]) // BAND
+        # the text is part of the key (a band may not add up the q-grams of two texts), and a place counts once
+        order = np.lexsort((which, band, doc[which], owner))
+        owner, band, which = owner[order], band[order], which[order]
+        text = doc[which]
+        new = np.append(True, (owner[1:] != owner[:-1]) | (band[1:] != band[:-1]) | (text[1:] != text[:-1]))
+        once = new | np.append(True, which[1:] != which[:-1])
+        starts = np.flatnonzero(new)
+        counts = np.add.reduceat(once.astype(np.int64), starts)
+        hit = starts[counts >= bound[owner[starts]]]
+        kept.update(zip(text[hit].tolist(), owner[hit].tolist(), band[hit].tolist()))
+        if end >= len(at):
+            break
+        begin = max(begin + 1, int(np.searchsorted(at, at[end - 1] - OVERLAP)))
+    return kept
+
+
 def _search(texts: list[str], block: Block) -> Iterator[list[tuple[int, int, int, int]]]:
     raw = b"".join(map(as_bytes, texts))
     borders = np.cumsum([0, *map(len, texts)])
-    hashes = gram_hashes(raw)
-    at = np.flatnonzero(block.present[hashes >> np.uint64(64 - TABLE_BITS)]) if len(hashes) and len(block.hashes) else np.zeros(0, np.int64)
-    slot = np.minimum(np.searchsorted(block.hashes, hashes[at]), max(0, len(block.hashes) - 1))
-    same = block.hashes[slot] == hashes[at] if len(at) else np.zeros(0, bool)
-    at, slot = at[same], slot[same]
-    doc = np.searchsorted(borders, at, "right") - 1
-    inside = at + Q <= borders[doc + 1]
-    at, slot = at[inside], slot[inside]
     found: dict[int, list[tuple[int, int, int, int]]] = {}
-    if len(at):
-        times = block.firsts[slot + 1] - block.firsts[slot]
-        stops = np.cumsum(times)
-        entry = np.repeat(block.firsts[slot] - (stops - times), times) + np.arange(stops[-1])
-        where = np.repeat(at, times)
-        diagonal = where - block.places[entry]
-        low = int(diagonal.min()) - 2 * BAND
-        owner = block.owners[entry]
-        band = (diagonal - low) // BAND
-        near = (diagonal - low) % BAND <= EDITS  # also in the band before, which reaches EDITS further
-        # the text is part of the key: a band may not add up the q-grams of two texts
-        keys = np.column_stack([np.concatenate([owner, owner[near]]), np.concatenate([band, band[near] - 1]), np.searchsorted(borders, np.concatenate([where, where[near]]), "right") - 1])
-        order = np.lexsort(keys.T)
-        keys = keys[order]
-        new = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]).any(1)))
-        counts = np.diff(np.append(new, len(keys)))
+    if len(block.hashes):
         bound = np.array([w.bound for w in block.windows])
-        keep = counts >= bound[keys[new, 0]]
-        for w, b, d in keys[new[keep]].tolist():
+        kept: set[tuple[int, int, int]] = set()
+        for a in range(0, max(1, len(raw)), GROUP):
+            part = raw[max(0, a - OVERLAP) : a + GROUP + Q - 1]
+            hashes = gram_hashes(part)
+            at = np.flatnonzero(block.present[hashes >> np.uint64(64 - TABLE_BITS)])
+            slot = np.minimum(np.searchsorted(block.hashes, hashes[at]), len(block.hashes) - 1)
+            same = block.hashes[slot] == hashes[at]
+            at, slot = at[same] + max(0, a - OVERLAP), slot[same]
+            doc = np.searchsorted(borders, at, "right") - 1
+            inside = at + Q <= borders[doc + 1]
+            kept |= _bands(at[inside], slot[inside], doc[inside], bound, block)
+        for d, w, b in sorted(kept):
             window = block.windows[w]
-            begin = b * BAND + low + int(block.origins[w]) - int(borders[d])
+            begin = b * BAND - int(borders[d])
             first, last = max(0, begin - window.edits), begin + BAND + EDITS + len(window.text) + window.edits
-            hit = align(window.text, texts[d][first : max(0, last)], window.edits)
+            hit = _bordered_place(window.text, texts[d], first, max(0, last)) if window.whole else align(window.text, texts[d][first : max(0, last)], window.edits)
             if hit:
-                found.setdefault(d, []).append((window.item, first + hit[1], first + hit[2], hit[0]))
+                own = found.setdefault(d, [])
+                for item in window.uses:
+                    if own and own[-1][0] == item and own[-1][1] <= first + hit[1] <= own[-1][2] <= first + hit[2] and own[-1][3] == hit[0]:
+                        own[-1] = (item, own[-1][1], first + hit[2], hit[0])  # long runs stay one
+                    else:
+                        own.append((item, first + hit[1], first + hit[2], hit[0]))
     for d in range(len(texts)):
         yield _joined(found.get(d, []), block.ids)
 
@@ -209,7 +292,7 @@ def item_blocks(benchmark: DataFrame) -> Iterator[Block]:
     """Blocks of (item_id, text) of bounded size, fetched one after the other."""
     held: list[tuple[int, str]] = []
     size = 0
-    for row in benchmark.select(F.col("item_id").cast("long"), "text").filter(F.length("text") >= MIN_ITEM).orderBy("item_id", "text").toLocalIterator():
+    for row in benchmark.select(F.col("item_id").cast("long"), "text").filter(F.trim("text") != "").orderBy("item_id", "text").toLocalIterator():
         held.append((row[0], row[1]))
         size += len(row[1])
         if size >= BLOCK_CHARS:
@@ -223,7 +306,7 @@ REGION = "array<struct<item_id:bigint,start:int,end:int,edits:int>>"
 
 
 def find_regions(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(doc_id, regions) of every document; positions are code points."""
+    """(doc_id, regions, weak) of every document; positions are code points, weak has the ids of items under Q characters."""
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("edits", pa.int32())]))
     names = ("item_id", "start", "end", "edits")
 
@@ -232,10 +315,12 @@ def find_regions(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id
             for batch in batches:
                 for at in range(0, batch.num_rows, 512):
                     part = batch.slice(at, 512)
-                    found = [[dict(zip(names, hit)) for hit in hits] for hits in search(part.column("text").to_pylist(), block)]
-                    yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("row"), pa.array(found, kind)], names=["doc_id", "row", "regions"])
+                    texts = part.column("text").to_pylist()
+                    found = [[dict(zip(names, hit)) for hit in hits] for hits in search(texts, block)]
+                    weak = pa.array([weak_items(text, block) for text in texts], pa.list_(pa.int64()))
+                    yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("row"), pa.array(found, kind), weak], names=["doc_id", "row", "regions", "weak"])
 
-        return chosen.mapInArrow(run, f"doc_id long, row long, regions {REGION}")
+        return chosen.mapInArrow(run, f"doc_id long, row long, regions {REGION}, weak array<bigint>")
 
     blocks = item_blocks(benchmark)
     first, second = next(blocks, None) or build([]), next(blocks, None)
@@ -244,26 +329,25 @@ def find_regions(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id
     chosen = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text")).withColumn("row", row)
     if not several:
         return one(first).drop("row")
-    from lodestone.session import materialize
-
     chosen = materialize(chosen, "rows")  # fixes the row numbers for all passes
-    found = one(first).unionByName(one(second))
+    found = materialize(one(first), "regions").union(materialize(one(second), "regions"))
+    del first, second
     for block in blocks:
-        found = found.unionByName(one(block))
-    return found.groupBy("doc_id", "row").agg(F.flatten(F.collect_list("regions")).alias("regions")).drop("row")
+        found = found.union(materialize(one(block), "regions"))
+    return found.groupBy("doc_id", "row").agg(*(F.flatten(F.collect_list(c)).alias(c) for c in ("regions", "weak"))).drop("row")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_regions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     items = F.array_sort(F.array_distinct(F.transform("regions", lambda r: r["item_id"])))
     spans = F.array_join(F.transform(F.array_sort("regions"), lambda r: F.concat_ws(":", r["item_id"], r["start"], r["end"])), ",")
-    return found.select("doc_id", (F.size("regions") > 0).alias("contaminated"), F.size("regions").cast("long").alias("n_regions"), items.alias("item_ids"), spans.alias("spans"))
+    return found.select("doc_id", (F.size("regions") > 0).alias("contaminated"), F.size("regions").cast("long").alias("n_regions"), items.alias("item_ids"), spans.alias("spans"), F.array_sort(F.array_distinct("weak")).alias("weak_item_ids"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents without a region of the benchmark, one pass for each block of it."""
     kept = docs
-    for block in item_blocks(table(spark, sf_dir, "benchmark")):
+    for number, block in enumerate(item_blocks(table(spark, sf_dir, "benchmark"))):
 
         def run(batches: Iterator[pa.RecordBatch], block: Block = block) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -271,5 +355,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
                     part = batch.slice(at, 512)
                     yield part.filter(pa.array([not hits for hits in search(part.column("text").to_pylist(), block)], pa.bool_()))
 
+        if number:  # one worker a task, whatever the number of blocks
+            kept = materialize(kept, "clean")
         kept = kept.mapInArrow(run, docs.schema)
     return kept

@@ -1,9 +1,11 @@
 """Quality classifier: random Fourier features of document statistics, ridge scores, isotonic calibration.
 
 1. Every whole text becomes a short vector of statistics (lengths, character classes, repetition,
-   case, punctuation, line shapes). Language, source, id and labels are never among them.
-2. Labelled rows whose crc32(doc_id as text) mod 3 is not 1 teach. At most MAX_TRAIN_ROWS of them
-   are used (the bound on the fit; those with the lowest hashes). Three quarters fit the scores,
+   case, punctuation, line shapes, and the worst stretch of 64 words by marks, repetition, capitals
+   and pipes, which are what junk lines of web pages are made of). Language, source, id and
+   labels are never among them.
+2. Labelled rows whose crc32(doc_id as text) mod 3 is not 1 teach. About MAX_TRAIN_ROWS of them
+   are used if there are more (those with the lowest hashes, by their share). Three quarters fit the scores,
    one quarter calibrates them, split by another hash.
 3. Standardised statistics go through COS features cos(wx + b) that approximate a Gaussian kernel;
    each partition sums its share of the normal equations, the shares are added and ridge weights
@@ -80,10 +82,8 @@ def statistics(text: str | None) -> list[float]:
     symbols = sum(v for k, v in last.items() if k in "#*$%&|<>") / m
     # junk often fills only some lines of a long text: the worst window of words counts as well
     worst = [0.0, 0.0, 0.0, 0.0]
-    for at in range(0, m, 64):
+    for at in (*range(0, m - 64, 64), max(0, m - 64)):  # the last window is as long as the others
         part = words[at : at + 64]
-        if len(part) < 16 and at:
-            break
         k = len(part)
         worst[0] = max(worst[0], sum(w[-1] in "#*$%&<>" for w in part) / k)
         worst[1] = max(worst[1], 1 - len(set(part)) / k)
@@ -135,9 +135,9 @@ class Model(NamedTuple):
 
 
 def expand(model: Model, x: np.ndarray) -> np.ndarray:
-    """Cosine features of standardised statistics, the statistics themselves and a one."""
+    """Cosine features of standardised statistics, and a one."""
     z = np.clip((x - model.centre) / model.scale, -8, 8)
-    return np.hstack([np.sqrt(2 / COS) * np.cos(z @ model.frequencies + model.phases), z / np.sqrt(z.shape[1]), np.ones((len(z), 1))])
+    return np.hstack([np.sqrt(2 / COS) * np.cos(z @ model.frequencies + model.phases), np.ones((len(z), 1))])
 
 
 def held_out(doc_id: Column) -> Column:
@@ -172,10 +172,10 @@ def fit(taught: DataFrame) -> Model:
     share = 0.5 if row["share"] is None else float(row["share"])
     centre = np.array([row[f"m{i}"] or 0.0 for i in range(d)])
     scale = np.array([row[f"s{i}"] or 1.0 for i in range(d)])
-    model = Model(centre, scale, rng.normal(0, 1 / np.sqrt(2 * d), (d, COS)), rng.uniform(0, 2 * np.pi, COS), np.zeros(COS + d + 1), np.array([0.0]), np.array([share]))
+    model = Model(centre, scale, rng.normal(0, 1 / np.sqrt(2 * d), (d, COS)), rng.uniform(0, 2 * np.pi, COS), np.zeros(COS + 1), np.array([0.0]), np.array([share]))
     if not row["n"] or not 0 < share < 1:
         return model
-    size = COS + d + 1
+    size = COS + 1
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((size, size + 1))

@@ -5,10 +5,14 @@ A url that no rule fits takes the decision of its aliases: urls tied to it by ca
 redirects, however long the chain (connected components). Of the aliases' explicit decisions an
 allow goes before a block; without any, the url is allowed. A url's own rule is never overruled.
 
+Links are read outside comments, all of a page: absolute, protocol-relative, root-relative, relative
+to the page or its <base>, or a query alone, with dot segments removed and the entities of "&"
+and "/" decoded. Links of other schemes (mailto:) tie nothing.
+
 Defined cases: a null url, or one without "://", has empty host and path, fits no rule and has no
-aliases; null html has no links; repeated rows are judged one by one; two urls are one node if
-host, path and query are equal (scheme and fragment do not count); an empty table gives an empty
-result.
+aliases; a null page_id keeps its row; null html has no links; repeated rows are judged one by
+one; two urls are one node if host, path (without dot segments) and query are equal (scheme and
+fragment do not count); an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,16 +23,21 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm.components import connected_components
+from lodestone.llm.pii import bound
 from lodestone.session import materialize, table
 
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 #: Rules up to this number are part of the expression; more are joined by host suffix.
 INLINE_RULES = 64
 
-CANONICAL_TAG = r"""(?is)<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*>"""
-HREF = r"""(?is)\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
-REFRESH_TAG = r"""(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*>"""
+COMMENT = r"(?s)<!--.*?-->"
+CANONICAL_TAG = r"""(?is)<link\b[^>]*(?<![\w-])rel\s*=\s*(?:"[^">]*\bcanonical\b[^">]*"|'[^'>]*\bcanonical\b[^'>]*'|canonical\b)[^>]*>"""
+BASE_TAG = r"(?is)<base\b[^>]*>"
+HREF = r"""(?is)(?<![\w-])href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+REFRESH_TAG = r"""(?is)<meta\b[^>]*(?<![\w-])http-equiv\s*=\s*["']?refresh\b[^>]*>"""
 REFRESH_URL = r"""(?is)\burl\s*=\s*['"]?([^'">\s]+)"""
+#: The entities of the characters that urls need escaped.
+ENTITIES = ((r"(?i)&(?:sol|#0*47|#x0*2f);", "/"), (r"(?i)&(?:amp|#0*38|#x0*26);", "&"))
 
 
 def lower_ascii(c: Column) -> Column:
@@ -49,10 +58,58 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(_after_scheme(url), r"^[^/?#]*([^?#]*)", 1)
 
 
+def without_dots(path: Column) -> Column:
+    """A path from "/" on without its "." and ".." segments."""
+
+    def step(done: Column, segment: Column) -> Column:
+        up = F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(1)))  # the first, empty one stays
+        return F.when(segment == ".", done).when(segment == "..", up).otherwise(F.concat(done, F.array(segment)))
+
+    def clean(segments: Column) -> Column:
+        ends = F.when(F.element_at(segments, -1).isin(".", ".."), "/").otherwise("")
+        return F.concat(F.array_join(F.aggregate(segments, F.array().cast("array<string>"), step), "/"), ends)
+
+    return bound(path, lambda p: F.when(p.contains("/."), bound(F.split(p, "/", -1), clean)).otherwise(p))
+
+
+def query_of(url: Column) -> Column:
+    """The query with its "?"; empty without one."""
+    return F.regexp_extract(_after_scheme(url), r"^[^?#]*(\?[^#]*)", 1)
+
+
 def key_of(url: Column) -> Column:
     """The node of a url: host, path and query; null if it has no host."""
-    rest = F.regexp_extract(_after_scheme(url), r"^[^/?#]*([^#]*)", 1)
-    return F.when(host_of(url) != "", F.concat(host_of(url), rest))
+    return bound(url, lambda u: bound(host_of(u), lambda h: F.when(h != "", F.concat(h, without_dots(path_of(u)), query_of(u)))))
+
+
+def resolved(target: Column, base: Column) -> Column:
+    """The url that a link's target names on a page of url base; null for other schemes."""
+
+    def named(t: Column, b: Column) -> Column:
+        root = F.concat(F.lit("http://"), host_of(b))
+        folder = F.coalesce(F.nullif(F.regexp_extract(path_of(b), r"^(.*/)", 1), F.lit("")), F.lit("/"))
+        return (
+            F.when(t.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), t)
+            .when(t.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None))
+            .when(t.startswith("//"), F.concat(F.lit("http:"), t))
+            .when(t.startswith("/"), F.concat(root, t))
+            .when(t.startswith("?"), F.concat(root, path_of(b), t))
+            .when(t.startswith("#") | (t == ""), b)
+            .otherwise(F.concat(root, folder, t))
+        )
+
+    return bound(target, lambda t: bound(base, lambda b: named(t, b)))
+
+
+def plain(value: Column) -> Column:
+    """An attribute's value without outer white space, entities decoded."""
+    for pattern, character in ENTITIES:
+        value = F.regexp_replace(value, pattern, character)
+    return F.btrim(value, F.lit(" \t\r\n\f"))
+
+
+def href_of(tag: Column) -> Column:
+    return plain(F.concat(*(F.regexp_extract(tag, HREF, k) for k in (1, 2, 3))))
 
 
 def _split_rule(rule: str) -> tuple[str, str]:
@@ -82,13 +139,14 @@ def judge(urls: DataFrame, rules: Sequence[tuple[str, str]], host: str = "host",
 
 
 def alias_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(a, b): nodes that a page's canonical link or redirect ties together. Root-relative targets belong to the page's host."""
-    href = F.regexp_extract(F.regexp_extract(F.col(html), CANONICAL_TAG, 0), HREF, 0)
-    canonical = F.regexp_replace(F.regexp_replace(href, r"(?is)^href\s*=\s*", ""), r"""^["']|["']$""", "")
-    refresh = F.regexp_extract(F.regexp_extract(F.col(html), REFRESH_TAG, 0), REFRESH_URL, 1)
-    targets = pages.filter(F.lower(html).contains("canonical") | F.lower(html).contains("refresh")).select(F.col(url).alias("from"), F.explode(F.array(canonical, refresh)).alias("to"))
-    whole = F.when(F.col("to").startswith("//"), F.concat(F.lit("http:"), "to")).when(F.col("to").startswith("/"), F.concat(F.lit("http://"), host_of(F.col("from")), F.col("to"))).otherwise(F.col("to"))
-    return targets.select(key_of(F.col("from")).alias("a"), key_of(whole).alias("b")).filter("a is not null and b is not null and a != b").distinct()
+    """(a, b): nodes that a page's canonical links or redirects tie together."""
+    linked = pages.filter(F.lower(html).contains("canonical") | F.lower(html).contains("refresh")).select(F.col(url).alias("from"), F.regexp_replace(html, COMMENT, "").alias("html"))
+    named = href_of(F.regexp_extract("html", BASE_TAG, 0))
+    canonical = F.transform(F.regexp_extract_all("html", F.lit(CANONICAL_TAG), F.lit(0)), href_of)
+    refresh = F.transform(F.regexp_extract_all("html", F.lit(REFRESH_TAG), F.lit(0)), lambda tag: plain(F.regexp_extract(tag, REFRESH_URL, 1)))
+    tied = linked.select(key_of(F.col("from")).alias("a"), F.coalesce(resolved(named, F.col("from")), "from").alias("base"), F.filter(F.concat(canonical, refresh), lambda t: t != "").alias("to"))
+    nodes = bound(F.col("base"), lambda base: F.transform("to", lambda t: key_of(resolved(t, base))))
+    return tied.select("a", F.explode(nodes).alias("b")).filter("a is not null and b is not null and a != b").distinct()
 
 
 def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, id_column: str = "page_id", url_column: str = "url", html_column: str = "html", redirects: DataFrame | None = None) -> DataFrame:

@@ -32,4 +32,4 @@ QUERIES: dict[str, Query] = {
     }.items()
 }
 
-ORACLE_SQL: dict[str, str] = {"op10_url_verdicts": url_filter.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op8_jaccard_groups": jaccard_join.ORACLE, "op10_url_verdicts": url_filter.ORACLE}

@@ -8,7 +8,8 @@ an unknown, and a run of unknowns counts as one token.
 
 Pieces and scores are read from a public vocabulary file. Where no piece crosses a word border
 and scores are whole numbers (so sums are exact in any order), words are independent: each
-distinct word is segmented once per worker and its count remembered.
+distinct word of up to MEMO_CHARS characters is segmented once per worker and its count
+remembered. The pass holds no more than HELD positions, however long a text without spaces is.
 
 Defined cases: a null or empty text has 0 tokens; repeated rows are counted one by one; an empty
 table gives an empty result.
@@ -30,7 +31,10 @@ from lodestone.session import table
 SPACE = "▁"
 WORD = re.compile(f"{SPACE}+[^{SPACE}]*")
 UNKNOWN_PENALTY = 10.0
-MEMO_LIMIT = 400_000
+#: Words remembered, and the longest of them.
+MEMO_LIMIT, MEMO_CHARS = 400_000, 200
+#: Positions held before all but the last ones are let go.
+HELD = 1 << 16
 
 
 def vocabulary(path: str) -> list[tuple[str, float]]:
@@ -51,6 +55,7 @@ class Counter:
         for piece, score in pieces:
             self.automaton.add_word(piece, (len(piece), score))
         self.automaton.make_automaton()
+        self.longest = max(len(piece) for piece, _ in pieces)
         self.unknown = min(score for _, score in pieces) - UNKNOWN_PENALTY
         crossing = any(SPACE in piece.lstrip(SPACE) for piece, _ in pieces)
         self.by_word = not crossing and all(float(score).is_integer() for _, score in pieces) and any(piece == SPACE for piece, _ in pieces)
@@ -64,6 +69,8 @@ class Counter:
             return self.viterbi(text)
         words = WORD.findall(text)
         memo = self.memo
+        rare = sum(self.viterbi(word) for word in words if len(word) > MEMO_CHARS)
+        words = [word for word in words if len(word) <= MEMO_CHARS]
         missing = set(words).difference(memo)
         if missing:
             if len(memo) + len(missing) > MEMO_LIMIT:
@@ -71,11 +78,12 @@ class Counter:
                 missing = set(words)
             for word in missing:
                 memo[word] = self.viterbi(word)
-        return sum(map(memo.__getitem__, words))
+        return rare + sum(map(memo.__getitem__, words))
 
     def viterbi(self, text: str) -> int:
         n = len(text)
-        score, count, unknown = [0.0] * (n + 1), [0] * (n + 1), [False] * (n + 1)
+        score, count, unknown = [0.0], [0], [False]  # of the last positions, at least as many as the longest piece has characters
+        base = 0
         found = self.automaton.iter(text)
         end, match = next(found, (n, None))
         for i in range(n):
@@ -83,18 +91,25 @@ class Counter:
             while end == i:
                 length, gain = match
                 at = i + 1 - length
-                gain += score[at]
+                gain += score[at - base]
                 if best is None or gain > best or gain == best and at < start:
                     best, start = gain, at
                 single = single or length == 1
                 end, match = next(found, (n, None))
-            if not single:
-                gain = score[i] + self.unknown
-                if best is None or gain > best:
-                    score[i + 1], count[i + 1], unknown[i + 1] = gain, count[i] + (not unknown[i]), True
-                    continue
-            score[i + 1], count[i + 1] = best, count[start] + 1
-        return count[n]
+            gain = score[-1] + self.unknown
+            if not single and (best is None or gain > best):
+                count.append(count[-1] + (not unknown[-1]))
+                score.append(gain)
+                unknown.append(True)
+            else:
+                score.append(best)
+                count.append(count[start - base] + 1)
+                unknown.append(False)
+            if len(score) > HELD:
+                cut = len(score) - self.longest - 1
+                del score[:cut], count[:cut], unknown[:cut]
+                base += cut
+        return count[-1]
 
 
 @cache

@@ -85,3 +85,29 @@ def ray_triangle(origin: Vec, direction: Vec, a: Vec, b: Vec, c: Vec) -> Column:
     q = s.cross(e1)
     u, v, t = s.dot(p) / det, direction.dot(q) / det, e2.dot(q) / det
     return F.when((F.abs(det) > 1e-12) & (u >= 0) & (v >= 0) & (u + v <= 1) & (t >= 0), t)
+
+
+def matrix_product(a: Column, b: Column) -> Column:
+    """The product of two 4 x 4 matrices, arrays of 16 by rows."""
+    return F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: sum((F.get(a, F.floor(i / 4).cast("int") * 4 + k) * F.get(b, i % 4 + 4 * k) for k in range(4)), F.lit(0.0)))
+
+
+def matrix_inverse(m: Column) -> Column:
+    """The inverse of a 4 x 4 matrix, an array of 16 by rows; null if it has none. By its 2 x 2 minors."""
+    at = lambda r, c: F.get(m, F.lit(4 * r + c))
+    minor = lambda r, s, c, d: at(r, c) * at(s, d) - at(r, d) * at(s, c)
+    pairs = [(0, 1), (0, 2), (0, 3), (1, 2), (1, 3), (2, 3)]
+    up, low = {p: minor(0, 1, *p) for p in pairs}, {p: minor(2, 3, *p) for p in pairs}
+    sign = {(0, 1): 1, (0, 2): -1, (0, 3): 1, (1, 2): 1, (1, 3): -1, (2, 3): 1}
+    rest = lambda p: tuple(c for c in range(4) if c not in p)
+    determinant = sum((up[p] * low[rest(p)] * sign[p] for p in pairs), F.lit(0.0))
+
+    def cofactor(r: int, c: int) -> Column:
+        """Of row r and column c: the other row of its half, times the minors of the other half."""
+        other, minors = (1 - r, low) if r < 2 else (5 - r, up)
+        a, b, d = (x for x in range(4) if x != c)
+        total = at(other, a) * minors[(b, d)] - at(other, b) * minors[(a, d)] + at(other, d) * minors[(a, b)]
+        return total if (r + c) % 2 == 0 else -total
+
+    # the rows of a half keep their order, so the expansion's sign is that of the cofactor
+    return F.when(determinant != 0, F.array(*(cofactor(r, c) / determinant for c in range(4) for r in range(4))))

@@ -67,3 +67,29 @@ def quantise_axis(v: Column) -> Column:
 
 def quantise_length(v: Column) -> Column:
     return F.round(F.least(F.greatest(v, F.lit(-LENGTH_LIMIT)), F.lit(LENGTH_LIMIT)) * LENGTH_SCALE).cast("int")
+
+
+def _looks_past(f: Column, d: Vec) -> Column:
+    """Whether a direction's share f of d reaches the whole length of d, the test of scaled cone axes."""
+    return (f >= 0.001) & (f * f >= d.dot(d))
+
+
+def anchored_frontface(axis: Vec, anchor: Vec, eye: Vec) -> Column:
+    """All faces of a cone look to the eye: axis is the mean normal over the cosine of the cone, anchor its front anchor."""
+    d = anchor - eye
+    return _looks_past(-d.dot(axis), d)
+
+
+def anchored_backface(axis: Vec, anchor: Vec, eye: Vec) -> Column:
+    """All faces of a cone look away from the eye, by its back anchor."""
+    d = anchor - eye
+    return _looks_past(d.dot(axis), d)
+
+
+def quantised_cone_faces(n: Vec, length: Column, eye: Vec, centre: Vec, radius: Column, strict: bool = False) -> tuple[Column, Column]:
+    """(back, front) of a quantised cone on a sphere. The format's reader divides the length of the back test by the axis' scale; strict uses the length's own."""
+    axis = n.times(1 / AXIS_SCALE)
+    behind, before = (centre - axis.times(radius)) - eye, centre.plus(axis.times(radius)) - eye
+    back = behind.dot(axis.times(length / (LENGTH_SCALE if strict else AXIS_SCALE)))
+    front = -before.dot(axis.times(length / LENGTH_SCALE))
+    return _looks_past(back, behind), _looks_past(front, before)

@@ -208,3 +208,47 @@ class RangeCoder:
             value -= self.low[s] * scale
             scale *= width
         return out
+
+
+def shuffled(points: DataFrame, seed: int = 0) -> DataFrame:
+    """points (node, pid, ..) plus place: a 0-based random order within each node, the same for the same seed."""
+    w = Window.partitionBy("node").orderBy(F.md5(F.concat_ws(":", F.lit(seed), "node", "pid")), "pid")
+    return points.withColumn("place", F.row_number().over(w) - 1)
+
+
+def quantise_uv(wedges: DataFrame, exponent: int, by: str = "node") -> DataFrame:
+    """wedges (by, u, v, ..) plus qu, qv: steps of 2^exponent above the node's least, and bits: what the wider range needs."""
+    step = float(2.0**exponent)
+    raw = wedges.select("*", *(F.floor(F.col(c) / step + 0.5).alias(f"_{c}") for c in "uv"))
+    ends = raw.groupBy(by).agg(*(f(f"_{c}").alias(f"_{n}{c}") for c in "uv" for n, f in (("lo", F.min), ("hi", F.max))))
+    widest = F.greatest(*(F.col(f"_hi{c}") - F.col(f"_lo{c}") for c in "uv"))
+    return raw.join(ends, by).select(*wedges.columns, *((F.col(f"_{c}") - F.col(f"_lo{c}")).alias(f"q{c}") for c in "uv"), bit_length(widest).alias("bits"))
+
+
+def step_for_bits(radius: Column, bits: int) -> Column:
+    """The coordinate step that gives so many bits to a model of that radius."""
+    return radius / float(2**bits)
+
+
+def step_exponent(step: Column) -> Column:
+    """Steps are powers of two: the whole part of the logarithm."""
+    return F.log2(step).cast("int")
+
+
+class AlignedBytes:
+    """A byte stream whose blocks are told by their length and start at multiples of four."""
+
+    def __init__(self, raw: bytes = b"") -> None:
+        self.raw, self.at = bytearray(raw), 0
+
+    def put(self, block: bytes) -> None:
+        self.raw += len(block).to_bytes(4, "little") + block
+        self.raw += bytes(-len(self.raw) % 4)
+
+    def get(self) -> bytes:
+        size = int.from_bytes(self.raw[self.at : self.at + 4], "little")
+        block = bytes(self.raw[self.at + 4 : self.at + 4 + size])
+        if len(block) != size:
+            raise ValueError("the stream ends within a block")
+        self.at += 4 + size + -size % 4
+        return block

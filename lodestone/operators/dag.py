@@ -110,14 +110,14 @@ def merged_ranges(cut_patches: DataFrame) -> DataFrame:
     return runs.groupBy("src", "_run").agg(F.min("tri_begin").alias("tri_begin"), F.max("tri_end").alias("tri_end")).drop("_run")
 
 
-def view_cut(nodes: DataFrame, patches: DataFrame, expandable: Column) -> DataFrame:
-    """Nodes selected by a view: expandable, and not below a node that is blocked; roots are exempt. nodes carry one view's errors."""
+def view_cut(nodes: DataFrame, patches: DataFrame, expandable: Column, *views: str) -> DataFrame:
+    """Nodes selected by a view: expandable, and not below a node that is blocked; roots are exempt. nodes carry one view's errors, or those of several, which the columns views tell apart."""
     from lodestone.operators.graph import descendants
 
     judged = nodes.withColumn("_open", expandable)
     top = roots(nodes, patches).select("node")
-    blocked = judged.filter(~F.col("_open")).select("node").join(top, "node", "left_anti")
-    return nodes.join(descendants(patches.select("src", "dst"), blocked), "node", "left_anti")
+    blocked = judged.filter(~F.col("_open")).select(*views, "node").join(top, "node", "left_anti")
+    return nodes.join(descendants(patches.select("src", "dst"), blocked, *views), [*views, "node"], "left_anti")
 
 
 def renumber(selected: DataFrame, patches: DataFrame) -> DataFrame:
@@ -172,3 +172,67 @@ def adjacency(patches: DataFrame) -> DataFrame:
     """(node, children): destinations in patch order, comma-joined."""
     ordered = F.array_sort(F.collect_list(F.struct("patch", "dst")))
     return patches.groupBy(F.col("src").alias("node")).agg(F.array_join(F.transform(ordered, lambda s: s["dst"].cast("string")), ",").alias("children"))
+
+
+def saturate_spheres(nodes: DataFrame, patches: DataFrame, level: str = "lvl") -> DataFrame:
+    """nodes with radii raised bottom-up: a node with children reaches around their spheres, times GROWTH; levels go fine to coarse."""
+    levels = [r[0] for r in nodes.select(level).distinct().collect()]  # depth of the DAG
+    edges = patches.select("src", "dst").distinct()
+    done = None
+    for lvl in sorted(levels, reverse=True):
+        here = nodes.filter(F.col(level) == lvl)
+        if done is not None:
+            child = done.select(F.col("node").alias("dst"), *(F.col(c).alias(f"_{c}") for c in ("cx", "cy", "cz", "radius")))
+            reach = F.sqrt(sum(((F.col(c) - F.col(f"_{c}")) * (F.col(c) - F.col(f"_{c}")) for c in ("cx", "cy", "cz")), F.lit(0.0))) + F.col("_radius")
+            met = edges.join(child, "dst").join(here.select(F.col("node").alias("src"), "cx", "cy", "cz"), "src").groupBy(F.col("src").alias("node")).agg(F.max(reach).alias("_reach"))
+            here = here.join(met, "node", "left").withColumn("radius", F.when(F.col("_reach").isNull(), F.col("radius")).otherwise(F.greatest("radius", "_reach") * GROWTH)).drop("_reach")
+        done = here if done is None else done.unionByName(here)
+        done = materialize(done, "spheres")
+    return done
+
+
+def sphere_violations(nodes: DataFrame, patches: DataFrame) -> DataFrame:
+    """(src, dst) of edges whose parent's sphere does not hold the child's."""
+    up = nodes.select(F.col("node").alias("src"), *(F.col(c).alias(f"p{c}") for c in ("cx", "cy", "cz", "radius")))
+    down = nodes.select(F.col("node").alias("dst"), "cx", "cy", "cz", "radius")
+    apart = F.sqrt(sum(((F.col(c) - F.col(f"p{c}")) * (F.col(c) - F.col(f"p{c}")) for c in ("cx", "cy", "cz")), F.lit(0.0)))
+    return patches.select("src", "dst").distinct().join(up, "src").join(down, "dst").filter(apart + F.col("radius") > F.col("pradius")).select("src", "dst")
+
+
+def with_root_errors(nodes: DataFrame, patches: DataFrame, radius: str = "radius") -> DataFrame:
+    """nodes as a saved model has them: the error of a root is its tight radius."""
+    top = roots(nodes, patches).select("node", F.lit(True).alias("_root"))
+    return nodes.join(top, "node", "left").withColumn("error", F.when(F.col("_root"), F.col(radius)).otherwise(F.col("error"))).drop("_root")
+
+
+def patch_dump(patches: DataFrame) -> DataFrame:
+    """(patch, node, offset, triangles): where each patch of a node begins and how many triangles it has."""
+    return patches.select("patch", F.col("src").alias("node"), F.col("tri_begin").alias("offset"), (F.col("tri_end") - F.col("tri_begin")).alias("triangles"))
+
+
+def last_level_bytes(nodes: DataFrame, patches: DataFrame) -> DataFrame:
+    """(nodes, bytes) of the nodes whose first patch leads to the sink."""
+    last = first_patches(patches).filter(F.col("dst") == sink_of(patches)).select(F.col("src").alias("node"))
+    return nodes.join(last, "node", "left_semi").agg(F.count("*").alias("nodes"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"))
+
+
+def client_cut(nodes: DataFrame, patches: DataFrame, target: float, budget: float, blocked_limit: int = 30, pending: int = 3, draw_share: float = 0.8) -> DataFrame:
+    """(node, selected, requested) of one frame of a streaming client.
+
+    nodes: (node, error, nvert, ready, visible), errors not rising from parent to child. Nodes are
+    visited coarsest first. One is blocked if it is finer than the target (a root never is), not
+    ready, below a blocked one, or if the visible nodes before it have drawn more than the budget,
+    draw_share of their vertices each. The visit ends after blocked_limit blocked nodes; the first
+    `pending` visited nodes that are not ready are requested."""
+    from lodestone.operators.graph import descendants
+
+    top = roots(nodes, patches).select("node", F.lit(True).alias("root"))
+    judged = nodes.join(top, "node", "left").withColumn("own", ~F.col("ready") | ((F.col("error") < target) & F.col("root").isNull()))
+    below = descendants(patches.select("src", "dst"), judged.filter("own").select("node")).withColumn("below", F.lit(True))
+    drawn = F.when(F.col("below").isNull() & F.col("visible"), F.col("nvert") * draw_share).otherwise(0.0)
+    spent = prefix_sum(judged.join(below, "node", "left").withColumn("drawn", drawn), "drawn", F.col("error"), F.col("node"), descending=True, name="spent")
+    blocked = (F.col("below").isNotNull() | (F.col("spent") - F.col("drawn") > budget)).cast("long")
+    counted = prefix_sum(spent.withColumn("blocked", blocked), "blocked", F.col("error"), F.col("node"), descending=True, name="so_far")
+    visited = counted.filter(F.col("so_far") - F.col("blocked") < blocked_limit)
+    asked = visited.filter(~F.col("ready")).orderBy(F.desc("error"), "node").limit(pending).select("node", F.lit(True).alias("asked"))
+    return visited.join(asked, "node", "left").select("node", (F.col("blocked") == 0).alias("selected"), F.coalesce("asked", F.lit(False)).alias("requested"))

@@ -53,8 +53,15 @@ def weld(soup: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def split_seams(wedges: DataFrame) -> DataFrame:
-    """wedges (vid, tex, u, v): a vertex id for each distinct combination."""
-    return wedges.withColumn("svid", F.dense_rank().over(Window.orderBy("vid", "tex", "u", "v")).cast("long") - 1)
+    """wedges (vid, tex, u, v, ..) plus svid: a vertex id for each distinct combination, in their order."""
+    from lodestone.operators.scan import dense_number
+
+    key = ["vid", "tex", "u", "v"]
+    numbered = dense_number(wedges.select(*key).distinct(), *map(F.col, key), name="svid")
+    same = F.lit(True)
+    for c in key:
+        same &= wedges[c].eqNullSafe(numbered[c])
+    return wedges.join(numbered, same).select(wedges["*"], "svid")
 
 
 def edge_error(soup: DataFrame) -> DataFrame:
@@ -200,3 +207,39 @@ def locked_faces(soup: DataFrame, boxes: DataFrame) -> DataFrame:
 
 def triangle_area(a: Vec, b: Vec, c: Vec) -> Column:
     return face_normal(a, b, c).norm() / 2
+
+
+def texel_weight(u: tuple[Column, Column, Column], v: tuple[Column, Column, Column], width: Column, height: Column, weight: float = 1.0) -> Column:
+    """Texels under a triangle of texture coordinates, times a weight."""
+    return uv_area(u, v) * width * height * weight
+
+
+def uv_area(u: tuple[Column, Column, Column], v: tuple[Column, Column, Column]) -> Column:
+    return F.abs((u[1] - u[0]) * (v[2] - v[0]) - (u[2] - u[0]) * (v[1] - v[0])) / 2
+
+
+def cloud_vertices(cloud: DataFrame) -> DataFrame:
+    """(node, vid, x, y, z) of a cloud's points, numbered within each node by pid."""
+    vid = F.row_number().over(Window.partitionBy("node").orderBy("pid")).cast("long") - 1
+    return cloud.select("node", vid.alias("vid"), "x", "y", "z")
+
+
+def cloud_level(cloud: DataFrame, target: Column) -> tuple[DataFrame, DataFrame]:
+    """(the points that stay in their nodes, the rest that goes on to the next, coarser level)."""
+    marked = stride_keep(cloud, target)
+    return marked.filter("kept").drop("kept"), marked.filter("not kept").drop("kept")
+
+
+def tight_radii(nodes: DataFrame, verts: DataFrame) -> DataFrame:
+    """nodes (node, cx, cy, cz, radius) with radius at least the distance of the farthest of verts (node, x, y, z)."""
+    far = F.sqrt(sum(((F.col(c) - F.col(f"c{c}")) * (F.col(c) - F.col(f"c{c}")) for c in "xyz"), F.lit(0.0)))
+    reach = verts.join(nodes.select("node", "cx", "cy", "cz"), "node").groupBy("node").agg(F.max(far).alias("_far"))
+    return nodes.join(reach, "node", "left").withColumn("radius", F.greatest("radius", "_far")).drop("_far")
+
+
+def scene_layout(instances: DataFrame, side: int) -> DataFrame:
+    """instances (instance from 0, cx, cy, cz, radius) plus scale and the translation tx, ty, tz that sets each, scaled to a sphere of diameter 1, on a grid of that side."""
+    row = F.floor(F.col("instance") / side)
+    grid = {"x": F.col("instance") - row * side, "y": F.lit(0.0), "z": row}
+    scale = 1 / (2 * F.col("radius"))
+    return instances.select("*", scale.alias("scale"), *((at - F.col(f"c{c}") * scale).alias(f"t{c}") for c, at in grid.items()))

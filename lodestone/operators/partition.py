@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.operators.scan import small
 from lodestone.session import materialize
 
 RATIOS = (2 / 3, 1 / 3)
@@ -19,13 +20,18 @@ def along(axis: Column) -> Column:
     return F.when(axis == "x", F.col("x")).when(axis == "y", F.col("y")).otherwise(F.col("z"))
 
 
-def split_planes(points: DataFrame, ratio: float = RATIOS[0], adaptive: float = 0.333) -> DataFrame:
-    """points (cell, x, y, z) to (cell, n, axis, middle): the longest side of the contents, and the order statistic floor(n * ratio) clamped into the middle band of the box."""
+def split_planes(points: DataFrame, ratio: float = RATIOS[0], adaptive: float = 0.333, cells: DataFrame | None = None) -> DataFrame:
+    """points (cell, x, y, z) to (cell, n, axis, middle): the longest side of the contents, and the order statistic floor(n * ratio) clamped into the middle band of the cell's box.
+
+    cells: (cell, cell_lo_x.. cell_hi_z); without it the contents' box is the cell's."""
     boxes = points.groupBy("cell").agg(F.count("*").alias("n"), *(f(c).alias(f"{n}{c}") for c in "xyz" for n, f in (("lo_", F.min), ("hi_", F.max))))
     boxes = boxes.withColumn("axis", longest_axis({c: (F.col(f"lo_{c}"), F.col(f"hi_{c}")) for c in "xyz"}))
+    prefix = "" if cells is None else "cell_"
+    if cells is not None:
+        boxes = boxes.join(cells, "cell")
     ranked = points.join(boxes, "cell").withColumn("p", along(F.col("axis")))
     ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("cell").orderBy("p")))
-    lo, hi = (F.when(F.col("axis") == "x", F.col(f"{s}_x")).when(F.col("axis") == "y", F.col(f"{s}_y")).otherwise(F.col(f"{s}_z")) for s in ("lo", "hi"))
+    lo, hi = (F.when(F.col("axis") == "x", F.col(f"{prefix}{s}_x")).when(F.col("axis") == "y", F.col(f"{prefix}{s}_y")).otherwise(F.col(f"{prefix}{s}_z")) for s in ("lo", "hi"))
     middle, half = (lo + hi) / 2, (hi - lo) * adaptive / 2
     picked = ranked.filter(F.col("rank") == F.floor(F.col("n") * ratio) + 1)
     return picked.select("cell", "n", "axis", F.least(F.greatest("p", middle - half), middle + half).alias("middle"))
@@ -41,20 +47,23 @@ def approximate_planes(points: DataFrame, ratio: float, adaptive: float, cap: in
     return boxes.filter(pick("hi") > pick("lo")).select("cell", "axis", F.least(F.greatest(pick("q"), middle - half), middle + half).alias("middle"))
 
 
-def kd_partition(points: DataFrame, cap: int, adaptive: float = 0.333, max_levels: int = 40) -> DataFrame:
+def kd_partition(points: DataFrame, cap: int, adaptive: float = 0.333, max_levels: int = 62, written: int = 4) -> DataFrame:
     """points (.., x, y, z) plus cell: every cell over cap is split at its plane until none is, or its points coincide.
 
-    Cell 1 is the root, 2c and 2c + 1 the halves of c; a point on the plane goes right."""
-    now = points.withColumn("cell", F.lit(1).cast("long"))
+    Cell 1 is the root, 2c and 2c + 1 the halves of c; a point on the plane goes right. Points are
+    written once in so many levels; in between, a level is one more join with its planes."""
+    now = points.withColumns({"cell": F.lit(1).cast("long"), "_open": F.lit(True)})
     for level in range(max_levels):
-        planes = materialize(approximate_planes(now, RATIOS[level % 2], adaptive, cap), "planes")
+        # only halves of the last level's cells can be over cap
+        planes = materialize(approximate_planes(now.filter("_open"), RATIOS[level % 2], adaptive, cap), "planes")
         if planes.isEmpty():
-            break
-        # one row a cell over cap; a table of planes is small beside its points
-        split = now.join(planes, "cell", "left")
+            return now.select(*points.columns, "cell")
+        split = now.join(small(planes), "cell", "left")
         right = F.when(F.col("axis").isNull(), F.col("cell")).otherwise(2 * F.col("cell") + (along(F.col("axis")) >= F.col("middle")).cast("long"))
-        now = materialize(split.withColumn("cell", right).drop("axis", "middle"), "cells")
-    return now
+        now = split.withColumns({"cell": right, "_open": F.col("axis").isNotNull()}).drop("axis", "middle")
+        if level % written == written - 1:
+            now = materialize(now, "cells")
+    raise RuntimeError(f"cells over {cap} points after {max_levels} levels")
 
 
 def triangle_side(axis: str, middle: Column) -> Column:
@@ -79,3 +88,9 @@ def points_in_cells(points: DataFrame, cells: DataFrame, width: float) -> DataFr
     keyed = points.select("*", *(F.floor(F.col(c) / width).alias(f"g{c}") for c in "xyz"))
     test = inside(*(tuple(F.col(f"{s}_{c}") for c in "xyz") for s in ("lo", "hi")), tuple(F.col(c) for c in "xyz"))
     return keyed.join(gridded, ["gx", "gy", "gz"]).filter(test).select("pid", "cell")
+
+
+def occupancy(rows: DataFrame, cap: int, block: str = "node") -> DataFrame:
+    """(block, used, fullness, full) of each block that holds rows."""
+    used = F.count("*")
+    return rows.groupBy(block).agg(used.alias("used"), (used / cap).alias("fullness"), (used >= cap).alias("full"))

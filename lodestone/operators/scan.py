@@ -5,27 +5,33 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Buckets of the first sort key; each is summed by one task.
-BUCKETS = 64
+from lodestone.session import materialize
+
+#: Rows up to which the other side of a join is broadcast; its size is always checked.
+BROADCAST_ROWS = 100_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """df, marked for broadcast if it has few rows."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
 def prefix_sum(df: DataFrame, value: str, first: Column, *then: Column, descending: bool = False, name: str = "running") -> DataFrame:
     """df plus the inclusive running sum of value in the order of first (numeric; descending if so told), then the rest.
 
-    A single global window would put all rows into one task. Here the first key is cut into
-    buckets at approximate quantiles, buckets are summed by a small aggregate, and each bucket's
-    rows are summed behind its base."""
+    A single global window would put all rows into one task. Here rows are cut into ranges of the
+    whole sort key, as many as there are shuffle partitions; ranges are summed by a small
+    aggregate, and each one's rows are summed behind its base."""
     key = -first if descending else first
-    keyed = df.withColumn("_key", key.cast("double"))
-    cuts = keyed.agg(F.percentile_approx("_key", [i / BUCKETS for i in range(1, BUCKETS)], 1000).alias("q")).first()["q"] or []
-    cuts = sorted(set(cuts))  # fewer than BUCKETS numbers
-    bucket = F.size(F.filter(F.array(*(F.lit(c) for c in cuts)), lambda c: c < F.col("_key"))) if cuts else F.lit(0)
-    keyed = keyed.withColumn("_bucket", F.coalesce(bucket, F.lit(-1)))
-    sums = keyed.groupBy("_bucket").agg(F.sum(value).alias("_sum"))
-    before = sums.select("_bucket", F.coalesce(F.sum("_sum").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
-    inside = Window.partitionBy("_bucket").orderBy("_key", *then).rowsBetween(Window.unboundedPreceding, 0)
-    joined = keyed.join(F.broadcast(before), "_bucket")  # at most BUCKETS rows
-    return joined.withColumn(name, F.sum(value).over(inside) + F.col("_base")).drop("_key", "_bucket", "_base")
+    orders = {"_key": key, **{f"_then{i}": c for i, c in enumerate(then)}}
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cut = df.withColumns(orders).repartitionByRange(ranges, *orders).withColumn("_range", F.spark_partition_id())
+    cut = materialize(cut, "ranges")  # fixes the numbers of the ranges
+    sums = cut.groupBy("_range").agg(F.sum(value).alias("_sum"))
+    before = sums.select("_range", F.coalesce(F.sum("_sum").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
+    inside = Window.partitionBy("_range").orderBy(*orders).rowsBetween(Window.unboundedPreceding, 0)
+    joined = cut.join(F.broadcast(before), "_range")  # a row a range
+    return joined.withColumn(name, F.sum(value).over(inside) + F.col("_base")).drop(*orders, "_range", "_base")
 
 
 def dense_number(df: DataFrame, first: Column, *then: Column, name: str = "number") -> DataFrame:

@@ -18,9 +18,9 @@ def build_model(at: At) -> DataFrame:
     return rounded(nodes.select("node", "lvl", "error", "nvert", "nface", "radius"))
 
 
-@query("stream_control", CONTROL.replace("frame < 4000", "frame < 2000"))
+@query("stream_control", CONTROL)
 def stream_control(at: At) -> DataFrame:
-    log = frames.request_log(at.spark, f"{at.sf_dir}/events.parquet").filter("frame < 2000")
+    log = frames.request_log(at.spark, f"{at.sf_dir}/events.parquet")
     return rounded(frames.drained(frames.control(log.select("camera", "frame", "elapsed_ms"))), 4)
 
 

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions import views
 from lodestone.functions.colours import human_bytes
 from lodestone.functions.vectors import vec
 from lodestone.operators import cache, dag, rays
+from lodestone.operators.scan import small
 from lodestone.plans.registry import At, query, r, rounded
+from lodestone.session import materialize
 
 
 
@@ -24,7 +26,7 @@ CUT = CHOSEN + ", k AS (SELECT * FROM {dag_patches} p WHERE src IN (SELECT node
 
 
 def chosen(at: At) -> DataFrame:
-    return dag.select_budget(at["dag_nodes"], "nface", 5000)
+    return materialize(dag.select_budget(at["dag_nodes"], "nface", 5000), "chosen")  # a cut reads it more than once
 
 
 @query("select_by_triangles", f"SELECT node, CAST(spent AS BIGINT) AS spent FROM {spent('nface')} WHERE spent <= 5000")
@@ -208,8 +210,8 @@ VIEW = "error / (resolution * greatest(sqrt((cx-ex)*(cx-ex)+(cy-ey)*(cy-ey)+(cz-
 
 
 def seen(at: At) -> DataFrame:
-    """Every node from every view: views are few and go to the nodes."""
-    return at["dag_nodes"].join(F.broadcast(at["eyes"]))
+    """Every node from every view: views are a stated query set, broadcast where they are few."""
+    return at["dag_nodes"].join(small(at["eyes"]))
 
 
 def screen_error():
@@ -254,11 +256,10 @@ def cone_culling(at: At) -> DataFrame:
     return at["dag_nodes"].select("node", views.backface(lit(0.6, 0, 0.8), F.lit(0.5), lit(3, 0, -40), vec("cx", "cy", "cz"), F.col("radius")).alias("culled"))
 
 
-@query("view_cut", """WITH RECURSIVE j AS (SELECT node, """ + VIEW + """ >= target AS open FROM {dag_nodes}, {eyes} WHERE view = 1),
- x AS (SELECT node FROM j WHERE NOT open AND node IN (SELECT dst FROM {dag_patches}) UNION SELECT p.dst FROM {dag_patches} p JOIN x ON x.node = p.src) SELECT node FROM {dag_nodes} WHERE node NOT IN (SELECT node FROM x)""")
+@query("view_cut", """WITH RECURSIVE j AS (SELECT view, node, """ + VIEW + """ >= target AS open FROM {dag_nodes}, {eyes}),
+ x AS (SELECT view, node FROM j WHERE NOT open AND node IN (SELECT dst FROM {dag_patches}) UNION SELECT view, p.dst FROM {dag_patches} p JOIN x ON x.node = p.src) SELECT view, node FROM j WHERE (view, node) NOT IN (SELECT (view, node) FROM x)""")
 def view_cut(at: At) -> DataFrame:
-    one = seen(at).filter("view = 1")
-    return dag.view_cut(one, at["dag_patches"], screen_error() >= F.col("target")).select("node")
+    return dag.view_cut(seen(at), at["dag_patches"], screen_error() >= F.col("target"), "view").select("view", "node")
 
 
 @query("draw_statistics", "WITH " + CUT + " SELECT (SELECT count(*) FROM c) AS selected, count(DISTINCT src) AS drawn, count(*) AS patches, CAST(sum(tri_end - tri_begin) AS BIGINT) AS rendered FROM k")
@@ -290,7 +291,7 @@ def ray_triangles(at: At) -> DataFrame:
     return rounded(rays.nearest_triangles(down, at["terrain_s"]), 4)
 
 
-CONTROL = """WITH RECURSIVE o AS (SELECT camera, frame, elapsed_ms, row_number() OVER (PARTITION BY camera ORDER BY frame) AS k FROM {frames} WHERE frame < 4000),
+CONTROL = """WITH RECURSIVE o AS (SELECT camera, frame, elapsed_ms, row_number() OVER (PARTITION BY camera ORDER BY frame) AS k FROM {frames}),
  s AS (SELECT camera, CAST(0 AS BIGINT) AS k, CAST(-1 AS BIGINT) AS frame, CAST(15 AS DOUBLE) AS fps, CAST(2 AS DOUBLE) AS error FROM (SELECT DISTINCT camera FROM o)
   UNION ALL SELECT camera, k, frame, fps, least(greatest(error * CASE WHEN 15 / fps > 1.1 THEN 1.05 WHEN 15 / fps < 0.9 THEN 0.95 ELSE 1 END, 2), 15) FROM
    (SELECT o.camera, o.k, o.frame, CASE WHEN elapsed_ms < 500 THEN 0.9 * s.fps + (1 - CAST(0.9 AS DOUBLE)) * (1000 / elapsed_ms) ELSE s.fps END AS fps, s.error FROM o JOIN s ON o.camera = s.camera AND o.k = s.k + 1) q)
@@ -299,12 +300,12 @@ CONTROL = """WITH RECURSIVE o AS (SELECT camera, frame, elapsed_ms, row_number()
 
 @query("frame_control", CONTROL)
 def frame_control(at: At) -> DataFrame:
-    return rounded(cache.control_frames_arrow(at["frames"].filter("frame < 4000").select("camera", "frame", "elapsed_ms")), 4)
+    return rounded(cache.control_frames_arrow(at["frames"].select("camera", "frame", "elapsed_ms")), 4)
 
 
-@query("frame_control_fold", CONTROL.replace("frame < 4000", "frame < 800"))
+@query("frame_control_fold", CONTROL)
 def frame_control_fold(at: At) -> DataFrame:
-    return rounded(cache.control_frames(at["frames"].filter("frame < 800").select("camera", "frame", "elapsed_ms")), 4)
+    return rounded(cache.control_frames(at["frames"].select("camera", "frame", "elapsed_ms")), 4)
 
 
 @query("admission", "SELECT frame // 10 AS frame, arg_max(node, (error, -node)) AS node, max(error) AS error FROM {frames} GROUP BY frame // 10")
@@ -351,8 +352,8 @@ def frame_windows(at: At) -> DataFrame:
     return w.select("camera", F.col("window.start").cast("timestamp_ntz").alias("start"), "frames", "error")
 
 
-@query("shuffled_points", "SELECT pid, node FROM {cloud}")
+@query("shuffled_points", "SELECT pid, node, row_number() OVER (PARTITION BY node ORDER BY md5(concat_ws(':', 0, node, pid)), pid) - 1 AS place FROM {cloud}")
 def shuffled_points(at: At) -> DataFrame:
-    """Points in a stable random order of their node; the rows are the table's."""
-    w = Window.partitionBy("node").orderBy(F.xxhash64("node", "pid"))
-    return at["cloud"].withColumn("k", F.row_number().over(w)).drop("k").select("pid", "node")
+    from lodestone.operators.codec import shuffled
+
+    return shuffled(at["cloud"]).select("pid", "node", "place")

@@ -162,11 +162,10 @@ def patch_runs(at: At) -> DataFrame:
     return mesh.patch_runs(at["lineitem"].select((F.col("l_orderkey") % 50).alias("block"), F.col("l_suppkey").alias("src")))
 
 
-@query("split_seams", "SELECT DISTINCT vid, tex, u, v, dense_rank() OVER (ORDER BY vid, tex, u, v) - 1 AS svid FROM (SELECT l_partkey AS vid, l_suppkey % 3 AS tex, l_linenumber AS u, l_returnflag AS v FROM {lineitem})")
+@query("split_seams", "SELECT l_orderkey AS face, l_linenumber AS corner, l_partkey AS vid, dense_rank() OVER (ORDER BY l_partkey, l_suppkey % 3, l_linenumber, l_returnflag) - 1 AS svid FROM {lineitem}")
 def split_seams(at: At) -> DataFrame:
-    wedges = at["lineitem"].select(F.col("l_partkey").alias("vid"), (F.col("l_suppkey") % 3).alias("tex"), F.col("l_linenumber").alias("u"), F.col("l_returnflag").alias("v")).distinct()
-    numbered = dense_number(wedges, F.col("vid"), F.col("tex"), F.col("u"), F.col("v"), name="svid")
-    return numbered.select("vid", "tex", "u", "v", "svid")
+    wedges = at["lineitem"].select(F.col("l_orderkey").alias("face"), F.col("l_linenumber").alias("corner"), F.col("l_partkey").alias("vid"), (F.col("l_suppkey") % 3).alias("tex"), F.col("l_linenumber").alias("u"), F.col("l_returnflag").alias("v"))
+    return mesh.split_seams(wedges).select("face", "corner", "vid", "svid")
 
 
 @query("signed_boundary", "SELECT vid FROM (SELECT unnest([i0,i1,i2]) AS vid, unnest([i1-i2,i2-i0,i0-i1]) AS d FROM {terrain_f}) GROUP BY vid HAVING sum(d) <> 0")
@@ -198,10 +197,13 @@ def overlapping_boxes(at: At) -> DataFrame:
     return mesh.overlapping_boxes(mesh.summary(at["terrain_s"]), 40.0)
 
 
-@query("vertex_components", """SELECT vid, min(m) OVER (PARTITION BY lab) AS component FROM (SELECT vid, vid AS m, 0 AS lab FROM (SELECT DISTINCT unnest([i0,i1,i2]) AS vid FROM {terrain_f}))""")
+@query("vertex_components", """WITH RECURSIVE e AS (SELECT o_orderkey AS a, o_orderkey - least(o_orderkey % 37, 1) AS b FROM {orders} UNION SELECT o_orderkey - least(o_orderkey % 37, 1), o_orderkey - least(o_orderkey % 37, 2) FROM {orders}),
+ w AS (SELECT a, b FROM e UNION SELECT b, a FROM e), x AS (SELECT DISTINCT a AS vid, a AS other FROM w UNION SELECT x.vid, w.b FROM x JOIN w ON w.a = x.other) SELECT vid, min(other) AS component FROM x GROUP BY vid""")
 def vertex_components(at: At) -> DataFrame:
-    """The terrain is one piece, which the counterpart states."""
-    return mesh.face_components(at["terrain_f"])
+    """Strips of faces over runs of 37 vertices: each vertex of a strip hangs on the two before it."""
+    v, k = F.col("o_orderkey"), F.col("o_orderkey") % 37
+    strips = at["orders"].select(v.alias("i0"), (v - F.least(k, F.lit(1))).alias("i1"), (v - F.least(k, F.lit(2))).alias("i2"))
+    return mesh.face_components(strips)
 
 
 @query("locked_faces", """WITH b AS (SELECT CAST(n_nationkey AS BIGINT) AS node, CAST(0 AS DOUBLE) AS lo, CAST(n_nationkey % 7 * 20 AS DOUBLE) AS hi FROM {nation})
@@ -227,6 +229,19 @@ def split_planes(at: At) -> DataFrame:
     return rounded(partition.split_planes(at["cloud"].withColumnRenamed("node", "cell")))
 
 
+@query("split_planes_in_cells", """WITH b AS (SELECT node AS cell, count(*) AS n, min(x) AS lx, max(x) AS hx, min(y) AS ly, max(y) AS hy, min(z) AS lz, max(z) AS hz FROM {cloud} GROUP BY node),
+ a AS (SELECT *, CASE WHEN hx-lx >= hy-ly AND hx-lx >= hz-lz THEN 'x' WHEN hy-ly >= hz-lz THEN 'y' ELSE 'z' END AS axis FROM b),
+ k AS (SELECT cell, n, axis, CAST(-3 - cell % 5 AS DOUBLE) AS lo, CAST(1 + cell % 3 AS DOUBLE) AS hi, CASE axis WHEN 'x' THEN x WHEN 'y' THEN y ELSE z END AS p FROM {cloud} c JOIN a ON a.cell = c.node),
+ q AS (SELECT *, row_number() OVER (PARTITION BY cell ORDER BY p) AS rank FROM k)
+ SELECT cell, n, axis, round(least(greatest(p, (lo+hi)/2 - (hi-lo)*0.1/2), (lo+hi)/2 + (hi-lo)*0.1/2), 5)+0.0 AS middle FROM q WHERE rank = floor(n * 2.0 / 3) + 1""")
+def split_planes_in_cells(at: At) -> DataFrame:
+    """Planes clamped into the middle of the cell's own box, which is wider than what it holds."""
+    points = at["cloud"].withColumnRenamed("node", "cell")
+    lo, hi = (F.lit(-3) - F.col("cell") % 5).cast("double"), (F.lit(1) + F.col("cell") % 3).cast("double")
+    cells = points.select("cell").distinct().select("cell", *(c.alias(f"cell_{s}_{a}") for a in "xyz" for s, c in (("lo", lo), ("hi", hi))))
+    return rounded(partition.split_planes(points, adaptive=0.1, cells=cells))
+
+
 @query("triangle_sides", "SELECT tri, CASE WHEN 2 * (CAST(x0 >= 50 AS INT) + CAST(x1 >= 50 AS INT) + CAST(x2 >= 50 AS INT)) >= 3 THEN 1 ELSE 0 END AS side FROM {terrain_s}")
 def triangle_sides(at: At) -> DataFrame:
     return at["terrain_s"].select("tri", partition.triangle_side("x", F.lit(50.0)).alias("side"))
@@ -253,11 +268,17 @@ def quantise_coordinates(at: At) -> DataFrame:
     return codec.quantise(at["cloud"], -6).select("pid", "qx", "qy", "qz", "bits")
 
 
-@query("dequantised_error", "SELECT count(*) AS n, 0 AS n_far FROM {cloud}")
+@query("dequantised_points", "SELECT pid, " + ", ".join(f"round(floor({c} / 0.015625 + 0.5) * 0.015625, 6) + 0.0 AS {c}" for c in "xyz") + " FROM {cloud}")
+def dequantised_points(at: At) -> DataFrame:
+    back = codec.dequantise(codec.quantise(at["cloud"], -6), -6)
+    return back.select("pid", *(r(F.col(f"d{c}"), 6).alias(c) for c in "xyz"))
+
+
+@query("dequantised_error", "SELECT node, count(*) AS n, round(max(greatest(" + ", ".join(f"abs({c} - floor({c} / 0.015625 + 0.5) * 0.015625)" for c in "xyz") + ")), 6) AS far FROM {cloud} GROUP BY node")
 def dequantised_error(at: At) -> DataFrame:
     back = codec.dequantise(codec.quantise(at["cloud"], -6), -6)
-    far = F.greatest(*(F.abs(F.col(c) - F.col(f"d{c}")) for c in "xyz")) > 2.0**-7 + 1e-12
-    return back.agg(F.count("*").alias("n"), F.count_if(far).cast("int").alias("n_far"))
+    far = F.greatest(*(F.abs(F.col(c) - F.col(f"d{c}")) for c in "xyz"))
+    return back.groupBy("node").agg(F.count("*").alias("n"), F.round(F.max(far), 6).alias("far"))
 
 
 MORTON = "(" + " | ".join(f"((qx >> {k} & 1) << {3 * k}) | ((qy >> {k} & 1) << {3 * k + 1}) | ((qz >> {k} & 1) << {3 * k + 2})" for k in range(11)) + ")"
@@ -351,12 +372,12 @@ def triangle_areas(at: At) -> DataFrame:
     return rounded(at["terrain_s"].select("tri", mesh.triangle_area(corner(0), corner(1), corner(2)).alias("area")), 4)
 
 
-@query("unified_vertices", """WITH c AS (SELECT s.node, unnest([f.i0,f.i1,f.i2]) AS vid, f.tri * 3 + unnest([0,1,2]) AS pos FROM {terrain_f} f JOIN {terrain_s} s USING (tri) WHERE f.tri % 3 = 0), m AS (SELECT node, vid, min(pos) AS first FROM c GROUP BY node, vid)
+@query("unified_vertices", """WITH c AS (SELECT s.node, unnest([f.i0,f.i1,f.i2]) AS vid, f.tri * 3 + unnest([0,1,2]) AS pos FROM {terrain_f} f JOIN {terrain_s} s USING (tri)), m AS (SELECT node, vid, min(pos) AS first FROM c GROUP BY node, vid)
  SELECT node, vid, row_number() OVER (ORDER BY node, first) - 1 AS id FROM m""")
 def unified_vertices(at: At) -> DataFrame:
     """Vertices that drawn triangles use, numbered in the order of first use."""
     node = F.floor(F.col("tri") / 500.0).alias("node")
-    used = mesh.face_corners(at["terrain_f"].filter("tri % 3 = 0")).select(node, "vid", (F.col("tri") * 3 + F.col("corner")).alias("pos"))
+    used = mesh.face_corners(at["terrain_f"]).select(node, "vid", (F.col("tri") * 3 + F.col("corner")).alias("pos"))
     first = used.groupBy("node", "vid").agg(F.min("pos").alias("first"))
     return dense_number(first, F.col("node"), F.col("first"), name="id").select("node", "vid", "id")
 
@@ -367,12 +388,14 @@ def scene_layout(at: At) -> DataFrame:
     return at["nation"].select(i.alias("instance"), (i % 3).alias("model"), (i - F.floor(i / 5) * 5).cast("double").alias("x"), F.floor(i / 5).cast("double").alias("y"))
 
 
-@query("georeference", "SELECT 'terrain' AS name, '{\"origin\":[0.0,0.0]}' AS sidecar, CAST(0 AS DOUBLE) AS origin_x FROM (SELECT 1)")
+@query("georeference", """SELECT vid // 1000 AS tile, '{"origin":[' || min(x) || ',' || min(y) || ']}' AS sidecar, min(x) AS origin_x, min(y) AS origin_y FROM {terrain_v} GROUP BY vid // 1000""")
 def georeference(at: At) -> DataFrame:
     from lodestone.sources.text_meshes import georeference_of, georeference_json
 
-    made = at["terrain_v"].agg(F.lit("terrain").alias("name"), georeference_json(F.min(F.lit(0.0)), F.min(F.lit(0.0))).alias("sidecar"))
-    return made.select("name", "sidecar", F.get(georeference_of(F.col("sidecar")), F.lit(0)).alias("origin_x"))
+    tile = F.floor(F.col("vid") / 1000).alias("tile")
+    made = at["terrain_v"].groupBy(tile).agg(georeference_json(F.min("x"), F.min("y")).alias("sidecar"))
+    origin = georeference_of(F.col("sidecar"))
+    return made.select("tile", "sidecar", F.get(origin, F.lit(0)).alias("origin_x"), F.get(origin, F.lit(1)).alias("origin_y"))
 
 
 @query("texture_tiles", "SELECT o_orderkey AS tex, tx, ty, least(4096, w - tx * 4096) AS tile_w, least(4096, h - ty * 4096) AS tile_h FROM (SELECT o_orderkey, w, h, unnest(range(0, (w + 4095) // 4096)) AS tx FROM (SELECT o_orderkey, 1000 + o_orderkey * 37 % 9000 AS w, 500 + o_orderkey * 91 % 9000 AS h FROM {orders})) a, LATERAL (SELECT unnest(range(0, (h + 4095) // 4096)) AS ty) b")

@@ -118,3 +118,16 @@ def write_node_files(packed: DataFrame, folder: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(paths, pa.string())], names=["id", "path"])
 
     return packed.select("id", "payload").mapInArrow(run, "id long, path string")
+
+
+def node_plys(verts: DataFrame, faces: DataFrame) -> DataFrame:
+    """(node, ply): the text PLY file of each node, of verts (node, vid, x, y, z), dense from 0, and faces (node, tri, i0, i1, i2)."""
+    word = lambda *c: F.concat_ws(" ", *(F.col(x).cast("string") for x in c))
+    joined = lambda rows: F.array_join(F.transform(F.array_sort(F.collect_list(rows)), lambda s: s["line"]), "\n")
+    points = verts.groupBy("node").agg(F.count("*").alias("nvert"), joined(F.struct("vid", word("x", "y", "z").alias("line"))).alias("points"))
+    rings = faces.groupBy("node").agg(F.count("*").alias("nface"), joined(F.struct("tri", F.concat(F.lit("3 "), word("i0", "i1", "i2")).alias("line"))).alias("rings"))
+    head = F.concat(
+        F.lit("ply\nformat ascii 1.0\nelement vertex "), F.col("nvert"), F.lit("\nproperty float x\nproperty float y\nproperty float z\nelement face "),
+        F.coalesce("nface", F.lit(0)), F.lit("\nproperty list uchar int vertex_indices\nend_header"),
+    )
+    return points.join(rings, "node", "left").select("node", F.concat(F.concat_ws("\n", head, "points", "rings"), F.lit("\n")).alias("ply"))

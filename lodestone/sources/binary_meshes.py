@@ -138,10 +138,55 @@ def read_ply_points(spark: SparkSession, *paths: str) -> DataFrame:
     return _files(spark, paths).mapInArrow(_each(parse), "path string, pid long, " + ", ".join(f"{c} double" for c in names) + ", r int, g int, b int")
 
 
+#: Suffixes of the formats that load_soup reads.
+SUFFIXES = ("obj", "ply", "stl", "ts", "tsp")
+
+
+def expanded(spark: SparkSession, *paths: str) -> list[str]:
+    """The paths, a folder replaced by the mesh files in it, in the order of their names."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    out = []
+    for path in paths:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        store = where.getFileSystem(conf)
+        if store.exists(where) and store.getFileStatus(where).isDirectory():
+            files = sorted(str(f.getPath().toString()) for f in store.listStatus(where) if f.isFile())
+            out += [f for f in files if f.rpartition(".")[2].lower() in SUFFIXES]
+        else:
+            out.append(path)
+    return out
+
+
+def is_cloud(spark: SparkSession, *paths: str) -> bool:
+    """Whether the input is a point cloud: the first .ply among the files has no faces."""
+    first = next((p for p in expanded(spark, *paths) if p.lower().endswith(".ply")), None)
+    if first is None:
+        return False
+    head = spark.read.format("binaryFile").load(first).select(F.substring("content", 1, 1 << 16).cast("string").alias("head"))
+    faces = F.regexp_extract("head", r"element\s+face\s+([0-9]+)", 1)
+    return head.select((F.coalesce(faces.try_cast("long"), F.lit(0)) == 0).alias("cloud")).first()["cloud"]
+
+
+#: Columns of each component that an input may have.
+COMPONENTS = {"normals": ("nx", "ny", "nz"), "colors": ("r", "g", "b"), "textures": ("u", "v", "tex")}
+
+
+def with_components(rows: DataFrame, **keep: bool) -> DataFrame:
+    """rows without the columns of components that are switched off (normals=False); one that is switched on must be there."""
+    for name, wanted in keep.items():
+        columns = COMPONENTS[name]
+        if wanted and not set(columns) <= set(rows.columns):
+            raise ValueError(f"the input has no {name}")
+        if not wanted:
+            rows = rows.drop(*columns)
+    return rows
+
+
 def load_soup(spark: SparkSession, *paths: str) -> DataFrame:
-    """Triangles of files of any known format, by suffix, as one table (path, tri, x0..z2)."""
+    """Triangles of files of any known format, by suffix, as one table (path, tri, x0..z2); of a folder, all its mesh files."""
     from lodestone.operators.mesh import to_soup
 
+    paths = expanded(spark, *paths)
     by: dict[str, list[str]] = {}
     for path in paths:
         by.setdefault(path.rpartition(".")[2].lower(), []).append(path)

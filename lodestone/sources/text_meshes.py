@@ -111,3 +111,23 @@ def texture_path(path: Column, model: str) -> Column:
     folder = model.rpartition("/")[0]
     clean = F.replace(path, F.lit("\\"), F.lit("/"))
     return F.when(clean.startswith("/"), clean).otherwise(F.concat(F.lit(f"{folder}/" if folder else ""), clean))
+
+
+def read_ts_colours(rows: DataFrame, property: str, palette: str = "viridis") -> DataFrame:
+    """(path, id, r, g, b) of PVRTX lines: a property's value by a palette, between the clips that the property's header states.
+
+    A file that does not list the property is an error; so is one without its clips."""
+    from lodestone.functions.colours import mapped
+
+    w = F.col("w")
+    split = carry_forward(rows, r"^\s*PROPERTY_CLASS_HEADER\s+(\S+)", "owner").withColumn("w", _words(F.col("text")))
+    named = split.filter(w[0] == "PROPERTY_CLASSES").groupBy("path").agg(F.min(F.array_position(w, property)).alias("place"))
+    clip = lambda word: F.min(F.when((F.col("owner") == property) & (w[0] == word), F.element_at(w, -1).try_cast("double")))
+    clips = split.groupBy("path").agg(clip("low_clip").alias("low"), clip("high_clip").alias("high")).join(named, "path", "left")
+    wrong = F.coalesce(F.col("place"), F.lit(0)) < 2
+    checked = F.when(wrong | F.col("low").isNull() | F.col("high").isNull(), F.raise_error(F.concat(F.lit(f"no property {property} with clips in "), F.col("path"))).cast("double"))
+    # the keyword itself is the list's first word; values follow id, x, y, z
+    value = F.get(w, F.col("place").cast("int") + 3).try_cast("double")
+    share = F.coalesce(checked, (value - F.col("low")) / (F.col("high") - F.col("low")))
+    points = split.filter(w[0] == "PVRTX").join(clips, "path").select("path", w[1].try_cast("long").alias("id"), share.alias("share"))
+    return points.select("path", "id", mapped(F.col("share"), 0.0, 1.0, palette).alias("c")).select("path", "id", *(F.get("c", F.lit(i)).alias(c) for i, c in enumerate("rgb")))

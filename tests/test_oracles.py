@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from lodestone.plans import build_queries, dag_queries, mesh_queries, registry  # noqa: F401
+from lodestone.plans import build_queries, client_queries, dag_queries, mesh_queries, registry  # noqa: F401
 
 
 @pytest.fixture(scope="module")

@@ -6,9 +6,10 @@ and have fitting marks (what a mark is, the caller says: a size, or some bits of
    sorts none. A partition's blocks are sorted as arrays; keys with one node fall away, and so do
    nodes whose mark fits no other mark of their list. Beyond HELD postings a worker keeps only
    the first node of each key and hands all later ones on unfiltered: memory stays bounded.
-2. Each list has its first node as leader. Distinct pairs (leader, node) whose sketches admit
-   the similarity are verified on whole sets; verified links make components.
-3. Lists that still span components go on, cut into blocks by a hash of the node, so that a long
+   Lists of at most SHORT nodes end as their pairs; pairs of several lists meet once.
+2. Each longer list has its first node as leader. Distinct pairs, and (leader, node), whose
+   sketches admit the similarity are verified on whole sets; verified links make components.
+3. Longer lists that still span components go on, cut into blocks by a hash of the node, so that a long
    list becomes many small groups (one for each two of its blocks). A worker compares sketches of
    nodes of different components. A group with at most DENSE pairs a node hands all of them on,
    to be verified once whatever lists they share; a denser one hands on at most two pairs a node.
@@ -32,19 +33,26 @@ from lodestone.session import materialize
 
 #: Similarity in hundredths; a pair links if 100 * intersection >= SIMILAR * union.
 SIMILAR = 80
-#: Nodes up to this number are broadcast to find their texts; more are joined by a shuffle.
-BROADCAST_NODES = 400_000
+#: Nodes up to this number are broadcast (some 30 MB) to find their texts; more are joined by a shuffle.
+BROADCAST_NODES = 1_000_000
 #: Postings that a worker packs at a time, and those that one holds before it keeps first nodes only.
 PACKED, HELD = 1 << 20, 1 << 23
 #: Lists beyond this length are not filtered by marks.
 FILTERED = 2048
+#: A list of up to this many nodes is handed on as its pairs, at most (SHORT - 1) / 2 a node.
+SHORT = 8
+#: Sketches up to this number are broadcast (some 40 MB).
+BROADCAST_SKETCHES = 250_000
 #: Nodes of a list's block, and pairs a node that a group of blocks hands on.
 BLOCK, DENSE = 1024, 4
+#: Sets that one is compared with at a time.
+TOGETHER = 64
 #: A key with more than this share of all rows is hot: at most 1 / HOT keys are.
 HOT = 1e-3
 
 Postings = tuple[np.ndarray, np.ndarray, np.ndarray]  # keys, nodes, marks
 Fits = Callable[[np.ndarray, np.ndarray], np.ndarray]  # marks, marks -> whether the nodes may link
+Contents = DataFrame | Callable[[DataFrame], DataFrame]  # (node, content) of all listed nodes as a written table, or what gives that of a table of nodes
 Decode = Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]  # contents -> hashes of all sets in order, and how many each has
 
 
@@ -86,8 +94,12 @@ def packed(df: DataFrame, postings: Callable[[Iterator[pa.RecordBatch]], Iterato
     return df.mapInArrow(run, "part int, keys binary, nodes binary, marks binary").repartitionById(parts, F.col("part"))
 
 
-def listed(blocks: DataFrame, fits: Fits) -> DataFrame:
-    """(key, node, lead, mark) of packed postings: keys with at least two fitting nodes, each pair once (if HELD suffices). lead: the list's first node, null for itself and where the marks do not fit."""
+def listed(blocks: DataFrame, fits: Fits, short: int | None = None) -> DataFrame:
+    """(key, node, lead, mark) of packed postings: keys with more than SHORT fitting nodes, each node once (if HELD suffices), lead being the list's first node, null for itself and where the marks do not fit; and pairs (node, lead) of shorter lists, without key, each once a worker.
+
+    short=0 gives all lists by key."""
+
+    short = SHORT if short is None else short
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first: Postings = (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
@@ -98,15 +110,15 @@ def listed(blocks: DataFrame, fits: Fits) -> DataFrame:
                 held.append((np.frombuffer(keys.as_buffer(), np.uint64), np.frombuffer(nodes.as_buffer(), np.int64), np.frombuffer(marks.as_buffer(), np.int64)))
                 size += len(held[-1][0])
                 if size >= HELD:
-                    first, out = _collapsed(held, any_marks)
+                    first, out = _collapsed(held, any_marks, 0)  # a key's later nodes must still find it
                     yield from out
                     held, size, whole = [first], 0, False
-        yield from _collapsed(held, fits if whole else any_marks)[1]
+        yield from _collapsed(held, fits if whole else any_marks, short if whole else 0)[1]
 
     return blocks.mapInArrow(run, "key long, node long, lead long, mark long")
 
 
-def _collapsed(held: list[Postings], fits: Fits) -> tuple[Postings, Iterator[pa.RecordBatch]]:
+def _collapsed(held: list[Postings], fits: Fits, short: int) -> tuple[Postings, Iterator[pa.RecordBatch]]:
     """The first node of each key, and the lists; held starts with the first nodes so far."""
     keys, nodes, marks = (np.concatenate(x) for x in zip(*held))
     held.clear()
@@ -117,10 +129,10 @@ def _collapsed(held: list[Postings], fits: Fits) -> tuple[Postings, Iterator[pa.
     sizes = np.diff(np.append(starts, len(keys)))
     shared = np.logical_or.reduceat(nodes != np.repeat(first[1], sizes), starts) if len(keys) else np.zeros(0, bool)
     keep = np.repeat(shared, sizes)
-    return first, _lists(keys[keep], nodes[keep], marks[keep], fits)
+    return first, _lists(keys[keep], nodes[keep], marks[keep], fits, short)
 
 
-def _lists(keys: np.ndarray, nodes: np.ndarray, marks: np.ndarray, fits: Fits) -> Iterator[pa.RecordBatch]:
+def _lists(keys: np.ndarray, nodes: np.ndarray, marks: np.ndarray, fits: Fits, short: int) -> Iterator[pa.RecordBatch]:
     order = np.lexsort((nodes, keys))
     keys, nodes, marks = keys[order], nodes[order], marks[order]
     fresh = np.append(True, (keys[1:] != keys[:-1]) | (nodes[1:] != nodes[:-1]))[: len(keys)]
@@ -130,7 +142,20 @@ def _lists(keys: np.ndarray, nodes: np.ndarray, marks: np.ndarray, fits: Fits) -
         keys, nodes, marks = keys[live], nodes[live], marks[live]
     if not len(keys):
         return
-    starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    sizes, after = _extents(keys)
+    pairs = [np.zeros((2, 0), np.int64)]
+    for by in range(1, short):
+        i = np.flatnonzero((sizes <= short) & (after >= by))
+        i = i[fits(marks[i], marks[i + by])]
+        pairs.append(np.stack([nodes[i], nodes[i + by]]))
+    pairs = np.unique(np.concatenate(pairs, axis=1), axis=1)
+    for a in range(0, pairs.shape[1], 1 << 18):
+        some = pairs[:, a : a + (1 << 18)]
+        none = pa.nulls(some.shape[1], pa.int64())
+        yield pa.RecordBatch.from_arrays([none, pa.array(some[0]), pa.array(some[1]), none], names=["key", "node", "lead", "mark"])
+    long = sizes > short
+    keys, nodes, marks = keys[long], nodes[long], marks[long]
+    starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
     at = np.repeat(starts, np.diff(np.append(starts, len(keys))))
     led = (nodes != nodes[at]) & fits(marks, marks[at])
     for a in range(0, len(keys), 1 << 18):
@@ -202,7 +227,7 @@ def shared_lists(postings: DataFrame) -> DataFrame:
             key, node = (batch.column(i).to_numpy() for i in range(2))
             yield key.view(np.uint64), node, np.zeros(len(key), np.int64)
 
-    return listed(packed(postings.select("key", "node"), unpacked), any_marks)
+    return listed(packed(postings.select("key", "node"), unpacked), any_marks, 0)
 
 
 #: Words of the parity bitmap. With 1024 classes it tells sets of up to about 2000 elements apart; larger ones pass it and are verified.
@@ -238,10 +263,9 @@ def similar(left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray, np.nda
     return (both > 0) & (100 * both >= SIMILAR * (number(a) + number(b) - both))
 
 
-def verify(pairs: DataFrame, contents: Callable[[DataFrame], DataFrame], decode: Decode) -> DataFrame:
-    """The (a, b) of pairs (a written table) whose sets are similar; only their contents are fetched."""
-    named = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    known = materialize(contents(materialize(named, "named")), "contents").select("node", "content")
+def verify(pairs: DataFrame, contents: Contents, decode: Decode) -> DataFrame:
+    """The (a, b) of pairs (a written table) whose sets are similar."""
+    known = fetched(contents, pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))))
     joined = pairs.join(known.withColumnsRenamed({"node": "b", "content": "right"}), "b").join(known.withColumnsRenamed({"node": "a", "content": "left"}), "a").select("a", "b", "left", "right")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,6 +292,13 @@ def _offsets(column: pa.Array) -> np.ndarray:
     return np.frombuffer(column.buffers()[1], np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
 
 
+def fetched(contents: Contents, nodes: DataFrame) -> DataFrame:
+    """(node, content) of at least these nodes: all there are, or a written table of just these."""
+    if isinstance(contents, DataFrame):
+        return contents.select("node", "content")
+    return materialize(contents(materialize(nodes.select("node").distinct(), "named")), "contents").select("node", "content")
+
+
 def fewer(nodes: DataFrame) -> DataFrame:
     """nodes, marked for broadcast if they are few."""
     return F.broadcast(nodes) if nodes.limit(BROADCAST_NODES + 1).count() <= BROADCAST_NODES else nodes
@@ -408,35 +439,46 @@ def _spanned(begin: int, end: int, meet: Callable, fits: Callable, part: np.ndar
     for i in range(begin, end):
         after = rows[i + 1 - begin :]
         at = np.full(len(after), i)
-        for j in after[meet(at, after) & fits(at, after)].tolist():
-            a, b = root(int(part[i])), root(int(part[j]))
-            if a == b:
+        others = after[meet(at, after) & fits(at, after)]
+        for k in range(0, len(others), TOGETHER):
+            own = root(int(part[i]))
+            some = [j for j in others[k : k + TOGETHER].tolist() if root(int(part[j])) != own]
+            if not some:
                 continue
-            x, y = elements(i), elements(j)
-            if 100 * min(len(x), len(y)) < SIMILAR * max(len(x), len(y)):
-                continue
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            if both and 100 * both >= SIMILAR * (len(x) + len(y) - both):
-                above[max(a, b)] = min(a, b)
-                yield i, j
+            x, each = elements(i), [elements(j) for j in some]
+            sizes = np.array([len(y) for y in each])
+            every = np.concatenate(each)
+            same = x[np.minimum(np.searchsorted(x, every), len(x) - 1)] == every
+            both = np.add.reduceat(same.astype(np.int64), np.cumsum(sizes) - sizes)
+            for j in np.array(some)[(both > 0) & (100 * both >= SIMILAR * (len(x) + sizes - both))].tolist():
+                a, b = root(int(part[i])), root(int(part[j]))
+                if a != b:
+                    above[max(a, b)] = min(a, b)
+                    yield i, j
         sets.pop(i, None)
 
 
-def link(lists: DataFrame, fits: Fits, contents: Callable[[DataFrame], DataFrame], decode: Decode, sketches: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def listed_nodes(lists: DataFrame) -> DataFrame:
+    """(node) of all nodes in lists and pairs."""
+    return lists.select("node").union(lists.filter("lead is not null").select("lead")).distinct()
+
+
+def link(lists: DataFrame, fits: Fits, contents: Contents, decode: Decode, sketches: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Links (a, b) found and components (id, component) of the nodes they tie.
 
-    lists: of listed(), a written table. contents(nodes) gives (node, content), one row each, and
-    decode the sets of a column of them. sketches: (node, n, s0..), n being the mark as well."""
+    lists: of listed(), a written table. decode gives the sets of a column of contents. sketches: (node, n, s0..), n being the mark as well."""
     pairs = lists.filter("lead is not null").select(F.least("lead", "node").alias("a"), F.greatest("lead", "node").alias("b")).distinct()
     if sketches is not None:
-        named = materialize(lists.select("node").distinct(), "nodes")
+        named = materialize(listed_nodes(lists), "nodes")
         sketches = materialize(only(sketches, named).dropDuplicates(["node"]), "sketches")
+        if sketches.count() <= BROADCAST_SKETCHES:
+            sketches = F.broadcast(sketches)
         right = sketches.select(F.col("node").alias("b"), *(F.col(c).alias(f"o_{c}") for c in ("n", *SKETCH)))
-        pairs = pairs.join(sketches.withColumnRenamed("node", "a"), "a").join(right, "b").filter(may_link()).select("a", "b")
+        pairs = materialize(pairs, "named").join(sketches.withColumnRenamed("node", "a"), "a").join(right, "b").filter(may_link()).select("a", "b")
     tried = materialize(pairs, "tried")
     links = materialize(verify(tried, contents, decode), "links")
     parts = materialize(connected_components(links), "parts")
-    placed = materialize(placed_in(lists.select("key", "node", "mark"), parts), "placed")
+    placed = materialize(placed_in(lists.filter("key is not null").select("key", "node", "mark"), parts), "placed")
     spans = materialize(placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("length")).filter("low != high").select("key", "length"), "spans")
     rest = grouped(join_sized(placed, spans, "key", "length"))
     if sketches is not None:
@@ -449,8 +491,8 @@ def link(lists: DataFrame, fits: Fits, contents: Callable[[DataFrame], DataFrame
     spans = dense.groupBy("key", "low", "high").agg(F.min("part").alias("least"), F.max("part").alias("most")).filter("least != most").select("key", "low", "high")
     dense = materialize(dense.join(spans, ["key", "low", "high"]), "dense")
     if not dense.isEmpty():
-        known = materialize(contents(materialize(dense.select("node").distinct(), "named")), "contents").select("node", "content")
-        links, parts = _joined(links, parts, materialize(tied(dense.join(known, "node"), fits, decode), "links"))
+        rows = dense.join(fetched(contents, dense), "node")
+        links, parts = _joined(links, parts, materialize(tied(rows, fits, decode), "links"))
     return links, parts
 
 

@@ -49,16 +49,42 @@ WHITE = " \t\r\v\f"
 _LOWER = bytes(ord(fold(chr(i))) for i in range(256))
 _RNG = np.random.Generator(np.random.PCG64(99))
 _A = (_RNG.integers(0, 2**31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2)) | np.uint32(1)
-_B = _RNG.integers(0, 2**32, BANDS * ROWS, dtype=np.uint32)
 _CHARS = mix(np.arange(1, K + 1, dtype=np.uint64)) | np.uint64(1)
 
 
+def node_of(line: str) -> int:
+    """The hash of a line that Spark's xxhash64 gives, as an unsigned number."""
+    return xxhash.xxh64_intdigest(line.encode("utf-8", "surrogatepass"), 42)
+
+
 def lines_of(docs: DataFrame, min_chars: int) -> DataFrame:
-    """(doc_id, text_hash, line_no, line, node) of the lines that take part."""
-    text = F.col("text")
-    each = docs.select(F.col("doc_id"), F.xxhash64(text).alias("text_hash"), F.posexplode(F.split(text, "\n", -1)).alias("line_no", "line"))
-    line = F.btrim("line", F.lit(WHITE))
-    return each.withColumn("line", line).filter(F.char_length("line") >= min_chars).withColumn("node", F.xxhash64("line"))
+    """(node, line) of the lines that take part."""
+    each = docs.select(F.explode(F.split("text", "\n", -1)).alias("line")).select(F.btrim("line", F.lit(WHITE)).alias("line"))
+    return each.filter(F.char_length("line") >= min_chars).select(F.xxhash64("line").alias("node"), "line")
+
+
+def line_nodes(docs: DataFrame, min_chars: int) -> DataFrame:
+    """(doc_id, text_hash, line_no, node) of the lines that take part."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                rows: list[int] = []
+                numbers: list[int] = []
+                nodes: list[int] = []
+                for row, text in enumerate(part.column("text").to_pylist()):
+                    for number, line in enumerate((text or "").split("\n")):
+                        line = line.strip(WHITE)
+                        if len(line) >= min_chars:
+                            rows.append(row)
+                            numbers.append(number)
+                            nodes.append(node_of(line))
+                take = pa.array(rows, pa.int32())
+                columns = [part.column("doc_id").take(take), part.column("text_hash").take(take), pa.array(numbers, pa.int32()), pa.array(np.array(nodes, np.uint64).view(np.int64))]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "line_no", "node"])
+
+    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, "doc_id long, text_hash long, line_no int, node long")
 
 
 def shingles(line: str) -> frozenset:
@@ -106,8 +132,7 @@ def minima(lines: list[str]) -> np.ndarray:
     starts = np.cumsum(counts) - counts
     least, one = np.empty((BANDS * ROWS, len(lines)), np.uint32), np.empty_like(short)
     for k in range(BANDS * ROWS):
-        np.multiply(short, _A[k], out=one)
-        np.add(one, _B[k], out=one)
+        np.multiply(short, _A[k], out=one)  # hashes are mixed already, so an odd factor permutes well enough
         np.minimum.reduceat(one, starts, out=least[k])
     return least.T
 
@@ -155,7 +180,7 @@ def line_postings(docs: DataFrame, min_chars: int) -> DataFrame:
                 line = line.strip(WHITE)
                 if len(line) < min_chars:
                     continue
-                node = xxhash.xxh64_intdigest(line.encode("utf-8", "surrogatepass"), 42)
+                node = node_of(line)
                 if node in seen:
                     continue
                 seen.add(node)
@@ -180,14 +205,13 @@ def coordinates() -> Column:
 def duplicates(docs: DataFrame, min_chars: int | None = None) -> DataFrame:
     """(doc_id, text_hash, removed array<int>): the line numbers that each document loses."""
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    lines = lines_of(chosen, MIN_CHARS if min_chars is None else min_chars)
-
-    def contents(nodes: DataFrame) -> DataFrame:
-        return linking.only(lines.select("node", "line"), nodes).groupBy("node").agg(F.min("line").alias("content"))
+    least = MIN_CHARS if min_chars is None else min_chars
 
-    lists = materialize(linking.listed(line_postings(chosen, MIN_CHARS if min_chars is None else min_chars), fits), "lists")
-    _, parts = linking.link(lists, fits, contents, decode)
-    placed = lines.drop("line").join(linking.fewer(parts).withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    lists = materialize(linking.listed(line_postings(chosen, least), fits), "lists")
+    nodes = materialize(linking.listed_nodes(lists), "nodes")
+    contents = linking.only(lines_of(chosen, least), nodes).dropDuplicates(["node"]).withColumnRenamed("line", "content")
+    _, parts = linking.link(lists, fits, materialize(contents, "contents"), decode)
+    placed = line_nodes(chosen, least).join(linking.fewer(parts).withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     placed = materialize(placed.drop("node"), "placed")
     several = materialize(placed.groupBy("component").agg(F.count("*").alias("lines")).filter("lines > 1"), "several")
     some = materialize(linking.join_sized(placed, several, "component", "lines"), "some")

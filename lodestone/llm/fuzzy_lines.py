@@ -1,8 +1,8 @@
 """Removal of near-duplicate lines by MinHash.
 
 A line is what stands between newlines, without outer white space; every line with a character
-takes part, in the pipeline's stage only lines of STAGE_MIN_CHARS characters or more. Its set holds the shingles of K characters (letters folded to lower
-case); a shorter line is one shingle. BANDS bands of ROWS minima find candidates: a pair of
+takes part. Its set holds the shingles of K characters (letters folded to lower case); a shorter
+line is one shingle. BANDS bands of ROWS minima find candidates: a pair of
 similarity 0.8 is missed with probability (1 - 0.8^ROWS)^BANDS, under 0.2 %, and the exact
 similarity of every candidate is verified, but for those whose marks (two bits of 32 minima)
 agree in fewer than MARK_AGREE places. Verified links make components, in which the line of
@@ -13,8 +13,7 @@ n squared / 2^65.
 
 Defined cases: a null text has no lines; blank lines are kept; rows equal in doc_id and text are
 one document and keep the same lines; a null doc_id sorts first; a document that loses all its
-lines but blank and short ones, and has none of the short, is dropped by the stage; an empty
-table gives an empty result.
+lines but blank ones is dropped by the stage; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -35,8 +34,6 @@ from lodestone.llm.textblocks import mix
 from lodestone.session import materialize, table
 
 MIN_CHARS = 1
-#: The stage leaves shorter lines where they are.
-STAGE_MIN_CHARS = 10
 #: One changed character costs K shingles: a line of 49 characters still links. Below 5, long lines of one language
 #: would share most of their shingles without being copies.
 K = 5
@@ -248,7 +245,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without duplicate lines; one that has nothing left but white space goes."""
     (changed,) = unused(docs, "_changed")
-    done = without(docs, duplicates(docs, STAGE_MIN_CHARS), changed).filter(~F.col(changed) | (F.btrim("text", F.lit(WHITE + "\n")) != ""))
+    done = without(docs, duplicates(docs), changed).filter(~F.col(changed) | (F.btrim("text", F.lit(WHITE + "\n")) != ""))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         done = done.withColumn("n_chars", F.when(F.col(changed), F.char_length("text").cast(kind)).otherwise(F.col("n_chars")))

@@ -201,7 +201,7 @@ def test_line_stage(spark):
     done = fuzzy_lines.stage(spark, docs, "")
     assert done.columns == docs.columns
     got = {r.doc_id: r for r in done.collect()}
-    assert got[2].text == "short\nNothing like any other line of these documents" and got[2].n_chars == len(got[2].text)
+    assert got[2].text == "Nothing like any other line of these documents" and got[2].n_chars == len(got[2].text)
     assert got[1].text == LINES[0][1] and 5 not in got and 7 not in got
     assert got[3].text is None and got[None].text == "x" and got[4].text == ""
     assert fuzzy_lines.stage(spark, docs.limit(0), "").count() == 0

@@ -7,6 +7,9 @@ lengths, which has at most `capacity` entries whatever the number of pieces; one
 combination is applied as often as the counts allow. Pieces then look up their place by
 (length, rank within the length), ranks being given out per bucket, never by one task a length.
 
+Word pieces are remembered by 64-bit hashes (see wordbpe): of n different pieces that a worker meets
+some two share one, and then ids, with probability n squared / 2^65.
+
 Defined cases: a null text is an empty one and still has its end id; a text whose ids and end
 id exceed the capacity is cut into full pieces, of which the last may be shorter, and no other
 is cut; repeated rows are packed one by one; an empty table gives an empty result.

@@ -164,12 +164,12 @@ def keys_of(found: np.ndarray, known: Plan) -> np.ndarray:
 
 
 def sets(docs: DataFrame, known: Plan) -> DataFrame:
-    """Of docs(doc_id, text, text_hash): (doc_id, text_hash, n_shingles, node, keys, n, s0..); keys and sketch only where this partition has not listed the node yet."""
+    """Of docs(doc_id, text, text_hash): (doc_id, text_hash, n_shingles, node, keys, n, s0.., wide); keys and sketch only where this partition has not listed the node yet."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         listed: set[int] = set()
-        names = ["doc_id", "text_hash", "n_shingles", "node", "keys", "n", *linking.SKETCH]
-        kinds = [pa.int64()] * 4 + [pa.list_(pa.int64())] + [pa.int64()] * (1 + len(linking.SKETCH))
+        names = ["doc_id", "text_hash", "n_shingles", "node", "keys", "n", *linking.SKETCH, "wide"]
+        kinds = [pa.int64()] * 4 + [pa.list_(pa.int64())] + [pa.int64()] * (1 + len(linking.SKETCH)) + [pa.list_(pa.int64())]
 
         def made() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=names)
@@ -185,7 +185,7 @@ def sets(docs: DataFrame, known: Plan) -> DataFrame:
                     listed.add(node)
                     if len(listed) > 500_000:
                         listed.clear()  # then some are listed twice, to no harm
-                for column, value in zip(out, (ids[row], hashes[row], n, node, keys_of(found, known).view(np.int64) if fresh else None, *(linking.parity(found) if fresh else [None] * (1 + len(linking.SKETCH))))):
+                for column, value in zip(out, (ids[row], hashes[row], n, node, keys_of(found, known).view(np.int64) if fresh else None, *(linking.parity(found) if fresh else [None] * (1 + len(linking.SKETCH))), linking.wide_parity(found) if fresh else None)):
                     column.append(value)
                 if len(out[0]) >= 1024:
                     yield made()
@@ -194,7 +194,7 @@ def sets(docs: DataFrame, known: Plan) -> DataFrame:
                 yield made()
 
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "text_hash")
-    return chosen.mapInArrow(run, "doc_id long, text_hash long, n_shingles long, node long, keys array<long>, n long, " + ", ".join(f"{s} long" for s in linking.SKETCH))
+    return chosen.mapInArrow(run, "doc_id long, text_hash long, n_shingles long, node long, keys array<long>, n long, " + ", ".join(f"{s} long" for s in linking.SKETCH) + ", wide array<long>")
 
 
 def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[linking.Postings]:
@@ -239,7 +239,7 @@ def join(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
         once = small.groupBy("text_hash").agg(F.min("text").alias("content"))  # copies meet before the shuffle
         return _packed_sets(once.join(some, "text_hash"))
 
-    links, parts = linking.link(lists, linking.fitting_sizes, contents, decode, found.filter("n is not null").select("node", "n", *linking.SKETCH))
+    links, parts = linking.link(lists, linking.fitting_sizes, contents, decode, found.filter("n is not null").select("node", "n", *linking.SKETCH, "wide"))
     classes = firsts.join(parts.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = classes.groupBy("component").agg(F.min("first").alias("component_id"))
     classes = materialize(classes.join(least, "component").select("node", "component_id"), "classes")

@@ -42,7 +42,7 @@ FILTERED = 2048
 #: A list of up to this many nodes is handed on as its pairs, at most (SHORT - 1) / 2 a node.
 SHORT = 8
 #: Sketches up to this number are broadcast (some 40 MB).
-BROADCAST_SKETCHES = 250_000
+BROADCAST_SKETCHES = 200_000
 #: Nodes of a list's block, and pairs a node that a group of blocks hands on.
 BLOCK, DENSE = 1024, 4
 #: Sets that one is compared with at a time.
@@ -230,7 +230,7 @@ def shared_lists(postings: DataFrame) -> DataFrame:
     return listed(packed(postings.select("key", "node"), unpacked), any_marks, 0)
 
 
-#: Words of the parity bitmap. With 1024 classes it tells sets of up to about 2000 elements apart; larger ones pass it and are verified.
+#: Words of the parity bitmap. Its 1024 classes tell sets of up to 1024 elements apart; larger ones have a wide one besides, of at least as many classes as elements (a power of two, so that a wider one folds into a narrower).
 WORDS = 16
 SKETCH = [f"s{i}" for i in range(WORDS)]
 
@@ -241,11 +241,44 @@ def parity(hashes: np.ndarray) -> list[int]:
     return [len(hashes), *np.packbits(odd.astype(bool)).view("<i8").tolist()]
 
 
+def wide_parity(hashes: np.ndarray) -> list[int] | None:
+    """The wide bitmap's words; null where the narrow one is enough."""
+    n = len(hashes)
+    if n <= 64 * WORDS:
+        return None
+    classes = 1 << (n - 1).bit_length()
+    odd = np.bincount((hashes & np.uint64(classes - 1)).astype(np.int64), minlength=classes) & 1
+    return np.packbits(odd.astype(bool)).view("<i8").tolist()
+
+
+def wide_differing(a: np.ndarray, b: np.ndarray) -> int:
+    """Bits in which two wide bitmaps differ, the wider one folded."""
+    while len(a) > len(b):
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    while len(b) > len(a):
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return int(np.bitwise_count((a ^ b).view(np.uint64)).sum())
+
+
+def _differing(a: Column, b: Column) -> Column:
+    """wide_differing on columns; sizes that fit differ by a factor of two at most."""
+
+    def folded(x: Column, size: Column) -> Column:
+        halves = F.zip_with(F.slice(x, F.lit(1), size), F.slice(x, size + 1, size), lambda p, q: p.bitwiseXOR(q))
+        return F.when(F.size(x) > size, halves).otherwise(x)
+
+    size = F.least(F.size(a), F.size(b))
+    return F.aggregate(F.zip_with(folded(a, size), folded(b, size), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, x: s + x)
+
+
 def may_link(other: str = "o_") -> Column:
-    """The bounds on sizes and differing elements of a pair in columns n, s0.. and the same behind a prefix."""
+    """The bounds on sizes and differing elements of a pair in columns n, s0.., wide and the same behind a prefix."""
     n, m = F.col("n"), F.col(f"{other}n")
     differing = sum((F.bit_count(F.col(s).bitwiseXOR(F.col(f"{other}{s}"))) for s in SKETCH), F.lit(0))
-    return (F.least(n, m) * 100 >= F.greatest(n, m) * SIMILAR) & (differing * (100 + SIMILAR) <= (n + m) * (100 - SIMILAR))
+    bounded = lambda d: d * (100 + SIMILAR) <= (n + m) * (100 - SIMILAR)
+    wide, other_wide = F.col("wide"), F.col(f"{other}wide")
+    near = F.when(wide.isNotNull() & other_wide.isNotNull(), bounded(_differing(wide, other_wide))).otherwise(True)
+    return F.when((F.least(n, m) * 100 >= F.greatest(n, m) * SIMILAR) & bounded(differing), near).otherwise(False)
 
 
 def similar(left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
@@ -375,6 +408,8 @@ def across(groups: DataFrame, fits: Fits) -> DataFrame:
         for table, group in _Groups(batches, 1 << 15):
             meet, mark, node = _may_meet(table), table.column("mark").to_numpy(), table.column("node").to_numpy()
             words = np.column_stack([table.column(c).to_numpy().view(np.uint64) for c in sketched]) if sketched else None
+            wide = table.column("wide").combine_chunks() if sketched else None
+            ends, flat = (wide.offsets.to_numpy(), wide.values.to_numpy()) if sketched else (None, None)
 
             def pairs(i: np.ndarray, j: np.ndarray) -> np.ndarray:
                 hit = meet(i, j) & fits(mark[i], mark[j])
@@ -383,6 +418,10 @@ def across(groups: DataFrame, fits: Fits) -> DataFrame:
                     i, j = i[at], j[at]
                     differing = np.bitwise_count(words[i] ^ words[j]).sum(1, dtype=np.int64)
                     hit[at] = differing * (100 + SIMILAR) <= (mark[i] + mark[j]) * (100 - SIMILAR)
+                    both = hit[at] & (ends[i + 1] > ends[i]) & (ends[j + 1] > ends[j])
+                    for k in np.flatnonzero(both).tolist():
+                        a, b = (flat[ends[x[k]] : ends[x[k] + 1]] for x in (i, j))
+                        hit[at[k]] = wide_differing(a, b) * (100 + SIMILAR) <= (mark[i[k]] + mark[j[k]]) * (100 - SIMILAR)
                 return hit
 
             i, j, dense = candidates(group, pairs)
@@ -395,7 +434,7 @@ def across(groups: DataFrame, fits: Fits) -> DataFrame:
                 kept = rows.filter(pa.array(dense))
                 yield from pa.table({c: kept.column(c) for c in names} | {"other": pa.nulls(len(kept), pa.int64())}).combine_chunks().to_batches()
 
-    dealt = groups.select(*names, "part", *sketched).repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "node")
+    dealt = groups.select(*names, "part", *sketched, *(["wide"] if sketched else [])).repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "node")
     return dealt.mapInArrow(run, "key long, low int, high int, own int, node long, mark long, other long")
 
 
@@ -466,14 +505,14 @@ def listed_nodes(lists: DataFrame) -> DataFrame:
 def link(lists: DataFrame, fits: Fits, contents: Contents, decode: Decode, sketches: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Links (a, b) found and components (id, component) of the nodes they tie.
 
-    lists: of listed(), a written table. decode gives the sets of a column of contents. sketches: (node, n, s0..), n being the mark as well."""
+    lists: of listed(), a written table. decode gives the sets of a column of contents. sketches: (node, n, s0.., wide), n being the mark as well."""
     pairs = lists.filter("lead is not null").select(F.least("lead", "node").alias("a"), F.greatest("lead", "node").alias("b")).distinct()
     if sketches is not None:
         named = materialize(listed_nodes(lists), "nodes")
         sketches = materialize(only(sketches, named).dropDuplicates(["node"]), "sketches")
         if sketches.count() <= BROADCAST_SKETCHES:
             sketches = F.broadcast(sketches)
-        right = sketches.select(F.col("node").alias("b"), *(F.col(c).alias(f"o_{c}") for c in ("n", *SKETCH)))
+        right = sketches.select(F.col("node").alias("b"), *(F.col(c).alias(f"o_{c}") for c in ("n", *SKETCH, "wide")))
         pairs = materialize(pairs, "named").join(sketches.withColumnRenamed("node", "a"), "a").join(right, "b").filter(may_link()).select("a", "b")
     tried = materialize(pairs, "tried")
     links = materialize(verify(tried, contents, decode), "links")
@@ -482,7 +521,7 @@ def link(lists: DataFrame, fits: Fits, contents: Contents, decode: Decode, sketc
     spans = materialize(placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("length")).filter("low != high").select("key", "length"), "spans")
     rest = grouped(join_sized(placed, spans, "key", "length"))
     if sketches is not None:
-        rest = rest.join(sketches.select("node", *SKETCH), "node")
+        rest = rest.join(sketches.select("node", *SKETCH, "wide"), "node")
     found = materialize(across(rest, fits), "across")
     pairs = materialize(found.filter("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
     if not pairs.isEmpty():

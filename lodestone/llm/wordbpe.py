@@ -3,7 +3,8 @@
 The vocabulary this serves (lower case, word ends, white space dropped) cuts a text into
 pieces with a fixed pattern and never merges across them, so the ids of a text are those of
 its pieces in order. Pieces repeat: each distinct one is encoded by the library once per
-worker and remembered by its hash. Texts outside Latin-1, with contractions or with the
+worker and remembered by its 64-bit hash: of n different pieces between two emptyings of the memo
+(MEMO_LIMIT at most) some two share one with probability n squared / 2^65, under 2e-8. Texts outside Latin-1, with contractions or with the
 strings of special tokens go to the library whole. tests/llm holds the result against the
 library's encoding of whole texts.
 """

@@ -358,3 +358,27 @@ def test_pipeline_of_odd_rows(spark, sf):
     out = piped(spark, docs, sf)
     assert all(d.columns == docs.columns for d in out[:-1])
     assert piped(spark, docs.limit(0), sf)[-1].count() == 0
+
+
+def test_wide_bitmaps_bound_the_difference():
+    rng = np.random.default_rng(5)
+    for n, m, both in ((1100, 1000, 900), (3000, 2500, 2400), (5000, 4100, 4000), (20_000, 20_000, 19_000), (4097, 4096, 10)):
+        every = rng.integers(0, 2**63, n + m - both, dtype=np.uint64)
+        a, b = every[:n], every[n - both :]
+        x, y = linking.wide_parity(a), linking.wide_parity(b)
+        assert (x is None) == (n <= 1024) and (y is None) == (m <= 1024)
+        if x and y:
+            found = linking.wide_differing(np.array(x), np.array(y))
+            assert found <= n + m - 2 * both and (both > 10 or 9 * found > n + m)  # a bound, and one that tells strangers apart
+
+
+def test_wide_bitmaps_on_columns(spark):
+    rng = np.random.default_rng(6)
+    every = rng.integers(0, 2**63, 6000, dtype=np.uint64)
+    rows = []
+    for k, (a, b) in enumerate(((every[:4100], every[300:4000]), (every[:2000], every[2000:4000]), (every[:900], every[:1000]), (every[:5000], every[:4000]))):
+        rows.append((k, *linking.parity(a), linking.wide_parity(a), *linking.parity(b), linking.wide_parity(b)))
+    names = ["n", *linking.SKETCH]
+    schema = "k long, " + ", ".join(f"{c} long" for c in names) + ", wide array<long>, " + ", ".join(f"o_{c} long" for c in names) + ", o_wide array<long>"
+    got = {r.k: r.may for r in spark.createDataFrame(rows, schema).select("k", linking.may_link().alias("may")).collect()}
+    assert got == {0: True, 1: False, 2: True, 3: True}

@@ -87,29 +87,35 @@ def from_octahedral(u: Column, v: Column, unit: int) -> tuple[Column, Column, Co
 
 
 class BitWriter:
-    """Bits, most significant first."""
+    """Bits, most significant first; whole bytes are let go as they fill."""
 
     def __init__(self) -> None:
-        self.value, self.n = 0, 0
+        self.done, self.value, self.n = bytearray(), 0, 0
 
     def put(self, value: int, bits: int) -> None:
         self.value = self.value << bits | value & ((1 << bits) - 1)
         self.n += bits
+        if self.n >= 64:
+            rest = self.n % 8
+            self.done += (self.value >> rest).to_bytes(self.n // 8, "big")
+            self.value &= (1 << rest) - 1
+            self.n = rest
 
     def bytes(self) -> bytes:
         rest = -self.n % 8
-        return (self.value << rest).to_bytes((self.n + rest) // 8, "big")
+        return bytes(self.done) + (self.value << rest).to_bytes((self.n + rest) // 8, "big")
 
 
 class BitReader:
     def __init__(self, raw: bytes) -> None:
-        self.value, self.left = int.from_bytes(raw, "big"), 8 * len(raw)
+        self.raw, self.at, self.end = raw, 0, 8 * len(raw)
 
     def take(self, bits: int) -> int:
-        self.left -= bits
-        if self.left < 0:
+        first, last = self.at // 8, (self.at + bits + 7) // 8
+        self.at += bits
+        if self.at > self.end:
             raise EOFError("no bits left")
-        return self.value >> self.left & ((1 << bits) - 1)
+        return int.from_bytes(self.raw[first:last], "big") >> 8 * last - self.at & ((1 << bits) - 1)
 
 
 def write_differences(values: Sequence[int]) -> tuple[list[int], bytes]:
@@ -176,7 +182,9 @@ class Tunstall:
 
 
 class RangeCoder:
-    """Static range coder on whole numbers: cumulative frequencies of a fixed total."""
+    """Static range coder: cumulative frequencies of a total below 2^48, an interval of 64 bits that gives a byte whenever its ends agree in one."""
+
+    WHOLE, TOP, BOTTOM = (1 << 64) - 1, 1 << 56, 1 << 48
 
     def __init__(self, frequencies: Sequence[int]) -> None:
         self.low = [0]
@@ -184,29 +192,43 @@ class RangeCoder:
             self.low.append(self.low[-1] + f)
         self.total = self.low[-1]
 
+    def narrowed(self, low: int, width: int, symbol: int) -> tuple[int, int, int]:
+        """(low, width, bytes to shift out) after a symbol; a width that straddles a byte too long is cut at it."""
+        unit = width // self.total
+        low = (low + unit * self.low[symbol]) & self.WHOLE
+        width = unit * (self.low[symbol + 1] - self.low[symbol])
+        shifts = 0
+        at, left = low, width
+        while True:
+            if at ^ (at + left) & self.WHOLE < self.TOP and at + left <= self.WHOLE:
+                pass
+            elif left < self.BOTTOM:
+                left = -at & (self.BOTTOM - 1)
+            else:
+                return low, left, shifts
+            at, left, shifts = (at << 8) & self.WHOLE, (left << 8) & self.WHOLE, shifts + 1
+
     def encode(self, symbols: Sequence[int]) -> bytes:
-        low, width = 0, 1
-        for s in symbols:  # exact arithmetic: the interval is a fraction with denominator total^n
-            low = low * self.total + width * self.low[s]
-            width *= self.low[s + 1] - self.low[s]
-        scale = self.total ** len(symbols)
-        n = 0
-        while (((low << 8 * n) + scale - 1) // scale + 1) * scale > (low + width) << 8 * n:
-            n += 1
-        return (((low << 8 * n) + scale - 1) // scale).to_bytes(n, "big")
+        low, width, out = 0, self.WHOLE, bytearray()
+        for s in symbols:
+            low, width, shifts = self.narrowed(low, width, s)
+            for _ in range(shifts):
+                out.append(low >> 56)
+                low = (low << 8) & self.WHOLE
+        return bytes(out) + low.to_bytes(8, "big") if len(symbols) else b""
 
     def decode(self, raw: bytes, n: int) -> list[int]:
         from bisect import bisect_right
 
-        value, scale = int.from_bytes(raw, "big"), 1 << 8 * len(raw)
-        out = []
+        low, width, code, at, out = 0, self.WHOLE, int.from_bytes(raw[:8], "big"), 8, []
         for _ in range(n):
-            value *= self.total
-            s = bisect_right(self.low, value // scale) - 1
+            place = ((code - low) & self.WHOLE) // (width // self.total)
+            s = bisect_right(self.low, min(place, self.total - 1)) - 1
             out.append(s)
-            width = self.low[s + 1] - self.low[s]
-            value -= self.low[s] * scale
-            scale *= width
+            low, width, shifts = self.narrowed(low, width, s)
+            for _ in range(shifts):
+                code = (code << 8) & self.WHOLE | (raw[at] if at < len(raw) else 0)
+                low, at = (low << 8) & self.WHOLE, at + 1
         return out
 
 

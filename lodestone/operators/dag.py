@@ -35,7 +35,7 @@ def saturate(nodes: DataFrame, patches: DataFrame, error: str = "error", level:
             here = here.join(child, "node", "left").withColumn(error, F.when(F.col(error) <= F.col("_child"), F.col("_child") * GROWTH).otherwise(F.col(error))).drop("_child")
         done = here if done is None else done.unionByName(here)
         done = materialize(done, "saturated")
-    return done
+    return nodes if done is None else done
 
 
 def violations(nodes: DataFrame, patches: DataFrame, error: str = "error") -> DataFrame:
@@ -188,7 +188,7 @@ def saturate_spheres(nodes: DataFrame, patches: DataFrame, level: str = "lvl") -
             here = here.join(met, "node", "left").withColumn("radius", F.when(F.col("_reach").isNull(), F.col("radius")).otherwise(F.greatest("radius", "_reach") * GROWTH)).drop("_reach")
         done = here if done is None else done.unionByName(here)
         done = materialize(done, "spheres")
-    return done
+    return nodes if done is None else done
 
 
 def sphere_violations(nodes: DataFrame, patches: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ Both work on quantised coordinates of one node and run a node a row on the execu
 from __future__ import annotations
 
 import struct
+import zlib
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -84,7 +85,7 @@ def decode_cloud(raw: bytes) -> np.ndarray:
 
 
 def _front(faces: np.ndarray) -> Iterator[tuple]:
-    """The coder's walk: ("start", face), or (gate, symbol, vertex)."""
+    """The coder's walk: ("start", corners, face), or (gate, symbol, vertex, face)."""
     across: dict[tuple[int, int], list[int]] = {}
     for f, (a, b, c) in enumerate(faces.tolist()):
         for edge in ((a, b), (b, c), (c, a)):
@@ -95,7 +96,7 @@ def _front(faces: np.ndarray) -> Iterator[tuple]:
             continue
         done[seed] = True
         a, b, c = faces[seed].tolist()
-        yield "start", (a, b, c)
+        yield "start", (a, b, c), seed
         gates = [(a, b, c), (b, c, a), (c, a, b)]
         at = 0
         while at < len(gates):
@@ -103,18 +104,19 @@ def _front(faces: np.ndarray) -> Iterator[tuple]:
             at += 1
             beyond = next((f for f in across.get((b, a), ()) if not done[f]), None)
             if beyond is None:
-                yield (a, b, behind), BORDER, None
+                yield (a, b, behind), BORDER, None, None
                 continue
             done[beyond] = True
             corners = faces[beyond].tolist()
             k = corners.index(b)
             apex = corners[(k + 2) % 3]
-            yield (a, b, behind), None, apex
+            yield (a, b, behind), None, apex, beyond
             gates += [(a, apex, b), (apex, b, a)]
 
 
-def encode_mesh(points: np.ndarray, faces: np.ndarray) -> bytes:
-    """points: whole numbers; faces: corners without repeats. Vertices are renumbered in the order they are met; unused ones go."""
+def encode_mesh(points: np.ndarray, faces: np.ndarray, groups: np.ndarray | None = None) -> bytes:
+    """points: whole numbers; faces: corners without repeats; groups: a number below 65536 for each face. Vertices and faces are renumbered in the order they are met; unused vertices go."""
+    order: list[int] = []
     number: dict[int, int] = {}
     symbols: list[int] = []
     known = BitWriter()
@@ -131,8 +133,9 @@ def encode_mesh(points: np.ndarray, faces: np.ndarray) -> bytes:
             differences.extend((points[v] - guess).tolist())
 
     last = np.zeros(3, np.int64)
-    for gate, symbol, *rest in ((*s, None) if s[0] == "start" else s for s in _front(faces)):
+    for gate, symbol, *rest in _front(faces):
         if gate == "start":
+            order.append(rest[0])
             for v in symbol:
                 meet(v, last)
                 last = points[v]
@@ -140,13 +143,20 @@ def encode_mesh(points: np.ndarray, faces: np.ndarray) -> bytes:
             symbols.append(BORDER)
         else:
             a, b, behind = gate
+            order.append(rest[1])
             meet(rest[0], points[a] + points[b] - points[behind])
     sizes, bits = write_differences(differences)
-    return _pack(struct.pack("<III", len(faces), len(number), width), pack_symbols(symbols), known.bytes(), pack_symbols(sizes), bits)
+    grouped = [] if groups is None else [zlib.compress(np.asarray(groups, "<u2")[order].tobytes())]
+    return _pack(struct.pack("<III", len(faces), len(number), width), pack_symbols(symbols), known.bytes(), pack_symbols(sizes), bits, *grouped)
+
+
+def decode_groups(raw: bytes) -> np.ndarray:
+    """The groups of a mesh's faces, in the order in which decode_mesh gives these."""
+    return np.frombuffer(zlib.decompress(_unpack(raw)[5]), "<u2").astype(np.int64)
 
 
 def decode_mesh(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    head, symbols, known, sizes, bits = _unpack(raw)
+    head, symbols, known, sizes, bits = _unpack(raw)[:5]
     n_faces, _, width = struct.unpack("<III", head)
     values = iter(read_differences(unpack_symbols(sizes), bits))
     kinds, refs = iter(unpack_symbols(symbols)), BitReader(known)

@@ -6,6 +6,7 @@ are tables in the shared folder. Blocks are bounded by the node capacity, so no
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import reduce
 from typing import NamedTuple
@@ -17,6 +18,8 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.bits import pad
 from lodestone.operators import dag
+from lodestone.operators.codec import coordinate_step
+from lodestone.operators.mesh import cloud_level, spacing_error, tight_radii
 from lodestone.operators.partition import kd_partition
 from lodestone.operators.scan import dense_number
 from lodestone.operators.simplify import simplify
@@ -81,18 +84,17 @@ def build(soup: DataFrame, options: BuildOptions = BuildOptions()) -> tuple[Data
         last = size <= options.top_faces or level == options.max_levels - 1
         middle = [((F.col(f"{c}0") + F.col(f"{c}1") + F.col(f"{c}2")) / 3).alias(c) for c in "xyz"]
         cells = kd_partition(now.select("*", *middle), options.top_faces if last else options.node_faces, options.adaptive)
-        names = cells.select("cell").distinct()
-        order = {r["cell"]: base + i for i, r in enumerate(names.orderBy("cell").collect())}  # a row a node, as the index holds anyway
-        numbers = now.sparkSession.createDataFrame(list(order.items()), "cell long, block long")
-
+        cells = materialize(cells, "cells")
+        numbers = materialize(dense_number(cells.select("cell").distinct(), F.col("cell"), name="block").withColumn("block", F.col("block") + base), "numbers")
+        n_blocks = numbers.count()
         blocks = materialize(cells.join(numbers, "cell").select("block", "src", *CORNERS), "triangles")
         owned.append(blocks)
         made = materialize(blocks.groupBy("block").applyInPandas(_processor(level, options.scaling, last), OUT), "blocks")
         parts.append(made.filter("kind != 'tri'"))
-        base += len(order)
+        base += n_blocks
         now = made.filter("kind = 'tri'").select(F.col("node").alias("src"), *CORNERS)
         before, size = size, now.count()
-        if last or size > 0.9 * before and len(order) == 1:
+        if last or size > 0.9 * before and n_blocks == 1:
             break
         if size > 0.9 * before:
             options = options._replace(top_faces=size)  # it does not shrink: the next level is the top
@@ -109,6 +111,40 @@ def build(soup: DataFrame, options: BuildOptions = BuildOptions()) -> tuple[Data
     return dag.saturate(materialize(nodes.select("*", bytes_), "nodes"), patches), patches, own
 
 
+def build_cloud(points: DataFrame, options: BuildOptions = BuildOptions()) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """points (pid, x, y, z) to (nodes, patches, points), coarse to fine, with saturated errors; the sink is the last id.
+
+    Of each block a strided share stays as its node, the rest goes on to the next, coarser level.
+    points (node, dst, pid, x, y, z) holds every point once; dst is the node of the level below
+    that it came from. node_faces, top_faces and scaling count points."""
+    now = materialize(points.select(F.lit(SINK).cast("long").alias("src"), "pid", "x", "y", "z"), "level")
+    size, base, kept = now.count(), 0, []
+    for level in range(options.max_levels):
+        last = size <= options.top_faces or level == options.max_levels - 1
+        cells = materialize(kd_partition(now, options.top_faces if last else options.node_faces, options.adaptive), "cells")
+        numbers = dense_number(cells.select("cell").distinct(), F.col("cell"), name="number")
+        blocks = cells.join(numbers.select("cell", (F.col("number") + base).alias("node")), "cell").drop("cell")
+        share = F.count("*").over(Window.partitionBy("node")) * (1.0 if last else 1 - options.scaling)
+        stays, goes = cloud_level(materialize(blocks.withColumn("share", F.greatest(share, F.lit(1.0))), "blocks"), F.col("share"))
+        kept.append(materialize(stays.withColumn("lvl", F.lit(level)).drop("share"), "points"))
+        base += kept[-1].select("node").distinct().count()
+        now = materialize(goes.select(F.col("node").alias("src"), "pid", "x", "y", "z"), "level")
+        size = now.count()
+        if not size:
+            break
+    every = reduce(DataFrame.unionByName, kept)
+    flip = lambda c: F.when(F.col(c) == SINK, F.lit(base)).otherwise(F.lit(base - 1) - F.col(c)).cast("long")
+    own = materialize(every.select(flip("node").alias("node"), flip("src").alias("dst"), "pid", "x", "y", "z", "lvl"), "points")
+    box = [f(c).alias(f"{n}_{c}") for c in "xyz" for n, f in (("lo", F.min), ("hi", F.max))]
+    sides = own.groupBy("node").agg(F.first("lvl").alias("lvl"), F.count("*").alias("nvert"), *box)
+    centres = sides.select("node", (-F.col("lvl")).alias("lvl"), "nvert", F.lit(0).cast("long").alias("nface"), *(((F.col(f"lo_{c}") + F.col(f"hi_{c}")) / 2).alias(f"c{c}") for c in "xyz"), F.lit(0.0).alias("radius"))
+    nodes = tight_radii(centres, own).join(spacing_error(own), "node").withColumn("bytes", pad(F.col("nvert") * 12))
+    w = Window.partitionBy("src").orderBy("dst").rowsBetween(Window.unboundedPreceding, 0)
+    edges = dense_number(own.groupBy(F.col("node").alias("src"), "dst").agg(F.count("*").alias("n")), F.col("src"), F.col("dst"), name="patch")
+    patches = materialize(edges.withColumn("tri_end", F.sum("n").over(w)).withColumn("tri_begin", F.col("tri_end") - F.col("n")).drop("n"), "patches")
+    return dag.saturate(materialize(nodes, "nodes"), patches), patches, own.drop("lvl")
+
+
 class LodModel:
     """Nodes and patches with the selections, cuts and reports on them."""
 
@@ -176,10 +212,11 @@ class LodModel:
         verts, faces = weld(soup)
         write_ply(*unified(faces, verts), path)
 
-    def save(self, path: str, selected: DataFrame | None = None) -> None:
+    def save(self, path: str, selected: DataFrame | None = None, quality: float | None = None) -> None:
         """A model file of the whole, or of a selection: ids become dense, destinations outside it the new sink.
 
-        Payloads are packed a node a group on the executors and streamed into the file in order."""
+        With a quality payloads are compressed at a step of that times half the least leaf error,
+        down to a power of two. Payloads are packed a node a group on the executors and streamed into the file in order."""
         from lodestone.sinks.mesh_files import node_payloads
         from lodestone.sources import model_file as mf
 
@@ -188,8 +225,13 @@ class LodModel:
         sink = ids.count()
         dst = ids.withColumnsRenamed({"node": "dst", "id": "to"})
         mapped = self.triangles.join(ids, "node").join(dst, "dst", "left").select("id", F.coalesce("to", F.lit(sink)).alias("to"), *CORNERS)
-        packed = materialize(node_payloads(mapped), "payloads")
-        index = packed.drop("payload").join(chosen.join(ids, "node"), "id").orderBy("id").toPandas()  # the index: a row a node, as every reader of the file holds
+        exponent = None
+        if quality is not None:
+            leaves = self.patches.filter(F.col("dst") == dag.sink_of(self.patches)).select(F.col("src").alias("node")).distinct()
+            step = coordinate_step(self.nodes, leaves, quality).first()["step"]
+            exponent = math.floor(math.log2(step)) if step else -10
+        packed = materialize(node_payloads(mapped, exponent), "payloads")
+        index = packed.withColumn("length", F.length("payload")).drop("payload").join(chosen.join(ids, "node"), "id").orderBy("id").toPandas()  # the index: a row a node, as every reader of the file holds
         nodes = np.zeros(sink, mf.NODE)
         nodes["nvert"], nodes["nface"], nodes["error"] = index["nvert"], index["nface"], index["error"]
         nodes["sphere"] = index[["cx", "cy", "cz", "radius"]]
@@ -203,6 +245,6 @@ class LodModel:
         centre = index[["cx", "cy", "cz"]].to_numpy()
         middle = centre.mean(0)
         reach = float((np.linalg.norm(centre - middle, axis=1) + index["radius"]).max())
-        head = mf.Header(2, int(index["nvert"].sum()), int(index["nface"].sum()), mf.signature(), sink + 1, len(patches), 0, (*middle.tolist(), reach))
+        head = mf.Header(2, int(index["nvert"].sum()), int(index["nface"].sum()), mf.signature(compressed=exponent is not None), sink + 1, len(patches), 0, (*middle.tolist(), reach))
         rows = packed.select("id", "payload").repartitionByRange("id").sortWithinPartitions("id").toLocalIterator()
-        mf.write(path, head, nodes, patches, (bytes(r["payload"]) for r in rows))
+        mf.write(path, head, nodes, patches, (bytes(r["payload"]) for r in rows), index["length"].to_numpy())

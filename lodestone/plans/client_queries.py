@@ -213,3 +213,15 @@ def node_plys(at: At) -> DataFrame:
 
     verts, faces = mesh.weld(at["terrain_s"])
     return mesh_files.node_plys(verts, faces)
+
+
+@query("compressed_payloads", "SELECT node, floor(x / 0.0625 + 0.5) * 0.0625 AS x, floor(y / 0.0625 + 0.5) * 0.0625 AS y, floor(z / 0.0625 + 0.5) * 0.0625 AS z, count(*) AS uses FROM (SELECT node, unnest([x0,x1,x2]) AS x, unnest([y0,y1,y2]) AS y, unnest([z0,z1,z2])::FLOAT::DOUBLE AS z FROM {terrain_s}) c GROUP BY ALL")
+def compressed_payloads(at: At) -> DataFrame:
+    """What readers of compressed node payloads get: each quantised corner with the number of faces that use it."""
+    from lodestone.sinks.mesh_files import node_payloads
+    from lodestone.sources.model_file import expanded_triangles
+
+    packed = node_payloads(at["terrain_s"].withColumn("id", F.col("node")).withColumn("to", F.col("tri") % 3), -4)
+    back = expanded_triangles(packed).withColumnRenamed("id", "node")
+    corners = back.select("node", F.explode(F.array(*(F.struct(*(F.col(f"{c}{k}").alias(c) for c in "xyz")) for k in range(3)))).alias("p"))
+    return corners.groupBy("node", "p.x", "p.y", "p.z").agg(F.count("*").alias("uses"))

@@ -10,6 +10,7 @@ from lodestone.functions.vectors import corner, transform, vec
 from lodestone.operators import codec, mesh, partition, payload
 from lodestone.operators.scan import dense_number
 from lodestone.plans.registry import At, query, r, rounded
+from lodestone.session import materialize
 from lodestone.sources import text_meshes
 
 SIDES = "CASE WHEN x0 = x1 AND y0 = y1 AND z0 = z1 OR x1 = x2 AND y1 = y2 AND z1 = z2 OR x0 = x2 AND y0 = y2 AND z0 = z2 THEN 1 ELSE 0 END"
@@ -261,6 +262,17 @@ def kd_partition(at: At) -> DataFrame:
     return cells.groupBy("cell").agg(F.count("*").alias("n"), *(f(c).alias(f"{n}_{c}") for c in "xyz" for n, f in (("min", F.min), ("max", F.max))))
 
 
+@query("kd_cells", "SELECT vid, TRUE AS under_cap, TRUE AS in_one_box FROM {terrain_v}")
+def kd_cells(at: At) -> DataFrame:
+    """Every point's cell holds at most the cap, and no other cell's contents lie around it."""
+    cells = materialize(partition.kd_partition(at["terrain_v"].select("vid", "x", "y", "z"), 200), "cells")
+    boxes = cells.groupBy("cell").agg(F.count("*").alias("n"), *(f(c).alias(f"{n}_{c}") for c in "xyz" for n, f in (("lo", F.min), ("hi", F.max))))
+    around = partition.points_in_cells(cells.select(F.col("vid").alias("pid"), "x", "y", "z"), boxes.select(F.col("cell").alias("cell"), *(f"{s}_{c}" for c in "xyz" for s in ("lo", "hi"))), 8.0)
+    others = around.join(cells.select(F.col("vid").alias("pid"), F.col("cell").alias("own")), "pid").groupBy("pid").agg(F.count_if(F.col("cell") != F.col("own")).alias("others"))
+    held = cells.join(boxes.select("cell", (F.col("n") <= 200).alias("under_cap")), "cell").join(others.withColumnRenamed("pid", "vid"), "vid", "left")
+    return held.select("vid", "under_cap", (F.coalesce("others", F.lit(0)) == 0).alias("in_one_box"))
+
+
 @query("quantise_coordinates", """WITH q AS (SELECT pid, node, floor(x / 0.015625 + 0.5) AS a, floor(y / 0.015625 + 0.5) AS b, floor(z / 0.015625 + 0.5) AS c FROM {cloud}),
  w AS (SELECT *, min(a) OVER p AS la, max(a) OVER p AS ha, min(b) OVER p AS lb, max(b) OVER p AS hb, min(c) OVER p AS lc, max(c) OVER p AS hc FROM q WINDOW p AS (PARTITION BY node))
  SELECT pid, CAST(a - la AS BIGINT) AS qx, CAST(b - lb AS BIGINT) AS qy, CAST(c - lc AS BIGINT) AS qz, CAST(floor(log2(greatest(ha-la, hb-lb, hc-lc))) AS INT) + 1 AS bits FROM w""")

@@ -85,9 +85,9 @@ def unified(faces: DataFrame, verts: DataFrame) -> tuple[DataFrame, DataFrame]:
     return verts.join(ids, "vid"), out.select("tri", *(F.col(f"n{k}").alias(f"i{k}") for k in range(3)))
 
 
-def node_payloads(triangles: DataFrame) -> DataFrame:
-    """triangles (id, to, x0..z2) to (id, nvert, nface, dsts, ends, payload): welded, faces in patch order, ends of the patches."""
-    from lodestone.sources.model_file import pack_payload
+def node_payloads(triangles: DataFrame, exponent: int | None = None) -> DataFrame:
+    """triangles (id, to, x0..z2) to (id, nvert, nface, dsts, ends, payload): welded, faces in patch order, ends of the patches. With an exponent payloads are compressed at steps of 2^exponent."""
+    from lodestone.sources.model_file import compress_payload, pack_payload
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
         to = rows.column("to").to_numpy()
@@ -97,7 +97,9 @@ def node_payloads(triangles: DataFrame) -> DataFrame:
         if len(points) > 65_535:
             raise ValueError("a node of the file holds at most 65535 vertices")
         dsts, counts = np.unique(to, return_counts=True)
-        columns = [pa.array([key[0].as_py()], pa.int64()), pa.array([len(points)], pa.int64()), pa.array([len(to)], pa.int64()), pa.array([dsts.tolist()], pa.list_(pa.int64())), pa.array([np.cumsum(counts).tolist()], pa.list_(pa.int64())), pa.array([pack_payload(points, index.reshape(-1, 3))], pa.binary())]
+        ends = np.cumsum(counts)
+        raw = pack_payload(points, index.reshape(-1, 3)) if exponent is None else compress_payload(points, index.reshape(-1, 3), ends, exponent)
+        columns = [pa.array([key[0].as_py()], pa.int64()), pa.array([len(points)], pa.int64()), pa.array([len(to)], pa.int64()), pa.array([dsts.tolist()], pa.list_(pa.int64())), pa.array([ends.tolist()], pa.list_(pa.int64())), pa.array([raw], pa.binary())]
         return pa.Table.from_arrays(columns, names=["id", "nvert", "nface", "dsts", "ends", "payload"])
 
     return triangles.groupBy("id").applyInArrow(run, "id long, nvert long, nface long, dsts array<long>, ends array<long>, payload binary")

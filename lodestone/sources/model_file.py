@@ -1,7 +1,9 @@
 """The level-of-detail model file: header, node, patch and texture records, then padded payloads.
 
   header 88 bytes | nodes 44 each | patches 12 each | textures 68 each | payloads, each padded to 256
-Node payloads are planar: positions f32 x 3, normals i16 x 3, colours u8 x 4, faces u16 x 3.
+Node payloads are planar: positions f32 x 3, normals i16 x 3, colours u8 x 4, faces u16 x 3. In a
+compressed file (a flag of this library's own in the signature) a payload is a step exponent, the
+least quantised position and the mesh as operators.payload codes it, faces grouped by patch.
 """
 
 from __future__ import annotations
@@ -16,10 +18,14 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.operators import payload
+
 # Fixed values of the format.
 MAGIC = 0x4E787320
 PADDING = 256
 NO_TEXTURE = 0xFFFFFFFF
+COMPRESSED = 1 << 16
+COMPRESSED_HEAD = struct.Struct("<iIqqq")
 HEADER = struct.Struct("<IIQQ36sIII4f")
 NODE = np.dtype([("offset", "<u4"), ("nvert", "<u2"), ("nface", "<u2"), ("error", "<f4"), ("cone", "<i2", 4), ("sphere", "<f4", 4), ("tight_radius", "<f4"), ("first_patch", "<u4")])
 PATCH = np.dtype([("node", "<u4"), ("triangle_offset", "<u4"), ("texture", "<u4")])
@@ -49,9 +55,31 @@ def attributes(signature: bytes) -> dict[str, list[tuple[int, int]]]:
     return {"vertex": pairs[:8], "face": pairs[8:]}
 
 
-def signature(normals: bool = False, colours: bool = False) -> bytes:
+def signature(normals: bool = False, colours: bool = False, compressed: bool = False) -> bytes:
     slots = [(7, 3), (3, 3) if normals else (0, 0), (2, 4) if colours else (0, 0)] + [(0, 0)] * 5 + [(4, 3)] + [(0, 0)] * 7
-    return b"".join(bytes(s) for s in slots) + b"\0" * 4
+    return b"".join(bytes(s) for s in slots) + struct.pack("<I", COMPRESSED * compressed)
+
+
+def is_compressed(sig: bytes) -> bool:
+    return bool(struct.unpack("<I", sig[32:])[0] & COMPRESSED)
+
+
+def compress_payload(points: np.ndarray, faces: np.ndarray, ends: np.ndarray, exponent: int) -> bytes:
+    """A node's mesh at steps of 2^exponent; ends: where the faces of each patch end."""
+    q = np.floor(points.astype(np.float64) / 2.0**exponent + 0.5).astype(np.int64)
+    low = q.min(axis=0) if len(q) else np.zeros(3, np.int64)
+    groups = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
+    coded = payload.encode_mesh(q - low, faces.astype(np.int64), groups)
+    return COMPRESSED_HEAD.pack(exponent, len(coded), *low.tolist()) + coded
+
+
+def expand_payload(raw: bytes) -> dict[str, np.ndarray]:
+    """points and faces of a compressed payload, the faces of each patch together."""
+    exponent, size, *low = COMPRESSED_HEAD.unpack_from(raw)
+    coded = raw[COMPRESSED_HEAD.size : COMPRESSED_HEAD.size + size]  # padding follows
+    points, faces = payload.decode_mesh(coded)
+    order = np.argsort(payload.decode_groups(coded), kind="stable")
+    return {"points": (points + np.array(low)) * 2.0**exponent, "faces": faces[order]}
 
 
 def pack_payload(points: np.ndarray, faces: np.ndarray, normals: np.ndarray | None = None, colours: np.ndarray | None = None) -> bytes:
@@ -77,14 +105,16 @@ def unpack_payload(raw: bytes, nvert: int, nface: int, sig: bytes) -> dict[str,
     return out
 
 
-def write(path: str, header: Header, nodes: np.ndarray, patches: np.ndarray, payloads: Iterator[bytes]) -> None:
-    """nodes without the sink and without offsets; payloads in node order, one at a time."""
+def write(path: str, header: Header, nodes: np.ndarray, patches: np.ndarray, payloads: Iterator[bytes], lengths: np.ndarray | None = None) -> None:
+    """nodes without the sink and without offsets; payloads in node order, one at a time, and their lengths if they are compressed."""
     index = HEADER.size + (len(nodes) + 1) * NODE.itemsize + len(patches) * PATCH.itemsize
     store, where = fs.FileSystem.from_uri(path)
     store.create_dir(where.rpartition("/")[0], recursive=True)
     sig = attributes(header.signature)
     width = 12 + 6 * bool(sig["vertex"][1][0]) + 4 * bool(sig["vertex"][2][0])
-    sizes = np.array([pad(int(n["nvert"]) * width + int(n["nface"]) * 6) for n in nodes], np.int64)
+    if lengths is None:
+        lengths = nodes["nvert"].astype(np.int64) * width + nodes["nface"].astype(np.int64) * 6
+    sizes = -(-np.asarray(lengths, np.int64) // PADDING) * PADDING
     ends = pad(index) + np.cumsum(sizes)
     table = np.zeros(len(nodes) + 1, NODE)
     table[:-1] = nodes
@@ -126,6 +156,8 @@ class ModelFile:
     def payload(self, node: int) -> dict[str, np.ndarray]:
         n = self.nodes[node]
         raw = self.range(int(n["offset"]) * PADDING, int(self.nodes[node + 1]["offset"]) * PADDING)
+        if is_compressed(self.header.signature):
+            return expand_payload(raw)
         return unpack_payload(raw, int(n["nvert"]), int(n["nface"]), self.header.signature)
 
 
@@ -171,3 +203,17 @@ def read_patch_triangles(spark: SparkSession, path: str, nodes: DataFrame, patch
 def read_node_files(spark: SparkSession, folder: str) -> DataFrame:
     """(id, payload) of one file a node."""
     return spark.read.format("binaryFile").load(f"{folder}/*.node").select(F.regexp_extract("path", r"(\d+)\.node$", 1).cast("long").alias("id"), F.col("content").alias("payload"))
+
+
+def expanded_triangles(packed: DataFrame) -> DataFrame:
+    """(id, tri, x0..z2) of compressed payloads (id, payload)."""
+    from lodestone.sources.binary_meshes import CORNERS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, raw in zip(batch.column("id").to_pylist(), batch.column("payload").to_pylist()):
+                got = expand_payload(raw)
+                c = got["points"][got["faces"]].reshape(-1, 9)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(c), node)), pa.array(np.arange(len(c))), *(pa.array(c[:, k].copy()) for k in range(9))], names=["id", "tri", *CORNERS])
+
+    return packed.select("id", "payload").mapInArrow(run, "id long, tri long, " + ", ".join(f"{c} double" for c in CORNERS))

@@ -60,7 +60,8 @@ def read_obj(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     verts = ordinal(carried.filter(w[0] == "v"), "vid").select("path", "vid", *(F.get(w, F.lit(i + 1)).try_cast("double").alias(c) for i, c in enumerate("xyz")))
     index = lambda s: F.split(s, "/")[0].try_cast("long")
     checked = lambda s: F.when(index(s) < 1, F.raise_error(F.lit("relative indices are not supported")).cast("long")).otherwise(index(s) - 1)
-    faces = carried.filter(w[0] == "f").select("path", "line", "material", F.transform(F.slice(w, F.lit(2), F.size(w)), checked).alias("ring"))
+    # the test stands in the ring as well: a filter on it may run before that on the lines
+    faces = carried.filter(w[0] == "f").select("path", "line", "material", F.when(w[0] == "f", F.transform(F.slice(w, F.lit(2), F.size(w)), checked)).alias("ring"))
     triangles = fan(faces, "ring").filter("i0 != i1 and i1 != i2 and i0 != i2")
     numbered = triangles.withColumn("tri", F.row_number().over(Window.partitionBy("path").orderBy("line", "part")).cast("long") - 1)
     return verts, numbered.select("path", "tri", "i0", "i1", "i2", "material")

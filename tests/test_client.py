@@ -157,3 +157,85 @@ def test_scratch_can_be_cleared(spark):
     clear_scratch(spark)
     with pytest.raises(Exception):
         kept.collect()
+
+
+def test_compressed_model_round_trip(spark, sf, tmp_path):
+    from lodestone.plans.builder import BuildOptions, LodModel
+    from lodestone.plans.fixtures import frame
+    from lodestone.sources import model_file
+
+    soup = frame(spark, sf, "terrain_s").filter("node < 3")
+    model = LodModel.build(soup, BuildOptions(node_faces=500, top_faces=300))
+    raw, small = f"file://{tmp_path}/a.lod", f"file://{tmp_path}/b.lod"
+    model.save(raw)
+    model.save(small, quality=0.05)
+    a, b = model_file.ModelFile(raw), model_file.ModelFile(small)
+    assert model_file.is_compressed(b.header.signature) and not model_file.is_compressed(a.header.signature)
+    assert (a.patches == b.patches).all() and (a.nodes["nface"] == b.nodes["nface"]).all()
+    assert int(b.nodes["offset"][-1]) < int(a.nodes["offset"][-1])
+    for node in range(len(a.nodes) - 1):
+        p, q = a.payload(node), b.payload(node)
+        ends = np.append(0, a.patches["triangle_offset"][a.nodes["first_patch"][node] : a.nodes["first_patch"][node + 1]].astype(int))
+        for begin, end in zip(ends, ends[1:]):  # each patch has its faces, up to the step
+            x, y = (np.sort(np.round(m["points"][m["faces"][begin:end].astype(int)].mean(1), 1), axis=0) for m in (p, q))
+            assert len(x) == len(y) and np.allclose(x, y, atol=0.2)
+    back = LodModel.open(spark, small)
+    assert back.triangles.count() == model.triangles.count()
+
+
+def test_cloud_model(spark):
+    from lodestone.plans.builder import BuildOptions, build_cloud
+
+    rng = np.random.default_rng(2)
+    rows = [(i, *map(float, p)) for i, p in enumerate(rng.uniform(0, 10, (3000, 3)))]
+    points = spark.createDataFrame(rows, "pid long, x double, y double, z double")
+    nodes, patches, own = build_cloud(points, BuildOptions(node_faces=400, top_faces=150))
+    assert sorted(r.pid for r in own.collect()) == list(range(3000))
+    sizes = {r.node: r.nvert for r in nodes.collect()}
+    assert sorted(sizes) == list(range(len(sizes))) and sum(sizes.values()) == 3000 and max(sizes.values()) <= 400
+    sink = patches.agg(F.max("dst")).first()[0]
+    assert sink == len(sizes) and dag.violations(nodes, patches).count() == 0
+    assert all(r.src < r.dst for r in patches.collect()) and nodes.select("lvl").distinct().count() >= 3
+    assert {r.src: r.n for r in patches.groupBy("src").agg(F.max("tri_end").alias("n")).collect()} == sizes
+    empty = build_cloud(points.limit(0))
+    assert empty[0].count() == empty[2].count() == 0
+
+
+def test_coders_are_linear_and_exact():
+    import random
+
+    rng = random.Random(8)
+    for n, k in ((0, 2), (1, 2), (5000, 3), (5000, 200)):
+        symbols = [min(int(rng.expovariate(0.3)), k - 1) for _ in range(n)]
+        for frequencies in ([max(1, symbols.count(j)) for j in range(k)], [1 << rng.randint(0, 30) for _ in range(k)]):
+            coder = codec.RangeCoder(frequencies)
+            assert coder.decode(coder.encode(symbols), n) == symbols
+    values = [(rng.randrange(1 << b) if b else 0, b) for b in (rng.randint(0, 70) for _ in range(3000))]
+    out = codec.BitWriter()
+    for v, b in values:
+        out.put(v, b)
+    back = codec.BitReader(out.bytes())
+    assert [back.take(b) for _, b in values] == [v for v, _ in values]
+    with pytest.raises(EOFError):
+        back.take(64)
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from lodestone.__main__ import main
+
+    n = 12
+    verts = "".join(f"v {i % n} {i // n} {(i * 7) % 5}\n" for i in range(n * n))
+    faces = "".join(f"f {a} {a + 1} {a + n}\nf {a + 1} {a + n + 1} {a + n}\n" for y in range(n - 1) for x in range(n - 1) for a in [y * n + x + 1])
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "t.obj").write_text(verts + faces)
+    model = f"file://{tmp_path}/m.lod"
+    main(["build", f"file://{tmp_path}/in", "-o", model, "-f", "80", "-t", "40", "-z", "0.01"], spark)
+    main(["info", model, "--nodes", "--dag", "--patches"], spark)
+    said = capsys.readouterr().out
+    assert "n_nodes" in said and "children" in said and "offset" in said
+    main(["edit", model, "-o", f"file://{tmp_path}/all.stl"], spark)
+    assert binary_meshes.read_stl_binary(spark, f"file://{tmp_path}/all.stl").count() == 2 * (n - 1) ** 2
+    main(["edit", model, "-o", f"file://{tmp_path}/part.ply", "-d"], spark)
+    assert 0 < binary_meshes.load_soup(spark, f"file://{tmp_path}/part.ply").count() < 2 * (n - 1) ** 2
+    with pytest.raises(SystemExit):
+        main(["edit", model], spark)

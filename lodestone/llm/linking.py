@@ -12,7 +12,7 @@ and have fitting marks (what a mark is, the caller says: a size, or some bits of
 3. Longer lists that still span components go on, cut into blocks by a hash of the node, so that a long
    list becomes many small groups (one for each two of its blocks). A worker compares sketches of
    nodes of different components. A group with at most DENSE pairs a node hands all of them on,
-   to be verified once whatever lists they share; a denser one hands on at most two pairs a node.
+   to be verified once whatever lists they share; a denser one hands on its nodes instead.
 4. Of the denser groups, those that still span components then have their sets fetched and are
    joined by union-find, which verifies a pair only if its ends are not tied yet.
 A link that is skipped lies inside a component already, so the components are those of all links
@@ -44,7 +44,7 @@ SHORT = 8
 #: Sketches up to this number are broadcast (some 40 MB).
 BROADCAST_SKETCHES = 200_000
 #: Nodes of a list's block, and pairs a node that a group of blocks hands on.
-BLOCK, DENSE = 1024, 4
+BLOCK, DENSE = 1024, 1
 #: Sets that one is compared with at a time.
 TOGETHER = 64
 #: A key with more than this share of all rows is hot: at most 1 / HOT keys are.
@@ -188,23 +188,22 @@ def _extents(groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def candidates(groups: np.ndarray, pairs: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows (i, j) of a group that fit, and which rows are in a group with more than DENSE fitting pairs a row; of such groups only the next and the last fitting row of each row."""
+    """Rows (i, j) of a group that fit, and which rows are in a group with more than DENSE fitting pairs a row; of such groups no pairs."""
     sizes, after = _extents(groups)
     n = len(groups)
     counts = np.zeros(int(groups[-1]) + 1 if n else 0, np.int64)
     dense = np.zeros(len(counts), bool)
-    upper, lower = np.full(n, -1), np.full(n, -1)
+    live = np.zeros(n, bool)
     held: list[np.ndarray] = []
     rows = np.flatnonzero(after > 0)
     by = 1
     while len(rows):
         for i in np.split(rows, range(1 << 17, len(rows), 1 << 17)):
-            i = i[~dense[groups[i]] | (upper[i] < 0) | (lower[i + by] < 0)]
+            i = i[~dense[groups[i]] | ~live[i] | ~live[i + by]]
             i = i[pairs(i, i + by)]
             if not len(i):
                 continue
-            upper[i] = np.where(upper[i] < 0, i + by, upper[i])
-            lower[i + by] = np.where(lower[i + by] < 0, i, lower[i + by])
+            live[i] = live[i + by] = True
             held.append(np.stack([i, i + by]))
             counts += np.bincount(groups[i], minlength=len(counts))
             dense[groups[i]] |= counts[groups[i]] > DENSE * sizes[i]
@@ -214,9 +213,7 @@ def candidates(groups: np.ndarray, pairs: Callable[[np.ndarray, np.ndarray], np.
             held = [x[:, ~dense[groups[x[0]]]] for x in [np.concatenate(held, axis=1)]]
     found = np.concatenate([np.zeros((2, 0), np.int64), *held], axis=1)
     found = found[:, ~dense[groups[found[0]]]]
-    thick = dense[groups] if n else np.zeros(0, bool)
-    up, low = np.flatnonzero(thick & (upper >= 0)), np.flatnonzero(thick & (lower >= 0))
-    return np.concatenate([found[0], up, lower[low]]), np.concatenate([found[1], upper[up], low]), thick & ((upper >= 0) | (lower >= 0))
+    return found[0], found[1], live & dense[groups] if n else live
 
 
 def shared_lists(postings: DataFrame) -> DataFrame:

@@ -128,7 +128,7 @@ def plan(docs: DataFrame) -> Plan:
             for _, found in shingle_sets(batch.column(0)):
                 held.append(found)
                 size += len(found)
-                if size > 4_000_000:
+                if size > 2_000_000:
                     yield counted()
                     held, size = [], 0
         if held:

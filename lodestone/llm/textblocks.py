@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes in a block.
-BLOCK = 1 << 22
+BLOCK = 1 << 20
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 #: A fixed odd base of the polynomial hash and a fixed random value for each byte.

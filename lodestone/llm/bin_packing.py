@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lodestone.llm.arrow import lean
 from lodestone.llm.wordbpe import default_vocabulary, encoder
 from lodestone.session import materialize, table
 
@@ -43,6 +44,7 @@ def pieces(docs: DataFrame, id_column: str, text_column: str, capacity: int = CA
         fields.append(("ids", pa.binary()))
         schema += ", ids binary"
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = encoder(path)
         for batch in batches:
@@ -127,6 +129,7 @@ def pack(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     fields = [f for f in ranked.schema.fields if f.name != "rank"]
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields) + ", sequence_id long, offset long"
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             length = batch.column("length").to_numpy()

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm import linking
 from lodestone.llm.arrow import rows as row_tuples
-from lodestone.llm.arrow import unused
+from lodestone.llm.arrow import lean, unused
 from lodestone.llm.qgram_decontam import fold
 from lodestone.llm.textblocks import mix
 from lodestone.session import materialize, table
@@ -63,6 +63,7 @@ def lines_of(docs: DataFrame, min_chars: int) -> DataFrame:
 def line_nodes(docs: DataFrame, min_chars: int) -> DataFrame:
     """(doc_id, text_hash, line_no, node) of the lines that take part."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import linking
-from lodestone.llm.arrow import unused
+from lodestone.llm.arrow import lean, unused
 from lodestone.llm.textblocks import blocks, mix, words
 from lodestone.session import materialize, table
 
@@ -114,6 +114,7 @@ def choose_boundary(list_length: float) -> int:
 def plan(docs: DataFrame) -> Plan:
     """Counts over all documents: which shingles are frequent, and how long lists are."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         size = 0
@@ -166,6 +167,7 @@ def keys_of(found: np.ndarray, known: Plan) -> np.ndarray:
 def sets(docs: DataFrame, known: Plan) -> DataFrame:
     """Of docs(doc_id, text, text_hash): (doc_id, text_hash, n_shingles, node, keys, n, s0.., wide); keys and sketch only where this partition has not listed the node yet."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         listed: set[int] = set()
         names = ["doc_id", "text_hash", "n_shingles", "node", "keys", "n", *linking.SKETCH, "wide"]
@@ -208,6 +210,7 @@ def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[linking.Postings]:
 def _packed_sets(contents: DataFrame) -> DataFrame:
     """(node, content) with texts to (node, content) with their sets, as ascending 64-bit hashes."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 64):

@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm.arrow import lean
 from lodestone.llm.components import connected_components
 from lodestone.session import materialize
 
@@ -79,6 +80,7 @@ def packed(df: DataFrame, postings: Callable[[Iterator[pa.RecordBatch]], Iterato
         columns = [[x[order[a:b]].tobytes() for a, b in zip(starts, stops)] for x in (keys, nodes, marks)]
         return pa.RecordBatch.from_arrays([pa.array(which.astype(np.int32)), *(pa.array(c, pa.binary()) for c in columns)], names=names)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[Postings] = []
         size = 0
@@ -101,6 +103,7 @@ def listed(blocks: DataFrame, fits: Fits, short: int | None = None) -> DataFrame
 
     short = SHORT if short is None else short
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first: Postings = (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
         held: list[Postings] = [first]
@@ -298,6 +301,7 @@ def verify(pairs: DataFrame, contents: Contents, decode: Decode) -> DataFrame:
     known = fetched(contents, pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))))
     joined = pairs.join(known.withColumnsRenamed({"node": "b", "content": "right"}), "b").join(known.withColumnsRenamed({"node": "a", "content": "left"}), "a").select("a", "b", "left", "right")
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in _slices(batch, ("left", "right")):
@@ -401,6 +405,7 @@ def across(groups: DataFrame, fits: Fits) -> DataFrame:
     names = ["key", "low", "high", "own", "node", "mark"]
     sketched = [c for c in SKETCH if c in groups.columns]
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, group in _Groups(batches, 1 << 15):
             meet, mark, node = _may_meet(table), table.column("mark").to_numpy(), table.column("node").to_numpy()
@@ -438,6 +443,7 @@ def across(groups: DataFrame, fits: Fits) -> DataFrame:
 def tied(rows: DataFrame, fits: Fits, decode: Decode) -> DataFrame:
     """Links (a, b) that tie the components of each group's rows (key, low, high, own, node, part, mark, content)."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, group in _Groups(batches, BLOCK):
             meet, mark = _may_meet(table), table.column("mark").to_numpy()

@@ -33,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.llm.arrow import lean
 from lodestone.session import materialize, table
 
 Q = 12
@@ -311,6 +312,7 @@ def find_regions(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id
     names = ("item_id", "start", "end", "edits")
 
     def one(block: Block) -> DataFrame:
+        @lean
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for at in range(0, batch.num_rows, 512):
@@ -349,6 +351,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     kept = docs
     for number, block in enumerate(item_blocks(table(spark, sf_dir, "benchmark"))):
 
+        @lean
         def run(batches: Iterator[pa.RecordBatch], block: Block = block) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for at in range(0, batch.num_rows, 512):

@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.llm.arrow import lean
 from lodestone.llm.arrow import rows as row_tuples
 from lodestone.session import materialize, table
 
@@ -104,6 +105,7 @@ def features(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     """(doc_id, stats array<float>) of every whole text."""
     fields = pa.schema([("doc_id", pa.int64()), ("stats", pa.list_(pa.float32()))])
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple[list, list] = ([], [])
         for doc, text in row_tuples(batches):
@@ -213,6 +215,7 @@ def fit(taught: DataFrame) -> Model:
 def score(stats: DataFrame, model: Model) -> DataFrame:
     """(doc_id, score, raw)."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
@@ -246,6 +249,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the classifier accepts; their columns are kept as they are."""
     model = train(materialize(features(docs), "stats"), table(spark, sf_dir, "labels"))
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):

@@ -14,7 +14,6 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import cache
-from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -58,7 +57,7 @@ class WordEncoder:
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.whole = Tokenizer.from_file(path)
-        self.pieces = Tokenizer.from_file(path)
+        self.pieces = Tokenizer(self.whole.model)  # the same vocabulary in memory
         self.pieces.normalizer = normalizers.Sequence([])
         self.pieces.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocabulary = self.whole.get_vocab()
@@ -67,7 +66,8 @@ class WordEncoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.memo: dict[int, int] = {}
+        self.known = np.zeros(0, np.uint64)  # hashes of remembered pieces, ascending
+        self.rows = np.zeros(0, np.int32)  # and the row of each
         self.at = np.zeros(1024, np.int64)  # where a remembered piece's ids begin, and one more
         self.ids = np.zeros(4096, np.uint32)
 
@@ -135,37 +135,48 @@ class WordEncoder:
         return flat, bounds
 
     def _rows(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, order: np.ndarray, distinct: np.ndarray) -> np.ndarray:
-        keys = distinct.tolist()
-        rows = np.fromiter(map(self.memo.get, keys, repeat(-1)), np.int64, len(keys))
+        rows = self._remembered(distinct)
         missing = np.flatnonzero(rows < 0)
         if not len(missing):
             return rows
-        if len(self.memo) + len(missing) > MEMO_LIMIT and len(self.memo):
+        n = len(self.known)
+        if n + len(missing) > MEMO_LIMIT and n:
             self._forget()
             return self._rows(data, starts, ends, order, distinct)
-        first = np.zeros(len(keys), np.int64)
+        first = np.zeros(len(distinct), np.int64)
         first[order[::-1]] = np.arange(len(order))[::-1]
         raw = data.tobytes()
         spans = zip(starts[first[missing]].tolist(), ends[first[missing]].tolist())
         texts = [raw[a:b].decode("latin-1") for a, b in spans]
         for i in range(0, len(texts), 1024):
-            self._learn([keys[k] for k in missing[i : i + 1024]], texts[i : i + 1024])
-        return np.fromiter(map(self.memo.__getitem__, keys), np.int64, len(keys))
-
-    def _learn(self, keys: list[int], pieces: list[str]) -> None:
+            self._learn(n + i, texts[i : i + 1024])
+        rows[missing] = np.arange(n, n + len(missing))
+        missing = missing[np.argsort(distinct[missing])]
+        at = np.searchsorted(self.known, distinct[missing])
+        self.known = np.insert(self.known, at, distinct[missing])
+        self.rows = np.insert(self.rows, at, rows[missing])
+        return rows
+
+    def _remembered(self, keys: np.ndarray) -> np.ndarray:
+        """The row of each piece, -1 for those not known."""
+        if not len(self.known):
+            return np.full(len(keys), -1, np.int64)
+        at = np.minimum(np.searchsorted(self.known, keys), len(self.known) - 1)
+        return np.where(self.known[at] == keys, self.rows[at], -1).astype(np.int64)
+
+    def _learn(self, n: int, pieces: list[str]) -> None:
+        """Ids of the pieces that get the rows from n on."""
         ids = np.array(self.pieces.encode_batch_fast([" ".join(pieces)], add_special_tokens=False)[0].ids, np.uint32)
         stops = np.flatnonzero(self.ends[ids]) + 1
         if len(stops) != len(pieces):
             raise ValueError("this vocabulary does not mark the end of each word piece")
-        n = len(self.memo)
         base = self.at[n]
-        while len(self.at) < n + len(keys) + 1:
+        while len(self.at) < n + len(pieces) + 1:
             self.at = np.concatenate([self.at, np.zeros_like(self.at)])
         while len(self.ids) < base + len(ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        self.at[n + 1 : n + len(keys) + 1] = base + stops
+        self.at[n + 1 : n + len(pieces) + 1] = base + stops
         self.ids[base : base + len(ids)] = ids
-        self.memo.update(zip(keys, range(n, n + len(keys))))
 
 
 def _parts(text: str) -> Iterator[str]:

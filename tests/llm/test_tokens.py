@@ -1,4 +1,6 @@
 import io
+import os
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -6,7 +8,7 @@ import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from lodestone.llm import bin_packing, dac_ids, wordbpe
+from lodestone.llm import arrow, bin_packing, dac_ids, wordbpe
 from lodestone.llm.wordbpe import WordEncoder, default_vocabulary
 from lodestone.session import scratch_path
 
@@ -44,6 +46,39 @@ def test_encoder_forgets(spark, sf, whole, monkeypatch):
     assert [a.tolist() for a in got] == [e.ids for e in whole.encode_batch(texts[:60], add_special_tokens=False)]
 
 
+def test_encoder_memory():
+    """Rare pieces are most of a corpus's; a dictionary of Python integers took 156 bytes for each."""
+    n = 100_000
+    word = lambda k: "".join(chr(97 + k // 26**i % 26) for i in range(5))
+    texts = [" ".join(word(k) for k in range(i, i + 10_000)) for i in range(0, n, 10_000)]
+    known = WordEncoder(default_vocabulary())
+    known.encode("warm up")
+    tracemalloc.start()
+    for text in texts:
+        known.encode(text)
+    held, _ = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert held < 80 * n
+
+
+def test_workers_give_memory_back():
+    """After a task's last batch a worker must not keep the batches' memory for later stages."""
+
+    def own():
+        with open("/proc/self/statm") as f:
+            _, resident, shared = map(int, f.read().split()[:3])
+        return (resident - shared) * os.sysconf("SC_PAGE_SIZE")
+
+    def run(batches):
+        held = [pa.RecordBatch.from_arrays([pa.array(range(1 << 16)).take(pa.array(np.arange(1 << 16)))], names=["x"]) for _ in batches]
+        yield from held
+
+    arrow.give_back()
+    before = own()
+    assert sum(b.num_rows for b in arrow.lean(run)(iter(range(400)))) == 400 << 16  # 200 MB
+    assert own() < before + (64 << 20)
+
+
 def test_block_round_trip_and_access():
     rng = np.random.default_rng(1)
     for ids in (np.zeros(0, np.uint32), np.array([0, 255, 256, 65535, 65536, 2**32 - 1], np.uint32), rng.integers(0, 49408, 3000).astype(np.uint32)):

@@ -48,6 +48,7 @@ def squeeze(v: Column) -> Column:
 
 
 def morton(x: Column, y: Column, z: Column) -> Column:
+    """The Z-order code of three numbers' last 21 bits."""
     return spread(x).bitwiseOR(F.shiftleft(spread(y), 1)).bitwiseOR(F.shiftleft(spread(z), 2))
 
 
@@ -55,6 +56,18 @@ def unmorton(code: Column) -> tuple[Column, Column, Column]:
     return squeeze(code), squeeze(F.shiftrightunsigned(code, 1)), squeeze(F.shiftrightunsigned(code, 2))
 
 
+def morton_words(x: Column, y: Column, z: Column) -> Column:
+    """The Z-order code of non-negative numbers of any size: codes of 21 bits each, highest first, so that arrays compare as the codes do."""
+    part = lambda v, k: F.shiftright(v.cast("long"), 21 * k)
+    return F.array(*(morton(part(x, k), part(y, k), part(z, k)) for k in (2, 1, 0)))
+
+
+def unmorton_words(code: Column) -> tuple[Column, ...]:
+    words = [unmorton(code[2 - k]) for k in range(3)]
+    join = lambda low, middle, high: low.bitwiseOR(F.shiftleft(middle, 21)).bitwiseOR(F.shiftleft(high, 42))
+    return tuple(join(*parts) for parts in zip(*words))
+
+
 def zigzag(v: Column) -> Column:
     """Signed to unsigned: 0, -1, 1, -2 to 0, 1, 2, 3."""
     v = v.cast("long")

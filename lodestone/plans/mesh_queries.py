@@ -312,8 +312,9 @@ def differing_bits(at: At) -> DataFrame:
 @query("morton_round_trip", "SELECT vid, vid AS x, vid * 31 % 2097152 AS y, vid * 7919 % 2097152 AS z FROM {terrain_v}")
 def morton_round_trip(at: At) -> DataFrame:
     v = F.col("vid")
-    x, y, z = bits.unmorton(bits.morton(v, v * 31 % 2097152, v * 7919 % 2097152))
-    return at["terrain_v"].select("vid", x.alias("x"), y.alias("y"), z.alias("z"))
+    coded = at["terrain_v"].select("vid", bits.morton_words(v, v * 31 % 2097152, v * 7919 % 2097152).alias("code"))
+    x, y, z = bits.unmorton_words(F.col("code"))
+    return coded.select("vid", x.alias("x"), y.alias("y"), z.alias("z"))
 
 
 @query("zigzag", "SELECT o_orderkey, CASE WHEN d < 0 THEN -2 * d - 1 ELSE 2 * d END AS mapped, d AS back, CASE WHEN d = 0 THEN 0 WHEN d < -1 THEN CAST(floor(log2(-d - 1)) AS INT) + 2 WHEN d = -1 THEN 1 ELSE CAST(floor(log2(d)) AS INT) + 2 END AS needed FROM (SELECT o_orderkey, o_custkey - 70 AS d FROM {orders})")

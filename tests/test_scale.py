@@ -5,7 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.functions import bits
-from lodestone.plans import build_queries, client_queries, dag_queries, mesh_queries, registry  # noqa: F401
+from lodestone.operators import partition
+from lodestone.plans import build_queries, builder, client_queries, dag_queries, mesh_queries, registry  # noqa: F401
+from lodestone.plans.fixtures import frame
 
 
 @pytest.fixture
@@ -30,3 +32,22 @@ def test_morton_of_many_rows(spark, orders):
     keyed = spark.range(200).select((F.col("id") * 7919 % 200 * (1 << 17)).alias("v"))
     coded = keyed.select("v", bits.morton_words(F.col("v"), F.lit(3), F.lit(1 << 30)).alias("code"))
     assert [r.v for r in coded.orderBy("code").collect()] == [k << 17 for k in range(200)]
+
+
+def test_small_cells_need_no_rounds(spark, sf, monkeypatch):
+    points = frame(spark, sf, "terrain_v").select("vid", "x", "y", "z")
+    rounds, planes = [], partition.approximate_planes
+    monkeypatch.setattr(partition, "approximate_planes", lambda *a: rounds.append(1) or planes(*a))
+    at_once = {r.vid: r.cell for r in partition.kd_partition(points, 50).collect()}
+    assert len(rounds) == 1
+    by_rounds = {r.vid: r.cell for r in partition.kd_partition(points, 50, held=50).collect()}
+    assert len(rounds) > 5 and by_rounds == at_once
+    odd = spark.createDataFrame([(i, float(i % 7), float("nan") if i == 3 else 1.0, None if i == 5 else 2.0) for i in range(60)], "vid long, x double, y double, z double")
+    cells = partition.kd_partition(odd, 20).groupBy("cell").count().collect()
+    assert sum(r["count"] for r in cells) == 60 and max(r["count"] for r in cells) <= 20
+
+
+def test_blocks_are_dealt_by_number(spark):
+    blocks = spark.range(4000).select((F.col("id") % 300).alias("block"), F.col("id").cast("double").alias("x0"))
+    tasks = lambda n: builder._dealt(blocks.filter(F.col("block") < n), n).select(F.spark_partition_id().alias("p")).distinct().count()
+    assert tasks(300) > 15 and tasks(1) == 1

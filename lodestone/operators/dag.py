@@ -6,6 +6,8 @@ tri_begin, tri_end); the sink is the last id and has no row in nodes.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,21 +25,32 @@ def roots(nodes: DataFrame, patches: DataFrame) -> DataFrame:
     return nodes.join(patches.select(F.col("dst").alias("node")), "node", "left_anti")
 
 
-def saturate(nodes: DataFrame, patches: DataFrame, error: str = "error", level: str = "lvl") -> DataFrame:
-    """nodes with error raised bottom-up: a parent not above its coarsest child gets GROWTH times that child's; levels go fine to coarse, one small join each."""
+def _raised(nodes: DataFrame, patches: DataFrame, level: str, own: list[str], child: list[str], most: Column, raised: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
+    """nodes changed bottom-up, levels fine to coarse: raised is given a level's nodes with _most, the greatest `most` over their finer children (null without one).
+
+    `most` reads the columns `own` of a node and `child` of its child, the latter behind an underscore.
+    Edges are written once with what they need of their owner, so that each is joined at its own level only."""
     levels = [r[0] for r in nodes.select(level).distinct().collect()]  # depth of the DAG
-    edges = patches.select("src", "dst").distinct()
+    owners = nodes.select(F.col("node").alias("src"), F.col(level).alias("_level"), *own)
+    edges = materialize(patches.select("src", "dst").join(owners, "src"), "edges")
     done = None
     for lvl in sorted(levels, reverse=True):
         here = nodes.filter(F.col(level) == lvl)
         if done is not None:
-            child = edges.join(done.select(F.col("node").alias("dst"), F.col(error).alias("_child")), "dst").groupBy(F.col("src").alias("node")).agg(F.max("_child").alias("_child"))
-            here = here.join(child, "node", "left").withColumn(error, F.when(F.col(error) <= F.col("_child"), F.col("_child") * GROWTH).otherwise(F.col(error))).drop("_child")
+            below = done.select(F.col("node").alias("dst"), *(F.col(c).alias(f"_{c}") for c in child))
+            met = edges.filter(F.col("_level") == lvl).join(below, "dst").groupBy(F.col("src").alias("node")).agg(F.max(most).alias("_most"))
+            here = raised(here.join(met, "node", "left")).drop("_most")
+        here = materialize(here, name)
         done = here if done is None else done.unionByName(here)
-        done = materialize(done, "saturated")
     return nodes if done is None else done
 
 
+def saturate(nodes: DataFrame, patches: DataFrame, error: str = "error", level: str = "lvl") -> DataFrame:
+    """nodes with error raised bottom-up: a parent not above its coarsest child gets GROWTH times that child's; levels go fine to coarse, one join each."""
+    higher = F.when(F.col(error) <= F.col("_most"), F.col("_most") * GROWTH).otherwise(F.col(error))
+    return _raised(nodes, patches, level, [], [error], F.col(f"_{error}"), lambda here: here.withColumn(error, higher), "saturated")
+
+
 def violations(nodes: DataFrame, patches: DataFrame, error: str = "error") -> DataFrame:
     """Edges whose parent is not strictly coarser than its child."""
     pairs = patches.select("src", "dst").distinct()
@@ -176,19 +189,10 @@ def adjacency(patches: DataFrame) -> DataFrame:
 
 def saturate_spheres(nodes: DataFrame, patches: DataFrame, level: str = "lvl") -> DataFrame:
     """nodes with radii raised bottom-up: a node with children reaches around their spheres, times GROWTH; levels go fine to coarse."""
-    levels = [r[0] for r in nodes.select(level).distinct().collect()]  # depth of the DAG
-    edges = patches.select("src", "dst").distinct()
-    done = None
-    for lvl in sorted(levels, reverse=True):
-        here = nodes.filter(F.col(level) == lvl)
-        if done is not None:
-            child = done.select(F.col("node").alias("dst"), *(F.col(c).alias(f"_{c}") for c in ("cx", "cy", "cz", "radius")))
-            reach = F.sqrt(sum(((F.col(c) - F.col(f"_{c}")) * (F.col(c) - F.col(f"_{c}")) for c in ("cx", "cy", "cz")), F.lit(0.0))) + F.col("_radius")
-            met = edges.join(child, "dst").join(here.select(F.col("node").alias("src"), "cx", "cy", "cz"), "src").groupBy(F.col("src").alias("node")).agg(F.max(reach).alias("_reach"))
-            here = here.join(met, "node", "left").withColumn("radius", F.when(F.col("_reach").isNull(), F.col("radius")).otherwise(F.greatest("radius", "_reach") * GROWTH)).drop("_reach")
-        done = here if done is None else done.unionByName(here)
-        done = materialize(done, "spheres")
-    return nodes if done is None else done
+    centre = ["cx", "cy", "cz"]
+    reach = F.sqrt(sum(((F.col(c) - F.col(f"_{c}")) * (F.col(c) - F.col(f"_{c}")) for c in centre), F.lit(0.0))) + F.col("_radius")
+    wider = F.when(F.col("_most").isNull(), F.col("radius")).otherwise(F.greatest("radius", "_most") * GROWTH)
+    return _raised(nodes, patches, level, centre, [*centre, "radius"], reach, lambda here: here.withColumn("radius", wider), "spheres")
 
 
 def sphere_violations(nodes: DataFrame, patches: DataFrame) -> DataFrame:

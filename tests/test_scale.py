@@ -1,13 +1,18 @@
 """Faults that only larger tables show, each on the least rows that have it."""
 
+import re
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from lodestone import session
 from lodestone.functions import bits
-from lodestone.operators import partition
+from lodestone.operators import dag, partition, rays
 from lodestone.plans import build_queries, builder, client_queries, dag_queries, mesh_queries, registry  # noqa: F401
+from lodestone.plans import fixtures
 from lodestone.plans.fixtures import frame
+from lodestone.sources import text_meshes
 
 
 @pytest.fixture
@@ -51,3 +56,15 @@ def test_blocks_are_dealt_by_number(spark):
     blocks = spark.range(4000).select((F.col("id") % 300).alias("block"), F.col("id").cast("double").alias("x0"))
     tasks = lambda n: builder._dealt(blocks.filter(F.col("block") < n), n).select(F.spark_partition_id().alias("p")).distinct().count()
     assert tasks(300) > 15 and tasks(1) == 1
+
+
+def test_saturation_writes_a_node_once(spark, sf, monkeypatch):
+    known = {}
+    nodes, patches = (frame(spark, sf, name, known) for name in ("dag_nodes", "dag_patches"))
+    for run, name in ((dag.saturate, "saturated"), (dag.saturate_spheres, "spheres")):
+        written, write = [], dag.materialize
+        with monkeypatch.context() as m:
+            m.setattr(dag, "materialize", lambda df, what: written.append((what, df.count())) or write(df, what))
+            assert run(nodes, patches).count() == nodes.count()
+        assert sum(n for what, n in written if what == name) == nodes.count()
+        assert [n for what, n in written if what == "edges"] == [patches.count()]

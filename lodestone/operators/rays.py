@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.vectors import corner, ray_sphere, ray_triangle, vec
 from lodestone.operators.scan import small
+from lodestone.session import materialize
 
 Box = dict[str, tuple[Column, Column]]
 #: Cells of the finest grid along the scene's longest side, at most.
@@ -32,7 +33,8 @@ def _cells(rows: DataFrame, box: Box, width: float) -> DataFrame:
 
 
 def _nearest(rays: DataFrame, rows: DataFrame, box: Box, distance: Column, key: str) -> DataFrame:
-    """(ray, key, distance) of each ray's first hit."""
+    """(ray, key, distance) of each ray's first hit. rows are written once: their extent, grids and cells each read them."""
+    rows = materialize(rows, "scene")
     sides = [hi - lo for lo, hi in box.values()]
     scene = rows.agg(*(f(x).alias(f"{n}_{c}") for c, (lo, hi) in box.items() for n, f, x in (("lo", F.min, lo), ("hi", F.max, hi))), F.avg(F.greatest(*sides)).alias("mean")).first()
     if scene["mean"] is None:
@@ -62,11 +64,11 @@ def _nearest(rays: DataFrame, rows: DataFrame, box: Box, distance: Column, key:
 def nearest_spheres(rays: DataFrame, spheres: DataFrame) -> DataFrame:
     """rays (ray, ox.. dz, unit) and spheres (node, cx.. radius) to the first hit of each ray: (ray, node, distance)."""
     box = {c: (F.col(f"c{c}") - F.col("radius"), F.col(f"c{c}") + F.col("radius")) for c in "xyz"}
-    return _nearest(rays, spheres, box, ray_sphere(vec("ox", "oy", "oz"), vec("dx", "dy", "dz"), vec("cx", "cy", "cz"), F.col("radius")), "node")
+    return _nearest(rays, spheres.select("node", "cx", "cy", "cz", "radius"), box, ray_sphere(vec("ox", "oy", "oz"), vec("dx", "dy", "dz"), vec("cx", "cy", "cz"), F.col("radius")), "node")
 
 
 def nearest_triangles(rays: DataFrame, soup: DataFrame, near: float = 0.0, far: float = float("inf")) -> DataFrame:
     """(ray, tri, distance) of the first triangle that each ray meets at a distance from near to far."""
     box = {c: (F.least(*(F.col(f"{c}{i}") for i in range(3))), F.greatest(*(F.col(f"{c}{i}") for i in range(3)))) for c in "xyz"}
     distance = ray_triangle(vec("ox", "oy", "oz"), vec("dx", "dy", "dz"), corner(0), corner(1), corner(2))
-    return _nearest(rays, soup, box, F.when(distance.between(near, far), distance), "tri")
+    return _nearest(rays, soup.select("tri", *(f"{c}{i}" for i in range(3) for c in "xyz")), box, F.when(distance.between(near, far), distance), "tri")

@@ -68,3 +68,17 @@ def test_saturation_writes_a_node_once(spark, sf, monkeypatch):
             assert run(nodes, patches).count() == nodes.count()
         assert sum(n for what, n in written if what == name) == nodes.count()
         assert [n for what, n in written if what == "edges"] == [patches.count()]
+
+
+def test_a_scene_is_read_once(spark, sf):
+    reads = spark.sparkContext.accumulator(0)
+
+    def counted(v):
+        reads.add(1)
+        return v
+
+    soup = frame(spark, sf, "terrain_s")
+    n = soup.count()
+    down = spark.createDataFrame([(1, 5.2, 3.1, 90.0, 0.0, 0.0, -1.0)], "ray long, ox double, oy double, oz double, dx double, dy double, dz double")
+    hits = rays.nearest_triangles(down, soup.withColumn("z0", F.udf(counted, "double")("z0"))).collect()
+    assert len(hits) == 1 and reads.value == n

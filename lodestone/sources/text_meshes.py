@@ -1,7 +1,7 @@
 """Text mesh formats (OBJ with MTL, ASCII STL, GOCAD TS, ASCII PLY) by line-oriented DataFrames.
 
 Every reader starts from (path, line, text). Line numbers come from one file per task, so nothing
-is sorted across files; state such as the current material is carried forward by a window a file.
+is sorted across files; state such as the current material is carried forward by windows over ranges of lines.
 """
 
 from __future__ import annotations
@@ -12,6 +12,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lodestone.operators.scan import ranged, small
+from lodestone.session import materialize
+
 NUMBER = r"[-+]?[0-9.]+(?:[eE][-+]?[0-9]+)?"
 
 
@@ -31,10 +34,19 @@ def lines(spark: SparkSession, *paths: str) -> DataFrame:
 
 
 def carry_forward(rows: DataFrame, pattern: str, name: str) -> DataFrame:
-    """rows plus the last match of pattern's group at or before each line of a file: an as-of join with itself."""
+    """rows plus the last match of pattern's group at or before each line of a file: an as-of join with itself.
+
+    A file may hold all rows, so that a window a file would be one task. Rows are cut into ranges of
+    (path, line), and a range begins with the last match that earlier ranges hold of the same file."""
     found = F.when(F.col("text").rlike(pattern), F.regexp_extract("text", pattern, 1))
-    w = Window.partitionBy("path").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn(name, F.last(found, ignorenulls=True).over(w))
+    cut = materialize(ranged(rows.withColumn(name, found), F.col("path"), F.col("line")), "lines")
+    last = cut.filter(F.col(name).isNotNull()).groupBy("_range", "path").agg(F.max_by(name, "line").alias("_last"))
+    parts = cut.select("_range", "path").distinct().join(last, ["_range", "path"], "left")  # a row a range and one a file, about
+    before = Window.partitionBy("path").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    carried = parts.select("_range", "path", F.last("_last", ignorenulls=True).over(before).alias("_carried")).filter("_carried is not null")
+    w = Window.partitionBy("_range", "path").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+    own = cut.withColumn(name, F.last(name, ignorenulls=True).over(w)).join(small(carried), ["_range", "path"], "left")
+    return own.select(*(c for c in rows.columns if c != name), F.coalesce(name, "_carried").alias(name))
 
 
 def fan(polygons: DataFrame, ring: str) -> DataFrame:

@@ -58,6 +58,19 @@ def test_blocks_are_dealt_by_number(spark):
     assert tasks(300) > 15 and tasks(1) == 1
 
 
+@pytest.fixture
+def apart(spark):
+    """Adaptive execution leaves small partitions apart, as large ones are."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def most_in_a_task(df, column):
+    each = df.select(column, F.spark_partition_id().alias("task")).groupBy("task").agg(F.count(column).alias("n"))
+    return each.agg(F.max("n") / F.sum("n")).first()[0]
+
+
 def test_saturation_writes_a_node_once(spark, sf, monkeypatch):
     known = {}
     nodes, patches = (frame(spark, sf, name, known) for name in ("dag_nodes", "dag_patches"))
@@ -82,3 +95,18 @@ def test_a_scene_is_read_once(spark, sf):
     down = spark.createDataFrame([(1, 5.2, 3.1, 90.0, 0.0, 0.0, -1.0)], "ray long, ox double, oy double, oz double, dx double, dy double, dz double")
     hits = rays.nearest_triangles(down, soup.withColumn("z0", F.udf(counted, "double")("z0"))).collect()
     assert len(hits) == 1 and reads.value == n
+
+
+def test_lines_of_one_file_are_many_tasks(spark, apart):
+    texts = ["v" if i % 10 else f"usemtl m{i}" for i in range(1, 4000)]
+    rows = spark.createDataFrame([("a", i, t) for i, t in enumerate(texts)] + [("b", 0, "v"), ("b", 1, "usemtl x"), ("b", 2, "v"), ("c", 0, "v")], "path string, line long, text string")
+    got = text_meshes.carry_forward(rows, r"^usemtl (\S+)", "material")
+    want, now = {}, None
+    for i, t in enumerate(texts):
+        now = t[7:] if t != "v" else now
+        want["a", i] = now
+    want |= {("b", 0): None, ("b", 1): "x", ("b", 2): "x", ("c", 0): None}
+    assert {(r.path, r.line): r.material for r in got.collect()} == want
+    assert most_in_a_task(got, "material") < 0.6
+    once = spark.createDataFrame([("a", i, "usemtl m" if i == 2 else "v") for i in range(3000)], "path string, line long, text string")
+    assert text_meshes.carry_forward(once, r"^usemtl (\S+)", "material").filter("material is null").count() == 2
